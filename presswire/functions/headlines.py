@@ -1,7 +1,7 @@
 """Headline rules as column expressions.
 
-Each function takes columns and returns a column. Rules that need an intermediate
-value several times are split so that operators can stage it as a column of its own.
+Each function takes columns and returns a column. A rule that needs an intermediate value
+several times binds it, so expressions stay linear in size however they are combined.
 """
 
 from __future__ import annotations
@@ -65,10 +65,10 @@ def headline_from_url(url: Column) -> Column:
     return best["text"]
 
 
-# -- headline cleaning, in stages ---------------------------------------------
+# -- headline cleaning --------------------------------------------------------
 
 def scrubbed_words(text: Column) -> Column:
-    """Stage 1: repair artefacts and drop truncated endings, then split into words."""
+    """Repair artefacts and drop truncated endings, then split into words."""
     out = T.replace(T.strip(text), f"^{V.EDGE_PUNCTUATION}+")
     out = T.replace(out, V.HEADLINE_LONG_DIGITS)
     for pattern in V.HEADLINE_TRAILING:
@@ -89,7 +89,7 @@ def scrubbed_words(text: Column) -> Column:
 
 
 def without_stub_words(items: Column) -> Column:
-    """Stage 2: drop trailing words of one or two characters."""
+    """Drop trailing words of one or two characters."""
     return T.drop_trailing(items, lambda w: F.length(w) <= 2)
 
 
@@ -101,16 +101,19 @@ def _looks_truncated(word: Column) -> Column:
 
 
 def without_truncated_words(items: Column) -> Column:
-    """Stage 3: drop trailing words that look cut off."""
+    """Drop trailing words that look cut off."""
     return T.drop_trailing(items, _looks_truncated)
 
 
 def shortened(items: Column) -> Column:
-    """Stage 4: join, cut at a space to the maximum length, trim end punctuation."""
-    joined = F.array_join(items, " ")
-    cut = F.regexp_replace(F.substring(joined, 1, V.HEADLINE_MAX_CHARS), " [^ ]*$", "")
+    """Join, cut at a space to the maximum length, trim end punctuation."""
+
+    def cut(joined: Column) -> Column:
+        head = F.regexp_replace(F.substring(joined, 1, V.HEADLINE_MAX_CHARS), " [^ ]*$", "")
+        return F.when(F.length(joined) > V.HEADLINE_MAX_CHARS, head).otherwise(joined)
+
     return T.replace(
-        F.when(F.length(joined) > V.HEADLINE_MAX_CHARS, cut).otherwise(joined),
+        T.bind(F.array_join(items, " "), cut),
         f"(?<!{V.EDGE_PUNCTUATION}){V.EDGE_PUNCTUATION}+$|^{V.EDGE_PUNCTUATION}+$",
     )
 
@@ -131,41 +134,52 @@ def title_case(text: Column) -> Column:
 
 
 def accepted_title(text: Column) -> Column:
-    """Stage 5: NULL unless the text is a usable headline, else its title case."""
-    last = F.element_at(T.words(text), -1)
-    usable = (
-        (F.length(text) >= V.HEADLINE_MIN_CHARS)
-        & (F.size(T.words(text)) >= V.HEADLINE_MIN_WORDS)
-        & ~last.rlike("^[A-Z][a-z]*[A-Z]|[a-z]{2}[A-Z]")
-        & ~T.starts_with_any(F.lower(text), V.GENERIC_OPENINGS)
-    )
-    return F.when(usable, title_case(text))
+    """NULL unless the text is a usable headline, else its title case."""
+
+    def judge(items: Column) -> Column:
+        usable = (
+            (F.length(text) >= V.HEADLINE_MIN_CHARS)
+            & (F.size(items) >= V.HEADLINE_MIN_WORDS)
+            & ~F.element_at(items, -1).rlike("^[A-Z][a-z]*[A-Z]|[a-z]{2}[A-Z]")
+            & ~T.starts_with_any(F.lower(text), V.GENERIC_OPENINGS)
+        )
+        return F.when(usable, title_case_words(F.transform(items, F.lower)))
+
+    return T.bind(T.words(text), judge)
 
 
-CLEANING_STAGES = [
-    scrubbed_words, without_stub_words, without_truncated_words, shortened, accepted_title,
-]
+def clean_headline(text: Column) -> Column:
+    """Headline for display, NULL when the text is no usable headline."""
+    kept = without_truncated_words(without_stub_words(scrubbed_words(text)))
+    return T.bind(shortened(kept), accepted_title)
+
+
+def best_headline(headline: Column, url: Column) -> Column:
+    """The stored headline when it is long enough and cleans, else the one in the URL."""
+    stored = F.when(F.length(T.strip(headline)) > 15, headline)
+    return F.coalesce(clean_headline(stored), clean_headline(headline_from_url(url)))
 
 
 # -- quality and keys ---------------------------------------------------------
 
-def garbage_words(text: Column) -> Column:
+def garbage_count(items: Column) -> Column:
     """Number of words that look like random characters."""
     return F.size(
         F.filter(
-            T.words(text),
+            items,
             lambda w: T.matches(w, r"[a-zA-Z]\d|\d[a-zA-Z]")
             | ((F.length(w) > 4) & ~w.rlike("[aeiouAEIOU]")),
         )
     )
 
 
+def garbage_words(text: Column) -> Column:
+    return garbage_count(T.words(text))
+
+
 def headline_quality(text: Column, url: Column) -> Column:
     """Quality from 0.0 to 1.0; terms are added in a fixed order, so sums are exact."""
     n_chars = F.length(text)
-    items = T.words(text)
-    n_words = F.size(items)
-    capitalised = F.size(F.filter(items, lambda w: (F.length(w) > 2) & w.rlike(r"^\p{Lu}")))
     trusted = F.lower(F.replace(urls.host(url), F.lit("www."), F.lit(""))).rlike(
         T.any_of(V.TRUSTED_DOMAINS)
     )
@@ -174,26 +188,32 @@ def headline_quality(text: Column, url: Column) -> Column:
     def points(condition: Column, value: float) -> Column:
         return F.when(condition, F.lit(value)).otherwise(F.lit(0.0))
 
-    score = F.lit(0.5)
-    score = score + points(trusted, 0.25)
-    score = score + F.when(n_chars.between(40, 80), F.lit(0.1)).otherwise(
-        points((n_chars < 25) | (n_chars > 120), -0.1)
-    )
-    score = score + F.when(n_words.between(5, 12), F.lit(0.1)).otherwise(
-        points((n_words < 4) | (n_words > 15), -0.1)
-    )
-    score = score + points(T.matches(text, r"\d{6,}"), -0.3)
-    score = score + points(apostrophes > 2, -0.1)
-    score = score + points(text.rlike("[A-Z]{5,}"), -0.1)
-    score = score + points(garbage_words(text) >= 2, -0.5)
-    score = score + points((n_words >= 10) & (F.try_divide(capitalised, n_words) > 0.6), -0.5)
-    score = score + points(T.starts_with_any(F.lower(text), V.TICKER_OPENINGS), -0.3)
-    score = score + points(n_words > 18, -0.3)
-    clamped = F.greatest(F.lit(0.0), F.least(F.lit(1.0), score))
-    return F.when(text.isNull() | (text == ""), F.lit(0.0)).otherwise(clamped)
+    def total(items: Column) -> Column:
+        n_words = F.size(items)
+        capitalised = F.size(F.filter(items, lambda w: (F.length(w) > 2) & w.rlike(r"^\p{Lu}")))
+        score = F.lit(0.5)
+        score = score + points(trusted, 0.25)
+        score = score + F.when(n_chars.between(40, 80), F.lit(0.1)).otherwise(
+            points((n_chars < 25) | (n_chars > 120), -0.1)
+        )
+        score = score + F.when(n_words.between(5, 12), F.lit(0.1)).otherwise(
+            points((n_words < 4) | (n_words > 15), -0.1)
+        )
+        score = score + points(T.matches(text, r"\d{6,}"), -0.3)
+        score = score + points(apostrophes > 2, -0.1)
+        score = score + points(text.rlike("[A-Z]{5,}"), -0.1)
+        score = score + points(garbage_count(items) >= 2, -0.5)
+        score = score + points((n_words >= 10) & (F.try_divide(capitalised, n_words) > 0.6), -0.5)
+        score = score + points(T.starts_with_any(F.lower(text), V.TICKER_OPENINGS), -0.3)
+        score = score + points(n_words > 18, -0.3)
+        return F.greatest(F.lit(0.0), F.least(F.lit(1.0), score))
+
+    return F.when(text.isNull() | (text == ""), F.lit(0.0)).otherwise(T.bind(T.words(text), total))
 
 
 def dedupe_key(text: Column) -> Column:
     """Words two to six in lower case; the whole text when it has one word."""
-    items = T.words(F.lower(text))
-    return F.when(F.size(items) > 1, F.array_join(F.slice(items, 2, 5), " ")).otherwise(F.lower(text))
+    return T.bind(
+        T.words(F.lower(text)),
+        lambda items: F.when(F.size(items) > 1, F.array_join(F.slice(items, 2, 5), " ")).otherwise(F.lower(text)),
+    )

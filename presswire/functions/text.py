@@ -47,10 +47,12 @@ def starts_with_any(text: Column, options: list[str]) -> Column:
 
 def drop_trailing(items: Column, droppable: Callable[[Column], Column]) -> Column:
     """Remove items from the end for as long as `droppable` holds."""
-    last_kept = F.array_max(
-        F.transform(items, lambda w, i: F.when(~droppable(w), i + 1).otherwise(F.lit(0)))
-    )
-    return F.slice(items, F.lit(1), F.coalesce(last_kept, F.lit(0)))
+
+    def shorten(xs: Column) -> Column:
+        kept = F.transform(xs, lambda w, i: F.when(~droppable(w), i + 1).otherwise(F.lit(0)))
+        return F.slice(xs, F.lit(1), F.coalesce(F.array_max(kept), F.lit(0)))
+
+    return bind(items, shorten)
 
 
 def capitalize(word: Column) -> Column:

@@ -2,40 +2,40 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from presswire.functions import headlines, text as T
-from presswire.functions import fixed_values as V
+from presswire.functions import headlines
 
 
-def with_clean_headline(df: DataFrame, source: str, target: str) -> DataFrame:
-    """Add the cleaned form of a text column, NULL when it is no usable headline.
+def with_accepted(
+    df: DataFrame, name: str, value: Column, accept: Callable[[Column], Column] = Column.isNotNull
+) -> DataFrame:
+    """Add a costly column and keep the rows where it is acceptable.
 
-    Every stage is a projection of its own, so that a value used several times by the next
-    stage is computed once.
+    A one-element generator computes the value once per row. A filter on a computed column
+    would be pushed below the projection and compute it a second time.
     """
-    staged, current = df, source
-    for i, stage in enumerate(headlines.CLEANING_STAGES):
-        staged = staged.withColumn(f"_stage{i}", stage(F.col(current)))
-        current = f"_stage{i}"
-    extra = [f"_stage{i}" for i in range(len(headlines.CLEANING_STAGES) - 1)]
-    return staged.drop(*([target] if target in df.columns else []), *extra).withColumnRenamed(current, target)
-
-
-def with_best_headline(df: DataFrame, target: str = "HEADLINE") -> DataFrame:
-    """The stored headline when it is long enough and cleans, else the one in the URL."""
-    stored = F.when(F.length(T.strip(F.col("HEADLINE"))) > 15, F.col("HEADLINE"))
-    first = with_clean_headline(df.withColumn("_stored", stored), "_stored", "_from_db")
-    linked = F.when(F.col("_from_db").isNull(), headlines.headline_from_url(F.col("NEWS_LINK")))
-    both = with_clean_headline(first.withColumn("_linked", linked), "_linked", "_from_url")
-    return both.withColumn(target, F.coalesce("_from_db", "_from_url")).drop(
-        "_stored", "_from_db", "_linked", "_from_url"
+    kept = [c for c in df.columns if c != name]
+    return df.select(*kept, F.explode(F.filter(F.array(value), accept)).alias(name)).select(
+        *(df.columns if name in df.columns else [*kept, name])
     )
 
 
+def with_clean_headline(df: DataFrame, source: str, target: str) -> DataFrame:
+    """Add the cleaned form of a text column, NULL when it is no usable headline."""
+    return df.withColumn(target, headlines.clean_headline(F.col(source)))
+
+
+def with_best_headline(df: DataFrame) -> DataFrame:
+    """Replace HEADLINE by the stored or URL headline, cleaned, NULL when there is none."""
+    return df.withColumn("HEADLINE", headlines.best_headline(F.col("HEADLINE"), F.col("NEWS_LINK")))
+
+
 def clean_headlines(events: DataFrame) -> DataFrame:
     """Events with their display headline; rows without one are dropped."""
-    return with_best_headline(events).filter(F.col("HEADLINE").isNotNull())
+    return with_accepted(events, "HEADLINE", headlines.best_headline(F.col("HEADLINE"), F.col("NEWS_LINK")))
 
 
 def with_quality(df: DataFrame, name: str = "QUALITY") -> DataFrame:
@@ -80,4 +80,6 @@ def dedupe_stories(events: DataFrame) -> DataFrame:
 
 
 def drop_poor_headlines(df: DataFrame, floor: float = 0.3) -> DataFrame:
-    return with_quality(df).filter(F.col("QUALITY") >= floor)
+    """Add QUALITY and keep rows at or above `floor`."""
+    quality = headlines.headline_quality(F.col("HEADLINE"), F.col("NEWS_LINK"))
+    return with_accepted(df, "QUALITY", quality, lambda q: q >= floor)

@@ -16,7 +16,7 @@ from presswire.functions import headlines, labels, text as T
 from presswire.functions.dates import (
     between_days, calendar_month, calendar_week, day_key, days_before,
 )
-from presswire.operators.cleaning import dedupe_headlines, with_clean_headline
+from presswire.operators.cleaning import dedupe_headlines, with_accepted
 from presswire.operators.countries import country_name
 
 DEFAULT_ROWS, MAX_ROWS, FETCH_FACTOR, MAX_FETCH = 5, 10, 50, 500
@@ -114,12 +114,9 @@ def present_events(
     A long stored headline is cleaned as it is; only short ones give way to the link's.
     """
     long_enough = F.length(T.strip(F.col("HEADLINE"))) > 15
-    chosen = found.withColumn(
-        "_text",
-        F.when(long_enough, F.col("HEADLINE")).otherwise(headlines.headline_from_url(F.col("NEWS_LINK"))),
-    )
-    clean = with_clean_headline(chosen, "_text", "_clean").withColumn("HEADLINE", F.col("_clean"))
-    distinct = dedupe_headlines(clean.drop("_text", "_clean"), [*order, F.col("EVENT_ID")])
+    chosen = F.when(long_enough, F.col("HEADLINE")).otherwise(headlines.headline_from_url(F.col("NEWS_LINK")))
+    clean = with_accepted(found, "HEADLINE", headlines.clean_headline(chosen))
+    distinct = dedupe_headlines(clean, [*order, F.col("EVENT_ID")])
     top = distinct.orderBy(*order, F.col("EVENT_ID")).limit(n)
     code = F.col("ACTOR_COUNTRY_CODE")
     return country_name(top, "ACTOR_COUNTRY_CODE", iso, "_country").select(

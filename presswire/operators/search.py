@@ -18,7 +18,7 @@ from presswire.functions import fixed_values as V
 from presswire.functions import headlines, labels
 from presswire.functions.keywords import query_keywords
 from presswire.functions.vectors import cosine_similarity
-from presswire.operators.cleaning import drop_poor_headlines, keep_first, with_clean_headline
+from presswire.operators.cleaning import drop_poor_headlines, keep_first, with_accepted
 from presswire.operators.countries import country_name
 
 HIT_COLUMNS = [
@@ -103,9 +103,8 @@ def _top(hits: DataFrame, k: int) -> DataFrame:
 
 def _rank_by_vector(events: DataFrame, request: SearchRequest, k: int, cap: int | None) -> DataFrame:
     candidates = _most_reported(events.filter(F.col("EMBEDDING").isNotNull()), cap)
-    scored = candidates.withColumn(
-        "similarity", cosine_similarity(F.col("EMBEDDING"), request.vector_column())
-    )
+    asked = candidates.withColumn("_query", request.vector_column())
+    scored = asked.withColumn("similarity", cosine_similarity(F.col("EMBEDDING"), F.col("_query")))
     return _top(similarity_group(scored), k)
 
 
@@ -204,19 +203,21 @@ def score_pairs(
     The request vectors are scalar values of the plan; one projection over the candidates
     scores them all and emits only the pairs at or above the threshold.
     """
+    asked = candidates.filter(F.col("EMBEDDING").isNotNull()).withColumns(
+        {f"_q{i}": r.vector_column() for i, r in enumerate(requests)}
+    )
     scores = F.array(
         *[
             F.struct(
                 F.lit(r.query_id).cast("bigint").alias("query_id"),
-                cosine_similarity(F.col("EMBEDDING"), r.vector_column()).alias("similarity"),
+                cosine_similarity(F.col("EMBEDDING"), F.col(f"_q{i}")).alias("similarity"),
             )
-            for r in requests
+            for i, r in enumerate(requests)
         ]
     )
     kept = F.filter(scores, lambda s: s["similarity"] >= threshold)
     return (
-        candidates.filter(F.col("EMBEDDING").isNotNull())
-        .select("EVENT_ID", F.explode(kept).alias("_s"))
+        asked.select("EVENT_ID", F.explode(kept).alias("_s"))
         .select("EVENT_ID", "_s.query_id", "_s.similarity")
     )
 
@@ -229,9 +230,9 @@ def top_pairs(pairs: DataFrame, k: int = 10) -> DataFrame:
 
 def answer_context(hits: DataFrame, iso: DataFrame, n: int = 8) -> DataFrame:
     """Per request the first `n` usable hits as `[Mon DD] headline — country [severity]` lines."""
-    usable = drop_poor_headlines(with_clean_headline(hits, "HEADLINE", "HEADLINE")).filter(
-        F.col("HEADLINE").isNotNull()
-        & (F.length("HEADLINE") >= 15)
+    clean = with_accepted(hits, "HEADLINE", headlines.clean_headline(F.col("HEADLINE")))
+    usable = drop_poor_headlines(clean).filter(
+        (F.length("HEADLINE") >= 15)
         & (headlines.garbage_words(F.col("HEADLINE")) < 2)
     )
     named = country_name(usable, "ACTOR_COUNTRY_CODE", iso, "_country")

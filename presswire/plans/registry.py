@@ -74,9 +74,15 @@ def staged_emotions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return staging.stg_emotions(gkg(spark, sf_dir))
 
 
-def query_vector(spark: SparkSession, sf_dir: str, vec_id: int = 0) -> Column:
+def query_vector(spark: SparkSession, sf_dir: str, vec_id: int = 0, scale: float = 1.0) -> Column:
+    """A stored vector as a scalar subquery; `scale` 0.0 makes a zero vector of it."""
     vectors = table(spark, sf_dir, "embeddings").filter(F.col("vec_id") == vec_id)
-    return vectors.select(F.col("embedding").cast("array<double>")).scalar()
+    return vectors.select(F.transform("embedding", lambda v: v.cast("double") * scale)).scalar()
+
+
+def with_similarity(df: DataFrame, vector: str, spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked = df.withColumn("_asked", query_vector(spark, sf_dir))
+    return asked.withColumn("similarity", cosine_similarity(F.col(vector), F.col("_asked"))).drop("_asked")
 
 
 def request(spark: SparkSession, sf_dir: str) -> search.SearchRequest:
@@ -151,16 +157,13 @@ def q_append_new_gkg(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def new_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A vector for every third event, those that have none yet."""
-    ids = table(spark, sf_dir, "events").select("event_id")
-    known = table(spark, sf_dir, "embeddings").filter("vec_id < 500").select("vec_id", "embedding")
-    return (
-        events_raw(spark, sf_dir, vectors=True).filter(F.col("EMBEDDING").isNull()).select("EVENT_ID")
-        .join(ids, F.col("EVENT_ID") == F.col("event_id").cast("string"))
-        .select(ids["event_id"].alias("id"))
-        .join(known, F.col("vec_id") == F.col("id") % 500)
-        .select(F.col("id").cast("string").alias("EVENT_ID"), F.col("embedding").cast("array<double>").alias("EMBEDDING"))
+    """A vector for each event that has none yet."""
+    waiting = vector_events(spark, sf_dir).filter(F.col("EMBEDDING").isNull()).select("EVENT_ID")
+    known = table(spark, sf_dir, "embeddings").filter("vec_id < 500").select(
+        "vec_id", F.col("embedding").cast("array<double>").alias("EMBEDDING")
     )
+    slot = F.col("EVENT_ID").cast("bigint") % 500
+    return waiting.join(known, slot == F.col("vec_id")).select("EVENT_ID", "EMBEDDING")
 
 
 def vector_sums(events: DataFrame) -> DataFrame:
@@ -305,25 +308,18 @@ def q_cosine_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings").select(
         "vec_id", F.col("embedding").cast("array<double>").alias("v")
     )
-    return rounded(
-        vectors.select("vec_id", cosine_similarity(F.col("v"), query_vector(spark, sf_dir)).alias("similarity")),
-        "similarity",
-    )
+    return rounded(with_similarity(vectors, "v", spark, sf_dir).drop("v"), "similarity")
 
 
 def q_similarity_group(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = (
-        vector_events(spark, sf_dir).filter("HEADLINE IS NOT NULL AND EMBEDDING IS NOT NULL")
-        .withColumn("similarity", cosine_similarity(F.col("EMBEDDING"), query_vector(spark, sf_dir)))
-    )
+    known = vector_events(spark, sf_dir).filter("HEADLINE IS NOT NULL AND EMBEDDING IS NOT NULL")
+    scored = with_similarity(known, "EMBEDDING", spark, sf_dir)
     return rounded(search.similarity_group(scored), "similarity")
 
 
 def q_dedupe_best_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = (
-        vector_events(spark, sf_dir).filter("HEADLINE IS NOT NULL AND EMBEDDING IS NOT NULL")
-        .withColumn("similarity", cosine_similarity(F.col("EMBEDDING"), query_vector(spark, sf_dir)))
-    )
+    known = vector_events(spark, sf_dir).filter("HEADLINE IS NOT NULL AND EMBEDDING IS NOT NULL")
+    scored = with_similarity(known, "EMBEDDING", spark, sf_dir)
     best = search.dedupe_best_similarity(scored, F.col("EVENT_ID").asc())
     return rounded(best.select("EVENT_ID", "HEADLINE", "similarity"), "similarity")
 
@@ -343,11 +339,10 @@ def q_keyword_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_search_with_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three questions: with a vector, without one, and with a vector that finds nothing."""
-    nothing = F.transform(query_vector(spark, sf_dir), lambda v: v * 0.0)
     asked = [
         request(spark, sf_dir),
         search.SearchRequest(2, "flood warning in river valleys"),
-        search.SearchRequest(3, "central bank decision", nothing),
+        search.SearchRequest(3, "central bank decision", query_vector(spark, sf_dir, scale=0.0)),
     ]
     found = search.search_all(vector_events(spark, sf_dir), asked, 10, MIN_DATE)
     return rounded(found, "similarity")
