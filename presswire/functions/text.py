@@ -56,7 +56,8 @@ def drop_trailing(items: Column, droppable: Callable[[Column], Column]) -> Colum
 
 
 def capitalize(word: Column) -> Column:
-    return F.concat(F.upper(F.substring(word, 1, 1)), F.lower(F.substring(word, F.lit(2), F.length(word))))
+    """First letter in title case, the others in lower case."""
+    return F.initcap(word)
 
 
 def bind(value: Column, body: Callable[[Column], Column]) -> Column:

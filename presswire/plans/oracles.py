@@ -179,7 +179,7 @@ def cleaned(source: str, column: str) -> str:
     """CTEs ending in `cleaned(raw, headline)` for the distinct values of a text column."""
     lead = f"regexp_replace(trim(raw, e' \\t\\n\\r'), '^{_PUNCT}+', '')"
     title = f"""array_to_string(list_transform(str_split(lower(x), ' '), lambda w, i:
-      CASE WHEN i > 1 AND w IN {in_list(V.SMALL_WORDS)} THEN w ELSE upper(w[1]) || w[2:] END), ' ')"""
+      CASE WHEN i > 1 AND w IN {in_list(V.SMALL_WORDS)} THEN w ELSE (CASE w[1] WHEN 'ß' THEN 'Ss' ELSE upper(w[1]) END) || w[2:] END), ' ')"""
     last = "str_split(x, ' ')[-1]"
     generic = " OR ".join(f"starts_with(lower(x), {q(g)})" for g in V.GENERIC_OPENINGS)
     return f"""cl0 AS (SELECT DISTINCT {column} AS raw FROM {source} WHERE {column} IS NOT NULL),
@@ -376,7 +376,7 @@ _BEST_ROW = f"""{ART}, {url_titles('art')},
 EXTRACTED = f"""{_BEST_ROW} SELECT * EXCLUDE (rn, c, ARTICLE_COUNT),
   CASE WHEN c > ARTICLE_COUNT THEN c::DOUBLE ELSE ARTICLE_COUNT END AS ARTICLE_COUNT FROM ranked WHERE rn = 1"""
 _TITLE = f"""array_to_string(list_transform(str_split(lower(HEADLINE), ' '), lambda w, i:
-  CASE WHEN i > 1 AND w IN {in_list(V.SMALL_WORDS)} THEN w ELSE upper(w[1]) || w[2:] END), ' ')"""
+  CASE WHEN i > 1 AND w IN {in_list(V.SMALL_WORDS)} THEN w ELSE (CASE w[1] WHEN 'ß' THEN 'Ss' ELSE upper(w[1]) END) || w[2:] END), ' ')"""
 _LAB = f"{EV}, {ISO}, {REGIONAL}"
 TOPIC = "CASE theme " + " ".join(f"WHEN {q(c)} THEN {q(l)}" for c, l in V.THEME_LABELS.items()) + " END"
 
