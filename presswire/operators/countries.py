@@ -71,8 +71,8 @@ def country_alias(
     """Add the three-letter code of a country name or nationality, NULL when unknown.
 
     Stop words, single characters and numbers have none. Known aliases come first; other
-    names take the closest country whose name contains them or starts with the same three
-    letters. Only distinct names are matched. Both acceptance rules need the first three
+    names take the closest country whose name contains them, else one that starts with the
+    same three letters. Only distinct names are matched. Both acceptance rules need the first three
     letters of the name to occur in the country name, which makes the match an equi-join
     on those letters.
     """
@@ -99,9 +99,13 @@ def country_alias(
     near = unknown.join(places, "_gram").filter(
         F.col("_country").contains(F.col("_name")) | F.col("_country").startswith(F.col("_gram"))
     )
-    closest = near.groupBy("_name").agg(
-        F.min(F.struct(F.levenshtein("_name", "_country").alias("d"), "_country", "_alpha3")).alias("_best")
+    rank = F.struct(
+        (~F.col("_country").contains(F.col("_name"))).alias("outside"),
+        F.levenshtein("_name", "_country").alias("distance"),
+        "_country",
+        "_alpha3",
     )
+    closest = near.groupBy("_name").agg(F.min(rank).alias("_best"))
     fuzzy = closest.select("_name", F.col("_best._alpha3").alias(code))
     return (
         df.withColumn("_name", clean)

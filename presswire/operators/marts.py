@@ -1,8 +1,8 @@
 """Mart tables.
 
-The three event marts share one roll-up per (day, actor, country). It is the only
-aggregation over single events; counts of distinct days, actors and countries then run
-over the far smaller roll-up, and a frequent actor or country is reduced on the map side.
+Every event mart is one aggregation over the staged events: measures combine on the map
+side, and only the keys of the distinct counts travel. Reading `mart_input` instead of the
+full staging projection lets several marts share one narrow scan.
 """
 
 from __future__ import annotations
@@ -25,51 +25,48 @@ _CATEGORY_COLUMNS = {
 }
 
 
-def event_rollup(staged: DataFrame) -> DataFrame:
-    """Additive measures per (day, actor, country)."""
-    category = F.col("sentiment_category")
-    return staged.groupBy("event_date_raw", "actor_name", "actor_country_code").agg(
-        F.count(F.lit(1)).alias("events"),
-        F.sum("article_count").alias("articles"),
-        F.count("article_count").alias("n_articles"),
-        F.max("article_count").alias("max_articles"),
-        F.sum("goldstein_scale").alias("goldstein"),
-        F.count("goldstein_scale").alias("n_goldstein"),
-        F.sum("avg_tone").alias("tone"),
-        F.count("avg_tone").alias("n_tone"),
-        F.count_if(F.col("goldstein_scale") < 0).alias("negative_events"),
-        F.count_if(F.col("goldstein_scale") >= 0).alias("positive_events"),
-        F.count_if("has_headline").alias("with_headline"),
-        F.count_if("has_embedding").alias("with_embedding"),
-        *[F.count_if(category == label).alias(name) for label, name in _CATEGORY_COLUMNS.items()],
+def mart_input(staged: DataFrame) -> DataFrame:
+    """The staged columns the event marts need."""
+    return staged.select(
+        "event_date_raw", "actor_name", "actor_country_code", "article_count", "goldstein_scale",
+        "avg_tone", "sentiment_category", "has_headline", "has_embedding",
     )
 
 
-def _mean(total: str, n: str) -> Column:
-    return F.try_divide(F.sum(total), F.sum(n))
+def _reach_and_tone() -> list[Column]:
+    return [
+        F.sum("article_count").alias("total_articles"),
+        F.avg("article_count").alias("avg_articles_per_event"),
+        F.avg("goldstein_scale").alias("avg_goldstein_scale"),
+        F.avg("avg_tone").alias("avg_tone"),
+    ]
 
 
-def _article_and_tone_means() -> list[Column]:
+def _first_and_last_day(first: str, last: str) -> list[Column]:
+    """Bounds of the eight-digit day keys, compared as numbers so that the aggregation can
+    hash instead of sort."""
+    day = F.col("event_date_raw").try_cast("int")
     return [
-        _mean("articles", "n_articles").alias("avg_articles_per_event"),
-        _mean("goldstein", "n_goldstein").alias("avg_goldstein_scale"),
-        _mean("tone", "n_tone").alias("avg_tone"),
+        F.lpad(F.min(day).cast("string"), 8, "0").alias(first),
+        F.lpad(F.max(day).cast("string"), 8, "0").alias(last),
     ]
 
 
-def fct_daily_events(staged: DataFrame, approx: bool = False, rollup: DataFrame | None = None) -> DataFrame:
+def _in_category(label: str) -> Column:
+    return F.count_if(F.col("sentiment_category") == label)
+
+
+def fct_daily_events(staged: DataFrame, approx: bool = False) -> DataFrame:
     """Daily counts, reach, sentiment mix and coverage, newest day first."""
     distinct = F.approx_count_distinct if approx else F.count_distinct
-    base = event_rollup(staged) if rollup is None else rollup
-    daily = base.groupBy("event_date_raw").agg(
-        F.sum("events").alias("event_count"),
+    daily = staged.groupBy("event_date_raw").agg(
+        F.count(F.lit(1)).alias("event_count"),
         distinct(F.col("actor_name")).alias("unique_actors"),
         distinct(F.col("actor_country_code")).alias("unique_countries"),
-        F.sum("articles").alias("total_articles"),
-        *_article_and_tone_means(),
-        *[F.sum(name).alias(name) for name in _CATEGORY_COLUMNS.values()],
-        F.sum("with_headline").alias("events_with_headlines"),
-        F.sum("with_embedding").alias("events_with_embeddings"),
+        *_reach_and_tone(),
+        *[_in_category(label).alias(name) for label, name in _CATEGORY_COLUMNS.items()],
+        F.count_if("has_headline").alias("events_with_headlines"),
+        F.count_if("has_embedding").alias("events_with_embeddings"),
     )
     day, total = F.col("event_date_raw"), F.col("event_count")
     return daily.select(
@@ -88,54 +85,48 @@ def fct_daily_events(staged: DataFrame, approx: bool = False, rollup: DataFrame
 def _typical_sentiment() -> Column:
     """Most frequent of the five buckets; the alphabetically first one on a tie."""
     ranked = [
-        F.struct(F.sum(name).alias("n"), F.lit(-i).alias("tie"), F.lit(label).alias("label"))
-        for i, (label, name) in enumerate(sorted(_CATEGORY_COLUMNS.items()))
+        F.struct(_in_category(label).alias("n"), F.lit(-i).alias("tie"), F.lit(label).alias("label"))
+        for i, label in enumerate(sorted(_CATEGORY_COLUMNS))
     ]
     return F.greatest(*ranked)["label"]
 
 
-def actor_stats(staged: DataFrame, rollup: DataFrame | None = None) -> DataFrame:
+def actor_stats(staged: DataFrame) -> DataFrame:
     """Per (actor, country) activity, reach and sentiment profile."""
-    base = event_rollup(staged) if rollup is None else rollup
-    return base.filter(F.col("actor_name").isNotNull()).groupBy("actor_name", "actor_country_code").agg(
-        F.sum("events").alias("total_events"),
-        F.count("event_date_raw").alias("active_days"),  # the roll-up has one row per day
-        F.min("event_date_raw").alias("first_seen_date"),
-        F.max("event_date_raw").alias("last_seen_date"),
-        F.sum("articles").alias("total_articles"),
-        *_article_and_tone_means(),
-        F.max("max_articles").alias("max_articles_single_event"),
+    return staged.filter(F.col("actor_name").isNotNull()).groupBy("actor_name", "actor_country_code").agg(
+        F.count(F.lit(1)).alias("total_events"),
+        F.count_distinct("event_date_raw").alias("active_days"),
+        *_first_and_last_day("first_seen_date", "last_seen_date"),
+        *_reach_and_tone(),
+        F.max("article_count").alias("max_articles_single_event"),
         _typical_sentiment().alias("typical_sentiment"),
     )
 
 
-def dim_actors(staged: DataFrame, rollup: DataFrame | None = None) -> DataFrame:
+def dim_actors(staged: DataFrame) -> DataFrame:
     """Actor profiles with their rank by events and by articles."""
     tie = [F.col("actor_name").asc_nulls_last(), F.col("actor_country_code").asc_nulls_last()]
-    stats = actor_stats(staged, rollup)
+    stats = actor_stats(staged)
     by_events = global_rank(stats, [F.col("total_events").desc_nulls_last(), *tie], "event_rank")
     return global_rank(by_events, [F.col("total_articles").desc_nulls_last(), *tie], "article_rank")
 
 
-def dim_countries(staged: DataFrame, rollup: DataFrame | None = None) -> DataFrame:
+def dim_countries(staged: DataFrame) -> DataFrame:
     """Country profiles with their rank by activity.
 
     Country codes are three letters, so the ranked table is small by its key domain.
     """
-    base = event_rollup(staged) if rollup is None else rollup
     stats = (
-        base.filter(F.col("actor_country_code").isNotNull())
+        staged.filter(F.col("actor_country_code").isNotNull())
         .groupBy(F.col("actor_country_code").alias("country_code"))
         .agg(
-            F.sum("events").alias("total_events"),
+            F.count(F.lit(1)).alias("total_events"),
             F.count_distinct("actor_name").alias("unique_actors"),
             F.count_distinct("event_date_raw").alias("active_days"),
-            F.min("event_date_raw").alias("first_event_date"),
-            F.max("event_date_raw").alias("last_event_date"),
-            F.sum("articles").alias("total_articles"),
-            *_article_and_tone_means(),
-            F.sum("negative_events").alias("negative_events"),
-            F.sum("positive_events").alias("positive_events"),
+            *_first_and_last_day("first_event_date", "last_event_date"),
+            *_reach_and_tone(),
+            F.count_if(F.col("goldstein_scale") < 0).alias("negative_events"),
+            F.count_if(F.col("goldstein_scale") >= 0).alias("positive_events"),
         )
     )
     order = Window.orderBy(F.col("total_events").desc_nulls_last(), F.col("country_code"))

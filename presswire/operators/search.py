@@ -7,10 +7,12 @@ is a filter, a top-n and a scoring projection. Nothing is joined with every even
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from presswire import schemas
@@ -193,6 +195,13 @@ def search_all(events: DataFrame, requests: Sequence[SearchRequest], k: int = 10
     return reduce(DataFrame.unionByName, found)
 
 
+def request_vectors(spark: SparkSession, requests: Sequence[SearchRequest]) -> list[list[float] | None]:
+    """Vectors of the requests; those given as scalar columns are read in one small query."""
+    columns = {i: r.vector for i, r in enumerate(requests) if isinstance(r.vector, Column)}
+    row = spark.range(1).select(*[c.alias(f"_{i}") for i, c in columns.items()]).first() if columns else {}
+    return [row[f"_{i}"] if i in columns else r.vector for i, r in enumerate(requests)]
+
+
 def score_pairs(
     candidates: DataFrame,
     requests: Sequence[SearchRequest],
@@ -200,26 +209,36 @@ def score_pairs(
 ) -> DataFrame:
     """Similarity of each candidate to the requests it is similar to.
 
-    The request vectors are scalar values of the plan; one projection over the candidates
-    scores them all and emits only the pairs at or above the threshold.
+    Bulk scoring: each Arrow batch of candidate vectors is one matrix product with the
+    request vectors, and only pairs at or above the threshold leave the task. Zero vectors
+    and vectors of another length have no similarity.
     """
-    asked = candidates.filter(F.col("EMBEDDING").isNotNull()).withColumns(
-        {f"_q{i}": r.vector_column() for i, r in enumerate(requests)}
-    )
-    scores = F.array(
-        *[
-            F.struct(
-                F.lit(r.query_id).cast("bigint").alias("query_id"),
-                cosine_similarity(F.col("EMBEDDING"), F.col(f"_q{i}")).alias("similarity"),
-            )
-            for i, r in enumerate(requests)
-        ]
-    )
-    kept = F.filter(scores, lambda s: s["similarity"] >= threshold)
-    return (
-        asked.select("EVENT_ID", F.explode(kept).alias("_s"))
-        .select("EVENT_ID", "_s.query_id", "_s.similarity")
-    )
+    vectors = request_vectors(candidates.sparkSession, requests)
+    asked = [(r.query_id, v) for r, v in zip(requests, vectors) if v is not None and any(v)]
+    ids = np.array([i for i, _ in asked], dtype="int64")
+    matrix = np.array([v for _, v in asked], dtype="float64")
+    matrix = (matrix / np.linalg.norm(matrix, axis=1, keepdims=True)).T if asked else matrix
+
+    def score(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            if frame.empty:
+                continue
+            rows = np.stack(frame["EMBEDDING"].to_numpy())
+            lengths = np.linalg.norm(rows, axis=1, keepdims=True)
+            with np.errstate(divide="ignore", invalid="ignore"):
+                similarity = (rows @ matrix) / lengths
+            row, column = np.nonzero(similarity >= threshold)
+            yield pd.DataFrame({
+                "EVENT_ID": frame["EVENT_ID"].to_numpy()[row],
+                "query_id": ids[column],
+                "similarity": similarity[row, column],
+            })
+
+    schema = "EVENT_ID string, query_id bigint, similarity double"
+    if not asked:
+        return candidates.sparkSession.createDataFrame([], schema)
+    usable = candidates.filter(F.size("EMBEDDING") == matrix.shape[0])
+    return usable.select("EVENT_ID", "EMBEDDING").mapInPandas(score, schema)
 
 
 def top_pairs(pairs: DataFrame, k: int = 10) -> DataFrame:

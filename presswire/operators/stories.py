@@ -18,10 +18,12 @@ def story_score(df: DataFrame) -> DataFrame:
     The date range is one scalar subquery over `df`, computed once and not a window.
     """
     dated = df.withColumn("_day", schemas.event_day(F.col("DATE")))
-    span = dated.agg(F.struct(F.min("_day").alias("lo"), F.max("_day").alias("hi")).alias("span")).scalar()
-    days = F.date_diff(span["hi"], span["lo"])
-    recency = F.date_diff(F.col("_day"), span["lo"]) / F.when(days == 0, F.lit(1)).otherwise(days)
-    return dated.withColumn("SCORE", F.lit(0.6) * recency + F.lit(0.4) * F.col("QUALITY")).drop("_day")
+    span = dated.agg(F.struct(F.min("_day").alias("lo"), F.max("_day").alias("hi"))).scalar()
+    placed = dated.withColumn("_span", span)
+    days = F.date_diff(F.col("_span.hi"), F.col("_span.lo"))
+    recency = F.date_diff(F.col("_day"), F.col("_span.lo")) / F.when(days == 0, F.lit(1)).otherwise(days)
+    score = F.lit(0.6) * recency + F.lit(0.4) * F.col("QUALITY")
+    return placed.withColumn("SCORE", score).drop("_day", "_span")
 
 
 def process_stories(stories: DataFrame, iso: DataFrame, n: int = FEED_ROWS) -> DataFrame:

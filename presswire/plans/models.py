@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 
 from presswire.operators import marts
 from presswire.operators.staging import stg_emotions, stg_events
@@ -20,13 +20,12 @@ def register_staging(events: DataFrame, gkg: DataFrame) -> None:
     stg_emotions(gkg).createOrReplaceTempView("stg_gkg_emotions")
 
 
-def mart_frames(spark: SparkSession, rollup: DataFrame | None = None) -> dict[str, Callable[[], DataFrame]]:
-    """Mart name -> builder over the registered staging views."""
-    events, emotions = spark.table("stg_events"), spark.table("stg_gkg_emotions")
+def mart_frames(events: DataFrame, emotions: DataFrame) -> dict[str, Callable[[], DataFrame]]:
+    """Mart name -> builder over staged events and emotions."""
     return {
-        "fct_daily_events": lambda: marts.fct_daily_events(events, rollup=rollup),
-        "dim_actors": lambda: marts.dim_actors(events, rollup=rollup),
-        "dim_countries": lambda: marts.dim_countries(events, rollup=rollup),
+        "fct_daily_events": lambda: marts.fct_daily_events(events),
+        "dim_actors": lambda: marts.dim_actors(events),
+        "dim_countries": lambda: marts.dim_countries(events),
         "fct_daily_emotions": lambda: marts.fct_daily_emotions(emotions),
         "fct_trending_themes": lambda: marts.fct_trending_themes(emotions),
     }
@@ -35,20 +34,20 @@ def mart_frames(spark: SparkSession, rollup: DataFrame | None = None) -> dict[st
 def build_models(events: DataFrame, gkg: DataFrame, root: str | None = None) -> list[str]:
     """Register staging views and overwrite the mart tables; returns the table names.
 
-    The three event marts read one persisted roll-up, so events are scanned once. With
-    `root` the tables are external ones below that path.
+    The three event marts read one persisted narrow projection, so the wide event table is
+    scanned once. With `root` the tables are external ones below that path.
     """
     spark = events.sparkSession
     register_staging(events, gkg)
-    rollup = marts.event_rollup(spark.table("stg_events")).persist(StorageLevel.DISK_ONLY)
+    narrow = marts.mart_input(spark.table("stg_events")).persist(StorageLevel.DISK_ONLY)
     try:
-        for name, build in mart_frames(spark, rollup).items():
+        for name, build in mart_frames(narrow, spark.table("stg_gkg_emotions")).items():
             writer = build().write.mode("overwrite").format("parquet")
             if root is not None:
                 writer = writer.option("path", f"{root}/{name}")
             writer.saveAsTable(name)
     finally:
-        rollup.unpersist()
+        narrow.unpersist()
     return MART_NAMES
 
 

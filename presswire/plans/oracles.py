@@ -458,7 +458,7 @@ ORACLES: dict[str, str] = {
     "region_label": f"{_LAB} SELECT x.EVENT_ID, x.ACTOR_COUNTRY_CODE, {_REGION} AS REGION FROM ev x",
     "country_alias": f"""WITH {ISO}, {_ALIASES}, people AS (SELECT c_custkey, {_NAME_CASE} AS place FROM customer),
       named AS (SELECT *, lower(trim(place)) AS nm FROM people),
-      near AS (SELECT DISTINCT nm, arg_min(alpha3, (levenshtein(nm, lower(name)), lower(name))) OVER (PARTITION BY nm) AS code
+      near AS (SELECT DISTINCT nm, arg_min(alpha3, (NOT contains(lower(name), nm), levenshtein(nm, lower(name)), lower(name))) OVER (PARTITION BY nm) AS code
         FROM (SELECT DISTINCT nm FROM named) p, iso WHERE length(nm) >= 3
         AND (contains(lower(name), nm) OR starts_with(lower(name), substr(nm, 1, 3))))
       SELECT c_custkey, place, CASE WHEN length(nm) < 2 OR nm IN {in_list(STOP_WORDS)} THEN NULL

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from presswire import schemas
@@ -27,7 +28,7 @@ def table_exists(spark: SparkSession, path: str) -> bool:
 
 def read_events(spark: SparkSession, path: str) -> DataFrame:
     """Stored events; a column missing from older files reads as NULL."""
-    return spark.read.schema(schemas.EVENTS_RAW).parquet(path)
+    return spark.read.schema(schemas.EVENTS_RAW).parquet(path).select(*schemas.EVENTS_RAW.names)
 
 
 def read_gkg(spark: SparkSession, path: str) -> DataFrame:
@@ -63,14 +64,18 @@ def append_new(
     Rows are grouped by day before the write to keep the number of files low; a large
     day is split over several tasks by the rebalance. Returns the stored table.
     """
-    spark = batch.sparkSession
+    spark, schema = batch.sparkSession, batch.schema
     partition = partition_col or date_col
-    fresh = batch
-    schema = batch.schema
-    if table_exists(spark, path):
-        stored = spark.read.schema(schema).parquet(path)
-        fresh = new_rows_only(batch, stored, key, date_col, partition)
-    fresh.hint("rebalance", partition).write.mode("append").partitionBy(partition).parquet(path)
+    # the batch feeds the date bounds, the anti-join and the write: compute it once
+    held = batch.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        fresh = held
+        if table_exists(spark, path):
+            stored = spark.read.schema(schema).parquet(path)
+            fresh = new_rows_only(held, stored, key, date_col, partition)
+        fresh.hint("rebalance", partition).write.mode("append").partitionBy(partition).parquet(path)
+    finally:
+        held.unpersist()
     return spark.read.schema(schema).parquet(path)
 
 
@@ -79,7 +84,8 @@ def append_new_events(batch: DataFrame, path: str) -> DataFrame:
     spark = batch.sparkSession
     empty = spark.createDataFrame([], schemas.EVENTS_RAW)
     full = empty.unionByName(batch, allowMissingColumns=True)
-    return append_new(full, path, "EVENT_ID", EVENT_PARTITION)
+    append_new(full, path, "EVENT_ID", EVENT_PARTITION)
+    return read_events(spark, path)
 
 
 def retain(gkg: DataFrame, as_of: dt.date, days: int = 30) -> DataFrame:
