@@ -19,6 +19,8 @@ def local_session(name: str = "presswire", cores: int | str = 8, **conf: str) ->
         .config("spark.sql.shuffle.partitions", str(conf.pop("shuffle_partitions", 8)))
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
+        # skips recording a call site per column expression while a plan is built
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.driver.memory", conf.pop("driver_memory", "8g"))
     )
     for key, value in conf.items():

@@ -116,9 +116,12 @@ def append_new_gkg(batch: DataFrame, path: str, as_of: dt.date | None = None) ->
 
 
 def merge_embeddings(events: DataFrame, vectors: DataFrame) -> DataFrame:
-    """Events with EMBEDDING replaced where `vectors(EVENT_ID, EMBEDDING)` has a value."""
-    new = vectors.filter(F.col("EMBEDDING").isNotNull()).select(
-        "EVENT_ID", F.col("EMBEDDING").alias("_new")
+    """Events with EMBEDDING replaced where `vectors(EVENT_ID, EMBEDDING)` has a value.
+
+    An id given twice takes the larger vector, so it never multiplies event rows.
+    """
+    new = vectors.filter(F.col("EMBEDDING").isNotNull()).groupBy("EVENT_ID").agg(
+        F.max("EMBEDDING").alias("_new")
     )
     return (
         events.join(new, "EVENT_ID", "left")

@@ -208,3 +208,10 @@ def test_missing_column_reads_as_null(spark):
 def test_staged_rows_need_an_id(spark, sf_dir):
     events = R.events_raw(spark, sf_dir).withColumn("EVENT_ID", F.when(F.col("DATE") > "20240115", F.col("EVENT_ID")))
     assert staging.stg_events(events).filter("event_id IS NULL").isEmpty()
+
+
+def test_repeated_vectors_do_not_multiply_events(spark):
+    events = spark.createDataFrame([("1", None), ("2", [1.0])], "EVENT_ID string, EMBEDDING array<double>")
+    new = spark.createDataFrame([("1", [2.0]), ("1", [3.0]), ("2", None)], "EVENT_ID string, EMBEDDING array<double>")
+    got = {r["EVENT_ID"]: r["EMBEDDING"] for r in tables.merge_embeddings(events, new).collect()}
+    assert got == {"1": [3.0], "2": [1.0]} and tables.merge_embeddings(events, new).count() == 2
