@@ -66,14 +66,17 @@ def append_new(
     """
     spark, schema = batch.sparkSession, batch.schema
     partition = partition_col or date_col
+
+    def write(rows: DataFrame) -> None:
+        rows.hint("rebalance", partition).write.mode("append").partitionBy(partition).parquet(path)
+
+    if not table_exists(spark, path):
+        write(batch)
+        return spark.read.schema(schema).parquet(path)
     # the batch feeds the date bounds, the anti-join and the write: compute it once
     held = batch.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        fresh = held
-        if table_exists(spark, path):
-            stored = spark.read.schema(schema).parquet(path)
-            fresh = new_rows_only(held, stored, key, date_col, partition)
-        fresh.hint("rebalance", partition).write.mode("append").partitionBy(partition).parquet(path)
+        write(new_rows_only(held, spark.read.schema(schema).parquet(path), key, date_col, partition))
     finally:
         held.unpersist()
     return spark.read.schema(schema).parquet(path)
