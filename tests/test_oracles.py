@@ -2,8 +2,10 @@
 
 import pytest
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
 from compare import connect, difference
+from presswire.plans.oracles import ORACLES
+from presswire.plans.registry import QUERIES
 
 
 @pytest.fixture(scope="module")
@@ -12,13 +14,13 @@ def con(sf_dir):
 
 
 def test_every_query_has_an_oracle():
-    assert set(queries()) == set(oracle_sql())
+    assert set(QUERIES) == set(ORACLES)
 
 
 def test_entry(spark):
     assert entry(spark).count() == 30
 
 
-@pytest.mark.parametrize("name", sorted(queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_matches_oracle(spark, sf_dir, con, name):
-    assert difference(queries()[name](spark, sf_dir), con, oracle_sql()[name]) is None
+    assert difference(QUERIES[name](spark, sf_dir), con, ORACLES[name]) is None
