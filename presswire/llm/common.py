@@ -5,6 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
@@ -52,15 +54,19 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def open_store(uri: str) -> tuple[fs.FileSystem, str]:
+    """File system and path of a folder in the shared store; a plain path is a mounted one."""
+    return fs.FileSystem.from_uri(uri) if ":/" in uri else (fs.LocalFileSystem(), uri)
+
+
 def pieces(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
     """Ranges of rows with about `limit` bytes of text each, one row at least."""
     start, held = 0, 0
-    for i, n in enumerate(texts.value_lengths().to_pylist() if hasattr(texts, "value_lengths")
-                          else [len(x or b"") for x in texts.to_pylist()]):
-        if i > start and held + (n or 0) > limit:
+    for i, n in enumerate(pc.binary_length(texts).to_pylist()):
+        if i > start and held + n > limit:
             yield start, i
             start, held = i, 0
-        held += n or 0
+        held += n
     if start < len(texts):
         yield start, len(texts)
 
@@ -82,20 +88,20 @@ def map_texts(
     kept = [c for c in keep if c not in names]
     schema = T.StructType([docs.schema[c] for c in kept] + list(fields))
     arrow = [to_arrow_type(f.dataType) for f in fields]
-    source = docs.select(
-        *[F.col(f"`{c}`") for c in kept],
-        F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).cast("binary").alias("__text"),
-    )
+    # a kept text travels once
+    at = kept.index(text) if text in kept and docs.schema[text].dataType == T.StringType() else len(kept)
+    body = [F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).cast("binary").alias("__text")]
+    source = docs.select(*[F.col(f"`{c}`") for c in kept], *(body if at == len(kept) else []))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
         for batch in batches:
-            last = batch.num_columns - 1
-            for a, b in pieces(batch.column(last)):
+            raw = batch.column(at).cast(pa.binary()).fill_null(b"")
+            for a, b in pieces(raw):
                 part = batch.slice(a, b - a)
-                made = work(part.column(last).to_pylist(), part)
+                made = work(raw.slice(a, b - a).to_pylist(), part)
                 yield pa.RecordBatch.from_arrays(
-                    [*part.columns[:last],
+                    [*part.columns[:len(kept)],
                      *(x if isinstance(x, pa.Array) else pa.array(x, k) for x, k in zip(made, arrow))],
                     names=[*kept, *names],
                 )

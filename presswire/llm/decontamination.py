@@ -142,6 +142,13 @@ def find_contamination(
     return state.select(*[F.col(f"`{c}`") for c in wanted], *_RESULT.names)
 
 
+def keep_clean(docs: DataFrame, items: DataFrame, *, text: str = "text", window: int = WINDOW) -> DataFrame:
+    """The documents without any window of an item, with their own columns."""
+    names = {c: f"__own_{c}" for c in docs.columns}
+    found = find_contamination(docs.withColumnsRenamed(names), items, text=names[text], window=window)
+    return found.filter("n_hit = 0").select(*[F.col(f"`{o}`").alias(c) for c, o in names.items()])
+
+
 def _search(shared: Broadcast, name: str, window: int, before: list[str], last: bool):
     def make():
         searchers = _searchers(name, shared, window)

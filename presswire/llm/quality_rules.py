@@ -29,7 +29,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from presswire.llm.common import UPPER, WHITE_SPACE, written
+from presswire.llm.common import WHITE_SPACE, written
 
 MIN_WORDS = 50
 MAX_REPEATED_PERCENT = 50
@@ -47,25 +47,24 @@ GRID: dict[str, list[float]] = {
 MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
-def _removed(text: Column, characters: str) -> Column:
-    """How many characters of `text` are among `characters`."""
-    return (F.length(text) - F.length(F.translate(text, characters, ""))).cast("long")
+def _windows_found_twice(words: Column, hashes: Column) -> tuple[Column, Column]:
+    """Sorted hashes, and from them (as `__packed`) words and start of the three-word windows whose
+    hash occurs more than once, in order of the words.
 
-
-def _windows_found_twice(words: Column, hashes: Column) -> Column:
-    """Ascending starts of the three-word windows that occur more than once.
-
-    `hashes` holds per window 32 bits of hash and its start, ascending: windows that may be
-    equal are neighbours. The words themselves decide among those.
+    Sorting 32 bits of hash with the start brings windows that may be equal together; the
+    words themselves decide among those.
     """
+    packed = F.sort_array(F.transform(hashes, lambda h, i: F.shiftleft(h, 32).bitwiseOR(i.cast("long"))))
+
     def close(x: Column, j: Column, by: int) -> Column:
-        other = F.get(hashes, j + by)
+        other = F.get(F.col("__packed"), j + by)
         return F.coalesce(F.shiftright(other, 32) == F.shiftright(x, 32), F.lit(False))
 
-    may = F.filter(hashes, lambda x, j: close(x, j, -1) | close(x, j, 1))
+    may = F.filter("__packed", lambda x, j: close(x, j, -1) | close(x, j, 1))
     at = F.transform(may, lambda x: x.bitwiseAND(F.lit(0xFFFFFFFF)).cast("int"))
-    return F.transform(at, lambda i: F.struct(
+    windows = F.transform(at, lambda i: F.struct(
         F.get(words, i).alias("a"), F.get(words, i + 1).alias("b"), F.get(words, i + 2).alias("c"), i.alias("i")))
+    return packed, F.sort_array(windows)
 
 
 def with_measures(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -73,19 +72,23 @@ def with_measures(docs: DataFrame, text: str = "text") -> DataFrame:
     body = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
     own = [*MEASURES, *GRID, "base_failed"]
     split = docs.drop(*own).withColumn("__words", F.array_remove(F.split(body, WHITE_SPACE), ""))
-    hashed = split.withColumn("__hashes", F.array_sort(F.slice(
-        F.transform("__words", lambda w, i: F.shiftleft(
-            F.xxhash64(w, F.get("__words", i + 1), F.get("__words", i + 2)), 32).bitwiseOR(i.cast("long"))),
-        F.lit(1), F.greatest(F.size("__words") - 2, F.lit(0)))))
-    sorted_windows = hashed.withColumn(
-        "__windows", F.array_sort(_windows_found_twice(F.col("__words"), F.col("__hashes"))))
+    hashed = split.withColumn("__hashes", F.slice(
+        F.transform("__words", lambda w, i: F.xxhash64(w, F.get("__words", i + 1), F.get("__words", i + 2))),
+        F.lit(1), F.greatest(F.size("__words") - 2, F.lit(0))))
+    packed, found_twice = _windows_found_twice(F.col("__words"), F.col("__hashes"))
+    # most texts repeat no hash and are done here
+    repeats = F.size(F.array_distinct("__hashes")) < F.size("__hashes")
+    sorted_windows = (
+        hashed.withColumn("__packed", F.when(repeats, packed)).drop("__hashes")
+        .withColumn("__windows", F.when(F.col("__packed").isNotNull(), found_twice)).drop("__packed")
+    )
     windows = F.col("__windows")
 
     def same(x: Column, j: Column, by: int) -> Column:
         other = F.get(windows, j + by)
         return F.coalesce((other["a"] == x["a"]) & (other["b"] == x["b"]) & (other["c"] == x["c"]), F.lit(False))
 
-    starts = F.array_sort(F.transform(
+    starts = F.sort_array(F.transform(
         F.filter(windows, lambda x, j: same(x, j, -1) | same(x, j, 1)), lambda x: x["i"]))
     # windows in order: each covers the words that the one before did not
     covered = F.aggregate(
@@ -94,17 +97,21 @@ def with_measures(docs: DataFrame, text: str = "text") -> DataFrame:
         lambda acc, i: F.struct(i.alias("before"), (acc["n"] + F.least(F.lit(3), i - acc["before"])).alias("n")),
         lambda acc: acc["n"].cast("long"),
     )
-    lines = F.filter(F.split(body, "\n"), lambda line: F.length(F.translate(line, " \t\n\x0b\x0c\r", "")) > 0)
-    with_lines = sorted_windows.withColumn("__lines", lines)
-    measured = with_lines.withColumns({
+    # one pass over the text leaves only the characters that are counted
+    prepared = sorted_windows.withColumns({
+        "__lines": F.filter(F.split(body, "\n"), lambda line: line.rlike(r"[^\x20\x09-\x0D]")),
+        "__marks": F.regexp_replace(body, r"[^A-Z!#*$%&|<>]+", ""),
+    })
+    marks, bare = F.col("__marks"), F.col("__bare")
+    measured = prepared.withColumn("__bare", F.regexp_replace(marks, r"[#*$%&|<>]+", "")).withColumns({
         "n_words": F.size("__words").cast("long"),
-        "word_chars": F.length(F.translate(body, " \t\n\x0b\x0c\r", "")).cast("long"),
-        "n_symbols": _removed(body, "#*$%&|<>"),
+        "word_chars": F.length(F.array_join("__words", "")).cast("long"),
+        "n_symbols": (F.length(marks) - F.length(bare)).cast("long"),
         "n_dup_lines": (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long"),
         "n_repeat_words": F.when(F.size("__windows") > 0, covered).otherwise(F.lit(0)).cast("long"),
         "__n_lines": F.size("__lines"),
-        "__n_caps": _removed(body, UPPER),
-        "__n_bangs": _removed(body, "!"),
+        "__n_caps": F.length(F.replace(bare, F.lit("!"), F.lit(""))),
+        "__n_bangs": F.length(bare) - F.length(F.replace(bare, F.lit("!"), F.lit(""))),
     })
     words = F.greatest(F.col("n_words"), F.lit(1)).cast("double")
     rated = measured.withColumns({
@@ -116,7 +123,7 @@ def with_measures(docs: DataFrame, text: str = "text") -> DataFrame:
         "base_failed": (F.col("n_words") < MIN_WORDS)
         | (100 * F.col("n_repeat_words") > MAX_REPEATED_PERCENT * F.col("n_words")),
     })
-    return rated.drop("__words", "__hashes", "__windows", "__lines", "__n_lines", "__n_caps", "__n_bangs")
+    return rated.drop("__words", "__windows", "__lines", "__marks", "__bare", "__n_lines", "__n_caps", "__n_bangs")
 
 
 def log_binomial_cdf(k: Column, n: Column, p: float) -> Column:

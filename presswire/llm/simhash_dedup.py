@@ -349,7 +349,8 @@ def near_components(
     distance: int = DISTANCE,
     bucket_rows: int = BUCKET_ROWS,
 ) -> DataFrame:
-    """`keep` columns (doc_id by default), fp (long) and component_id, one row per document."""
+    """`keep` columns (doc_id by default), fp (long), component_id and root (the component's smallest
+    fingerprint), one row per document."""
     keep = [doc_id] if keep is None else keep
     marked = written(fingerprints(docs, text=text, keep=list(dict.fromkeys([*keep, doc_id])), shingle=shingle),
                      "fingerprints")
@@ -362,8 +363,23 @@ def near_components(
     named = distinct.join(roots, distinct.fp == roots.node, "left").select(
         "fp", "first_id", F.coalesce("root", "fp").alias("root"))
     smallest = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    of_fp = named.join(smallest, "root").select("fp", "component_id")
-    return marked.join(of_fp, "fp").select(*[F.col(f"`{c}`") for c in keep], "fp", "component_id")
+    of_fp = named.join(smallest, "root").select("fp", "root", "component_id")
+    return marked.join(of_fp, "fp").select(*[F.col(f"`{c}`") for c in keep], "fp", "component_id", "root")
+
+
+def keep_first(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", shingle: int = SHINGLE,
+               distance: int = DISTANCE) -> DataFrame:
+    """One document of each component, with all its columns: the one with the smallest id, and
+    among texts with that id the one with the smallest hash; rows that repeat it go."""
+    key = ["__id", "__null", "__hash"]
+    keys = {"__id": F.coalesce(F.col(f"`{doc_id}`"), F.lit(0)), "__null": F.col(f"`{doc_id}`").isNull(),
+            "__hash": F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit("")))}
+    keyed = docs.withColumns(keys)
+    linked = near_components(keyed, text=text, doc_id=doc_id, keep=[doc_id, *key], shingle=shingle, distance=distance)
+    # component_id is null only if no member has an id: then the fingerprint's own group stands for it
+    first = linked.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("root")).alias("of")).agg(
+        F.min(F.struct("__null", "__id", "__hash")).alias("first")).select("first.*")
+    return keyed.join(first, key, "left_semi").dropDuplicates(key).drop(*key)
 
 
 def hex_digits(fp: Column) -> Column:
