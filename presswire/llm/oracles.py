@@ -121,7 +121,7 @@ places AS (
           FROM docs, (SELECT DISTINCT m FROM windows) WHERE len(ws) >= m)),
 hits AS (SELECT doc_id, p.m, i, item FROM places p JOIN windows w ON w.m = p.m AND w.gram = p.gram),
 hit_words AS (
-    SELECT doc_id, count(DISTINCT at) AS n FROM (SELECT doc_id, unnest(range(i, i + m)) AS at FROM hits) GROUP BY doc_id),
+    SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + m)) AS p FROM hits) GROUP BY doc_id),
 hit_items AS (
     SELECT doc_id, count(DISTINCT item) AS n, string_agg(DISTINCT item, ',' ORDER BY item) AS ids FROM hits GROUP BY doc_id)
 SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(h.n, 0) AS BIGINT) AS n_hit,
