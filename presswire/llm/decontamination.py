@@ -134,7 +134,7 @@ def find_contamination(
         after = next(blocks, None)
         through = wanted if after is None else carried
         before = [] if first else [f"{c}_before" for c in _STATE.names]
-        state = state.withColumnsRenamed(dict(zip(_STATE.names, before)))
+        state = state.drop(*before).withColumnsRenamed(dict(zip(_STATE.names, before)))
         state = map_texts(
             state, text, [*through, *before], _RESULT if after is None else _STATE,
             _search(spark.sparkContext.broadcast(block), uuid.uuid4().hex, window, before, after is None),
