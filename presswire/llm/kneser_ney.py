@@ -32,6 +32,7 @@ import tempfile
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -40,7 +41,7 @@ import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from presswire.llm.common import map_texts, open_store
+from presswire.llm.common import map_texts, open_store, pieces
 from presswire.session import ship_package, work_path
 
 #: The end mark; no word can be white space.
@@ -50,6 +51,7 @@ HELD_OUT = (7, 2)
 #: Tokens gathered in a task before they are reduced; distinct words remembered by a worker.
 TASK_TOKENS = 1 << 22
 REMEMBERED = 600_000
+SLICE_BYTES = 4 << 20
 DEFAULT_DISCOUNTS = (0.5, 1.0, 1.5)
 
 
@@ -212,6 +214,14 @@ def mapped(folder: str, name: str) -> np.ndarray:
     return _MAPPED[key]
 
 
+def before_of(ids: np.ndarray, texts: list[list[bytes]], start) -> np.ndarray:
+    """The id before each one, `start` at the begin of a text."""
+    before = np.empty_like(ids)
+    before[1:] = ids[:-1]
+    before[np.append(0, np.cumsum([len(t) for t in texts]))[:-1]] = start
+    return before
+
+
 class Words:
     """Ids of words in a worker: a bounded memory in front of the mapped hashes."""
 
@@ -220,18 +230,15 @@ class Words:
         self.offsets = np.append(0, np.cumsum(sizes)).astype(np.int64)
         self.shift = np.uint64(64 - (len(sizes) - 1).bit_length()) if len(sizes) > 1 else None
 
-    def ids(self, words: list[bytes]) -> np.ndarray:
-        """Id of each word, -1 for words that were never counted."""
-        found = list(map(self.known.get, words))
-        if None in found:
-            if len(self.known) > REMEMBERED:
-                self.known.clear()
-            new = list({w for w, i in zip(words, found) if i is None})
+    def ids(self, texts: list[list[bytes]]) -> np.ndarray:
+        """Ids of the words of all texts in a row, -1 for words that were never counted."""
+        if len(self.known) > REMEMBERED:
+            self.known.clear()
+        new = list(set().union(*texts).difference(self.known))
+        if new:
             self.known.update(zip(new, self.search(new).tolist()))
-            found = [i if i is not None else self.known.get(w) for w, i in zip(words, found)]
-            if None in found:  # forgotten in between
-                return self.ids(words)
-        return np.array(found, np.int64)
+        get, size = self.known.__getitem__, sum(map(len, texts))
+        return np.fromiter(map(get, chain.from_iterable(texts)), np.int64, size)
 
     def search(self, words: list[bytes]) -> np.ndarray:
         digest = xxhash.xxh64_intdigest
@@ -315,10 +322,10 @@ def train(texts: DataFrame, *, text: str = "text") -> Model:
             return dealt("pairs", edges, *counted(np.concatenate(held))) if held else iter(())
 
         for batch in batches:
-            for raw in batch.column(0).to_pylist():
-                ids = words.ids(tokens_of(raw)).astype(np.uint64)
-                before = np.append(START_ID, ids[:-1])
-                held.append(spread((before << _HALF) | ids))
+            for a, b in pieces(batch.column(0), SLICE_BYTES):
+                texts = [tokens_of(raw) for raw in batch.column(0).slice(a, b - a).to_pylist()]
+                ids = words.ids(texts).astype(np.uint64)
+                held.append(spread((before_of(ids, texts, START_ID) << _HALF) | ids))
                 size += len(ids)
                 if size > TASK_TOKENS:
                     yield from row_batches(reduced())
@@ -422,30 +429,25 @@ class Scorer:
     def score(self, texts: list[bytes]) -> tuple[np.ndarray, ...]:
         """Per text: tokens, known tokens, base score, model score."""
         m = self.model
-        each = [self.words.ids(tokens_of(t)) for t in texts]
-        sizes = np.array([len(x) for x in each])
-        ids, starts = np.concatenate(each), np.append(0, np.cumsum(sizes)[:-1])
-        before = np.empty_like(ids)
-        before[1:] = ids[:-1]
-        before[starts] = int(START_ID)
+        words = [tokens_of(t) for t in texts]
+        sizes = np.array([len(w) for w in words])
+        starts = np.append(0, np.cumsum(sizes)[:-1])
+        ids = self.words.ids(words)
+        before = before_of(ids, words, int(START_ID))
         known = ids >= 0
-        vocabulary, where = np.unique(np.append(ids[known], before[(before >= 0) & (before != int(START_ID))]),
-                                      return_inverse=True)
-        stats, counts = self.word_stats(vocabulary)
-        own = np.full(len(ids), -1, np.int64)
-        own[known] = where[:np.count_nonzero(known)]
-        count = np.where(known, counts[own], 0.0) if len(vocabulary) else np.zeros(len(ids))
+        # statistics once per distinct word, then by place; place 0 is for unknown words
+        vocabulary, own = np.unique(ids, return_inverse=True)
+        at = np.flatnonzero(vocabulary >= 0)
+        stats, counts = np.zeros((5, len(vocabulary))), np.zeros(len(vocabulary))
+        stats[:, at], counts[at] = self.word_stats(vocabulary[at])
+        count, seen = counts[own], stats[4][own]
         base = np.log10((count + 1) / (m.n_tokens + 1 * (m.n_words + 1)))
         # p(c)
-        seen = np.where(known, stats[4][own], 0.0) if len(vocabulary) else np.zeros(len(ids))
         p = np.maximum(seen - self.discount(seen, m.word_discounts), 0) / max(m.continuations, 1) + self.uniform
         # contexts: the statistics of the token before; the start mark has its own file
-        context = np.zeros((4, len(ids)))
-        inside = np.flatnonzero((before >= 0) & (before != int(START_ID)))
-        if len(inside):
-            context[:, inside] = stats[:4, where[np.count_nonzero(known):]]
-        if m.n_tokens:
-            context[:, starts] = mapped(m.folder, f"stats-{m.buckets}.npy")[:4]
+        context = np.empty((4, len(ids)))
+        context[:, 1:] = stats[:4, own[:-1]]
+        context[:, starts] = mapped(m.folder, f"stats-{m.buckets}.npy")[:4] if m.n_tokens else 0
         total = context[0]
         used = total > 0
         both = np.flatnonzero(used & known)

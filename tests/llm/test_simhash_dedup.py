@@ -95,3 +95,38 @@ def test_thresholds_satisfy_the_pigeonhole_at_every_size(n):
 
 def test_empty_table(spark):
     assert S.near_components(empty(spark)).count() == 0
+
+
+def shingles(text, n=5):
+    words = re.findall(r"[^\x20\x09-\x0D]+", lower(text))
+    return {tuple(words[i:i + n]) for i in range(len(words) - n + 1)} or {tuple(words)}
+
+
+def test_one_document_of_each_group_stays(spark):
+    rng = random.Random(7)
+    texts, group = [], []
+    for g in range(12):
+        words = [f"g{g}w{rng.randrange(3000)}" for _ in range(400)]
+        for k in (0, 0, 1, 2, 3, 60):  # the last is another document
+            texts.append(edited(rng, words, k))
+            group.append(g if k < 60 else 100 + g)
+    texts += [None, None, ""]
+    group += [200, 200, 200]
+    rows = [(i if i != 30 else None, t, "en", "s", 1, 2, "x", 3) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows + rows[:1], documents(spark).schema)
+    kept = S.keep_first(docs)
+    assert kept.columns == docs.columns
+    got = sorted(r.doc_id for r in kept.collect())
+    assert len({group[i] for i in got}) == len(got) == len(set(group))
+    for g in set(group):
+        members = [i for i in range(len(texts)) if group[i] == g and i != 30]
+        assert min(members) in got
+    assert S.keep_first(empty(spark)).count() == 0
+
+
+def test_unlike_texts_with_near_fingerprints_stay(spark):
+    pairs = spark.createDataFrame([
+        (1, 2, np.arange(10, dtype=np.uint64).tobytes(), np.arange(2, 12, dtype=np.uint64).tobytes()),
+        (1, 3, np.arange(10, dtype=np.uint64).tobytes(), np.arange(1, 10, dtype=np.uint64).tobytes())],
+        "lo long, hi long, a binary, b binary")
+    assert [tuple(r) for r in S.alike(pairs, 0.8).collect()] == [(1, 3)]
