@@ -39,9 +39,9 @@ def emotion_value(pairs: Column, code: str) -> Column:
 
 
 def parse_themes(themes: Column) -> Column:
-    """First ten theme names longer than two characters, comma-joined."""
+    """All theme names longer than two characters, comma-joined."""
     names = F.transform(F.split(themes, ";"), lambda t: T.strip(F.split(t, ",")[0]))
-    kept = F.slice(F.filter(names, lambda t: F.length(t) > 2), 1, 10)
+    kept = F.filter(names, lambda t: F.length(t) > 2)
     return F.coalesce(F.array_join(kept, ","), F.lit(""))
 
 

@@ -88,23 +88,19 @@ def _stories(events: DataFrame, as_of: dt.date) -> DataFrame:
     )
 
 
-def trending_week(events: DataFrame, as_of: dt.date, n: int = 500) -> DataFrame:
-    """Stories of the week by article count, then date."""
-    return (
-        _stories(events, as_of)
-        .filter(F.col("ARTICLE_COUNT") > 3)
-        .orderBy(F.col("ARTICLE_COUNT").desc(), F.col("DATE").desc(), F.col("EVENT_ID"))
-        .limit(n)
-    )
+def _first(stories: DataFrame, order: list[Column], n: int | None) -> DataFrame:
+    return stories if n is None else stories.orderBy(*order, F.col("EVENT_ID")).limit(n)
 
 
-def feed_week(events: DataFrame, as_of: dt.date, n: int = 500) -> DataFrame:
-    """Stories of the week by date, then article count."""
-    return (
-        _stories(events, as_of)
-        .orderBy(F.col("DATE").desc(), F.col("ARTICLE_COUNT").desc_nulls_last(), F.col("EVENT_ID"))
-        .limit(n)
-    )
+def trending_week(events: DataFrame, as_of: dt.date, n: int | None = 500) -> DataFrame:
+    """Stories of the week by article count, then date; `n=None` returns all, in no order."""
+    order = [F.col("ARTICLE_COUNT").desc(), F.col("DATE").desc()]
+    return _first(_stories(events, as_of).filter(F.col("ARTICLE_COUNT") > 3), order, n)
+
+
+def feed_week(events: DataFrame, as_of: dt.date, n: int | None = 500) -> DataFrame:
+    """Stories of the week by date, then article count; `n=None` returns all, in no order."""
+    return _first(_stories(events, as_of), [F.col("DATE").desc(), F.col("ARTICLE_COUNT").desc_nulls_last()], n)
 
 
 def countries_month(events: DataFrame, as_of: dt.date) -> DataFrame:

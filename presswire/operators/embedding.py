@@ -15,25 +15,28 @@ Embedder = Callable[[list[str]], Sequence[Sequence[float] | None]]
 
 
 def pending_embeddings(
-    events: DataFrame, min_articles: int = V.EMBED_MIN_ARTICLES, n: int | None = V.EMBED_PER_RUN
+    events: DataFrame, min_articles: int = V.EMBED_MIN_ARTICLES, n: int | None = None
 ) -> DataFrame:
-    """Newest reported events with a headline and no vector; `n=None` returns them all.
+    """Reported events with a headline, enough text and no vector; with `n` the newest of them.
 
-    `n` is what one run may send to the embedder; later runs take the next ones.
+    Events whose text is too short to embed are left out first, so they never take a place
+    of those that can be embedded.
     """
+    text = embedding_text(F.col("MAIN_ACTOR"), F.col("ACTOR_COUNTRY_CODE"), F.col("HEADLINE"))
     waiting = events.filter(
         F.col("EMBEDDING").isNull()
         & (F.col("ARTICLE_COUNT") >= min_articles)
         & F.col("HEADLINE").isNotNull()
+        & text.isNotNull()
     ).select("EVENT_ID", "DATE", "MAIN_ACTOR", "ACTOR_COUNTRY_CODE", "HEADLINE")
     if n is None:
         return waiting
     return waiting.orderBy(F.col("DATE").desc_nulls_last(), F.col("EVENT_ID")).limit(n)
 
 
-def embedding_inputs(pending: DataFrame) -> DataFrame:
+def embedding_inputs(pending: DataFrame, max_chars: int | None = None) -> DataFrame:
     """Event ids with the text to embed, NULL where there is too little of it."""
-    text = embedding_text(F.col("MAIN_ACTOR"), F.col("ACTOR_COUNTRY_CODE"), F.col("HEADLINE"))
+    text = embedding_text(F.col("MAIN_ACTOR"), F.col("ACTOR_COUNTRY_CODE"), F.col("HEADLINE"), max_chars)
     return pending.select("EVENT_ID", text.alias("text"))
 
 
@@ -42,6 +45,7 @@ def embed_batch(
     embedder: Embedder,
     batch: int = V.EMBED_BATCH,
     min_chars: int = V.EMBED_MIN_CHARS_STORED,
+    max_chars: int | None = None,
 ) -> DataFrame:
     """(EVENT_ID, EMBEDDING) for a table of (EVENT_ID, text).
 
@@ -52,7 +56,7 @@ def embed_batch(
     def embed(texts: list[str | None]) -> list[list[float] | None]:
         out: list[list[float] | None] = [None] * len(texts)
         usable = [
-            (i, t.strip()[: V.EMBED_MAX_CHARS])
+            (i, t.strip()[:max_chars])
             for i, t in enumerate(texts)
             if isinstance(t, str) and len(t.strip()) >= min_chars
         ]

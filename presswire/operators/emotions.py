@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from presswire.functions import fixed_values as V
 from presswire.functions import labels, packed
@@ -77,26 +77,16 @@ def emotion_insight(gkg: DataFrame, as_of: dt.datetime) -> DataFrame:
     )
 
 
-def trending_topics(gkg: DataFrame, as_of: dt.datetime, n: int = 8, candidates: int = 30) -> DataFrame:
-    """Most mentioned topics by readable label.
-
-    The `candidates` most mentioned codes are labelled; a label met twice keeps its first,
-    larger count. From there on at most `candidates` rows are handled.
-    """
+def trending_topics(gkg: DataFrame, as_of: dt.datetime, n: int = 8) -> DataFrame:
+    """Most mentioned topics by readable label; codes with one label add up."""
     mentions = (
         last_day(gkg, as_of)
         .select(F.explode(packed.theme_items(F.col("TOP_THEMES"))).alias("theme"))
         .groupBy("theme").agg(F.count(F.lit(1)).alias("mentions"))
-        .orderBy(F.col("mentions").desc(), F.col("theme"))
-        .limit(candidates)
     )
-    order = [F.col("mentions").desc(), F.col("theme")]
     labelled = mentions.withColumn("label", packed.humanize_theme(F.col("theme"))).filter("label IS NOT NULL")
-    first = Window.partitionBy("label").orderBy(*order)
     return (
-        labelled.withColumn("_rn", F.row_number().over(first))
-        .filter("_rn = 1")
-        .orderBy(*order)
+        labelled.groupBy("label").agg(F.sum("mentions").alias("mentions"))
+        .orderBy(F.col("mentions").desc(), F.col("label"))
         .limit(n)
-        .select("label", "mentions")
     )

@@ -19,19 +19,21 @@ from presswire.functions.dates import (
 from presswire.operators.cleaning import dedupe_headlines, with_accepted
 from presswire.operators.countries import country_name
 
-DEFAULT_ROWS, MAX_ROWS, FETCH_FACTOR, MAX_FETCH = 5, 10, 50, 500
+DEFAULT_ROWS = 5
 EVENT_COLUMNS = [
     "EVENT_ID", "DATE", "ACTOR_COUNTRY_CODE", "HEADLINE", "MAIN_ACTOR", "IMPACT_SCORE",
     "ARTICLE_COUNT", "NEWS_LINK",
 ]
-_ROLLING_DAYS = {"week": 7, "month": 30, "all": 90}
+_ROLLING_DAYS = {"week": 7, "month": 30, "quarter": 90}
 
 
 def period(as_of: dt.date, name: str = "week", month: int | None = None, day: dt.date | None = None) -> Column:
-    """Date predicate: `day`, `week`, `month`, `all` (90 days), `last_week`, `this_week`,
+    """Date predicate: `day`, `week`, `month`, `quarter` (90 days), `all`, `last_week`, `this_week`,
     `calendar_month` (with `month`) or `specific` (with `day`)."""
     if name == "specific":
         return F.col("DATE") == day_key(day)
+    if name == "all":
+        return F.lit(True)
     if name == "day":
         return F.col("DATE") == day_key(as_of)
     if name in ("last_week", "this_week"):
@@ -41,12 +43,6 @@ def period(as_of: dt.date, name: str = "week", month: int | None = None, day: dt
     return F.col("DATE") >= days_before(as_of, _ROLLING_DAYS[name])
 
 
-def row_limits(requested: int | None = None) -> tuple[int, int]:
-    """Rows to show and rows to fetch before cleaning and deduplication."""
-    show = DEFAULT_ROWS if requested is None else min(requested, MAX_ROWS)
-    return show, min(show * FETCH_FACTOR, MAX_FETCH)
-
-
 def _known(events: DataFrame, when: Column, countries: Sequence[str] | None = None) -> DataFrame:
     found = events.filter(F.col("MAIN_ACTOR").isNotNull() & F.col("ACTOR_COUNTRY_CODE").isNotNull() & when)
     return found.filter(F.col("ACTOR_COUNTRY_CODE").isin(list(countries))) if countries else found
@@ -73,20 +69,21 @@ def lookup_top_countries(events: DataFrame, when: Column, n: int = DEFAULT_ROWS)
 
 
 def lookup_event_count(events: DataFrame, when: Column, countries: Sequence[str] | None = None) -> DataFrame:
-    """Number of events; of several countries only the first counts."""
-    first = list(countries)[:1] if countries else None
-    return _known(events, when, first).agg(F.count(F.lit(1)).alias("TOTAL_EVENTS"))
+    """Number of events, of the given countries if there are any."""
+    return _known(events, when, countries).agg(F.count(F.lit(1)).alias("TOTAL_EVENTS"))
 
 
 event_count_by_filter = lookup_event_count
 
 
-def _by(events: DataFrame, order: list[Column], n: int) -> DataFrame:
-    return events.select(*EVENT_COLUMNS).orderBy(*order, F.col("EVENT_ID")).limit(n)
+def _by(events: DataFrame, order: list[Column], n: int | None) -> DataFrame:
+    """The first `n` events; all of them, in no order, without `n`."""
+    chosen = events.select(*EVENT_COLUMNS)
+    return chosen if n is None else chosen.orderBy(*order, F.col("EVENT_ID")).limit(n)
 
 
 def lookup_crisis_events(
-    events: DataFrame, when: Column, countries: Sequence[str] | None = None, n: int = 250
+    events: DataFrame, when: Column, countries: Sequence[str] | None = None, n: int | None = 250
 ) -> DataFrame:
     found = _known(events, when, countries).filter(
         (F.col("ARTICLE_COUNT") >= 3) & (F.col("IMPACT_SCORE") < -3)
@@ -94,12 +91,12 @@ def lookup_crisis_events(
     return _by(found, [F.col("ARTICLE_COUNT").desc(), F.col("IMPACT_SCORE")], n)
 
 
-def lookup_major_events(events: DataFrame, when: Column, n: int = 250) -> DataFrame:
+def lookup_major_events(events: DataFrame, when: Column, n: int | None = 250) -> DataFrame:
     return _by(_known(events, when).filter(F.col("ARTICLE_COUNT") > 20), [F.col("ARTICLE_COUNT").desc()], n)
 
 
 def lookup_events(
-    events: DataFrame, when: Column, countries: Sequence[str] | None = None, n: int = 250
+    events: DataFrame, when: Column, countries: Sequence[str] | None = None, n: int | None = 250
 ) -> DataFrame:
     """Events with more than three articles; the date orders ties only for given countries."""
     order = [F.col("ARTICLE_COUNT").desc(), *([F.col("DATE").desc()] if countries else [])]

@@ -162,14 +162,14 @@ def exploded_themes(staged: DataFrame) -> DataFrame:
     )
 
 
-def fct_trending_themes(staged: DataFrame, min_count: int = 10, n: int = 100) -> DataFrame:
+def fct_trending_themes(staged: DataFrame, min_count: int = 10, n: int | None = 100) -> DataFrame:
     """Most mentioned themes with active days and mentions per active day.
 
     Mentions are first counted per (theme, day), which makes the distinct day count a
     plain count over few rows.
     """
     per_day = exploded_themes(staged).groupBy("theme", "date_key").agg(F.count(F.lit(1)).alias("mentions"))
-    return (
+    themes = (
         per_day.groupBy("theme")
         .agg(F.sum("mentions").alias("mention_count"), F.count("date_key").alias("days_active"))
         .filter(F.col("mention_count") >= min_count)
@@ -179,6 +179,6 @@ def fct_trending_themes(staged: DataFrame, min_count: int = 10, n: int = 100) ->
                 F.try_divide(F.col("mention_count").cast("double"), F.col("days_active").cast("double")), 1
             ),
         )
-        .orderBy(F.col("mention_count").desc(), F.col("theme"))
-        .limit(n)
     )
+    # the whole mart is stored unordered
+    return themes if n is None else themes.orderBy(F.col("mention_count").desc(), F.col("theme")).limit(n)

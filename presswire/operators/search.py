@@ -99,11 +99,11 @@ def similarity_group(scored: DataFrame, threshold: float = V.SIMILARITY_THRESHOL
     )
 
 
-def _top(hits: DataFrame, k: int) -> DataFrame:
-    return hits.orderBy(F.col("similarity").desc(), F.col("HEADLINE")).limit(k)
+def _top(hits: DataFrame, k: int | None) -> DataFrame:
+    return hits if k is None else hits.orderBy(F.col("similarity").desc(), F.col("HEADLINE")).limit(k)
 
 
-def _rank_by_vector(events: DataFrame, request: SearchRequest, k: int, cap: int | None) -> DataFrame:
+def _rank_by_vector(events: DataFrame, request: SearchRequest, k: int | None, cap: int | None) -> DataFrame:
     candidates = _most_reported(events.filter(F.col("EMBEDDING").isNotNull()), cap)
     asked = candidates.withColumn("_query", request.vector_column())
     scored = asked.withColumn("similarity", cosine_similarity(F.col("EMBEDDING"), F.col("_query")))
@@ -113,9 +113,9 @@ def _rank_by_vector(events: DataFrame, request: SearchRequest, k: int, cap: int
 def hybrid_search(
     events: DataFrame,
     request: SearchRequest,
-    k: int = 10,
+    k: int | None = 10,
     min_date: str | None = None,
-    cap: int | None = V.PREFILTER_LIMIT,
+    cap: int | None = None,
 ) -> DataFrame:
     """Events whose headline holds any search term, ranked by similarity."""
     terms = keywords_of(events.sparkSession, request.text)
@@ -126,9 +126,9 @@ def hybrid_search(
 def vector_search(
     events: DataFrame,
     request: SearchRequest,
-    k: int = 10,
+    k: int | None = 10,
     min_date: str | None = None,
-    cap: int | None = V.PREFILTER_LIMIT,
+    cap: int | None = None,
 ) -> DataFrame:
     """Events with at least two articles, ranked by similarity."""
     reported = _searchable(events, min_date).filter(F.col("ARTICLE_COUNT") >= V.MIN_ARTICLES_FOR_SEARCH)
@@ -144,9 +144,9 @@ def dedupe_best_similarity(hits: DataFrame, first: Column | None = None) -> Data
 def merged_search(
     events: DataFrame,
     request: SearchRequest,
-    k: int = 10,
+    k: int | None = 10,
     min_date: str | None = None,
-    cap: int | None = V.PREFILTER_LIMIT,
+    cap: int | None = None,
 ) -> DataFrame:
     """Best hit per headline of hybrid and vector search."""
     both = (
@@ -157,39 +157,41 @@ def merged_search(
 
 
 def keyword_search(
-    events: DataFrame, request: SearchRequest, k: int = 10, min_date: str | None = None
+    events: DataFrame, request: SearchRequest, k: int | None = 10, min_date: str | None = None
 ) -> DataFrame:
     """Events by number of matching search terms, then by articles; no vectors used."""
     terms = keywords_of(events.sparkSession, request.text)
     lowered = F.lower("HEADLINE")
     score = reduce(lambda a, b: a + b, [lowered.contains(t).cast("int") for t in terms], F.lit(0))
-    return (
+    found = (
         _searchable(events, min_date)
         .withColumn("_score", score)
         .filter(F.col("_score") > 0)
         .select("EVENT_ID", *HIT_COLUMNS[:-1], F.lit(None).cast("double").alias("similarity"), "_score")
-        .orderBy(F.col("_score").desc(), F.col("ARTICLE_COUNT").desc_nulls_last(), F.col("EVENT_ID"))
-        .limit(k)
-        .select(*HIT_COLUMNS)
     )
+    if k is not None:
+        order = [F.col("_score").desc(), F.col("ARTICLE_COUNT").desc_nulls_last(), F.col("EVENT_ID")]
+        found = found.orderBy(*order).limit(k)
+    return found.select(*HIT_COLUMNS)
 
 
 def search_with_fallback(
-    events: DataFrame, request: SearchRequest, k: int = 10, min_date: str | None = None
+    events: DataFrame, request: SearchRequest, k: int | None = 10, min_date: str | None = None,
+    cap: int | None = None,
 ) -> DataFrame:
     """Merged search; keyword search when there is no vector or nothing was found."""
     words_only = keyword_search(events, request, k, min_date)
     if request.vector is None:
         return words_only
-    found = merged_search(events, request, k, min_date)
+    found = merged_search(events, request, k, min_date, cap)
     return found.unionByName(words_only.filter(~found.select("HEADLINE").exists()))
 
 
-def search_all(events: DataFrame, requests: Sequence[SearchRequest], k: int = 10,
-               min_date: str | None = None) -> DataFrame:
+def search_all(events: DataFrame, requests: Sequence[SearchRequest], k: int | None = 10,
+               min_date: str | None = None, cap: int | None = None) -> DataFrame:
     """Hits of several requests with their `query_id`."""
     found = [
-        search_with_fallback(events, r, k, min_date).withColumn("query_id", F.lit(r.query_id).cast("bigint"))
+        search_with_fallback(events, r, k, min_date, cap).withColumn("query_id", F.lit(r.query_id).cast("bigint"))
         for r in requests
     ]
     return reduce(DataFrame.unionByName, found)

@@ -56,9 +56,11 @@ EV_COLS = ("EVENT_ID, DATE, MAIN_ACTOR, ACTOR_COUNTRY_CODE, EVENT_CATEGORY_CODE,
            "ARTICLE_COUNT, SENTIMENT_SCORE, NEWS_LINK, HEADLINE")
 STORY = "EVENT_ID, DATE, NEWS_LINK, HEADLINE, MAIN_ACTOR, ACTOR_COUNTRY_CODE, IMPACT_SCORE, ARTICLE_COUNT"
 
-_ISO_CASE = "CASE n_nationkey " + " ".join(f"WHEN {i} THEN '{c}'" for i, c in enumerate(ISO_CODES)) + " END"
-ISO = (f"iso AS (SELECT substr(code, 1, 2) AS alpha2, code AS alpha3, n_name AS name "
-       f"FROM (SELECT n_name, {_ISO_CASE} AS code FROM nation) WHERE code IS NOT NULL)")
+_ISO_CASE = "CASE n_nationkey " + " ".join(f"WHEN {i} THEN '{c}'" for i, c in enumerate(ISO_CODES)) + (
+    " ELSE 'N' || lpad(CAST(n_nationkey AS VARCHAR), 2, '0') END")
+ISO = (f"iso AS (SELECT CASE WHEN n_nationkey < {len(ISO_CODES)} THEN substr(code, 1, 2) "
+       f"ELSE chr(65 + n_nationkey) || 'X' END AS alpha2, code AS alpha3, n_name AS name "
+       f"FROM (SELECT n_nationkey, n_name, {_ISO_CASE} AS code FROM nation))")
 REGIONAL = "regional(code, label) AS (VALUES " + ", ".join(
     f"({q(c)}, {q(l)})" for c, l in V.REGIONAL_CODES.items()) + ")"
 COUNTRY = """COALESCE((SELECT label FROM regional r WHERE r.code = upper(trim(x.ACTOR_COUNTRY_CODE))),
@@ -81,7 +83,7 @@ def _gcam(code: str) -> str:
 
 
 _THEMES = """COALESCE(array_to_string(list_filter(list_transform(str_split(THEMES, ';'),
-  lambda t: trim(str_split(t, ',')[1])), lambda t: length(t) > 2)[1:10], ','), '')"""
+  lambda t: trim(str_split(t, ',')[1])), lambda t: length(t) > 2), ','), '')"""
 GKG = FEED + ", gkg AS (SELECT GKG_ID, DATE, SOURCE, PERSONS, ORGS, " + ", ".join(
     f"{_tone(i + 1)} AS {c}" for i, c in enumerate(["AVG_TONE", "POSITIVE_SCORE", "NEGATIVE_SCORE"])
 ) + ", " + ", ".join(
@@ -274,20 +276,22 @@ _LIKE = "(lower(HEADLINE) LIKE '%peace%' OR lower(HEADLINE) LIKE '%agreement%')"
 _HITS = "DATE, HEADLINE, ACTOR_COUNTRY_CODE, MAIN_ACTOR, IMPACT_SCORE, ARTICLE_COUNT, NEWS_LINK"
 
 
-def branch(name: str, condition: str, k: int = 10) -> str:
+def branch(name: str, condition: str, k: int | None = 10) -> str:
+    top = "" if k is None else f" ORDER BY similarity DESC, HEADLINE LIMIT {k}"
     return f"""{name}_c AS (SELECT * FROM ev WHERE EMBEDDING IS NOT NULL AND length(HEADLINE) > 15 AND {MONTH}
-    AND {condition} ORDER BY ARTICLE_COUNT DESC, EVENT_ID LIMIT 2000),
+    AND {condition}),
   {name} AS (SELECT MAX(DATE) AS DATE, HEADLINE, MAX(ACTOR_COUNTRY_CODE) AS ACTOR_COUNTRY_CODE,
     MAX(MAIN_ACTOR) AS MAIN_ACTOR, MAX(IMPACT_SCORE) AS IMPACT_SCORE, SUM(ARTICLE_COUNT) AS ARTICLE_COUNT,
     MAX(NEWS_LINK) AS NEWS_LINK, MAX({cosine('EMBEDDING')}) AS similarity FROM {name}_c GROUP BY HEADLINE
-    HAVING MAX({cosine('EMBEDDING')}) >= 0.2 ORDER BY similarity DESC, HEADLINE LIMIT {k})"""
+    HAVING MAX({cosine('EMBEDDING')}) >= 0.2{top})"""
 
 
-def merged(k: int = 10) -> str:
+def merged(k: int | None = 10) -> str:
+    top = "" if k is None else f" ORDER BY similarity DESC, HEADLINE LIMIT {k}"
     return f"""{branch('hyb', _LIKE, k)}, {branch('vec', 'ARTICLE_COUNT >= 2', k)},
   merged AS (SELECT {_HITS}, similarity FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY HEADLINE
     ORDER BY similarity DESC, b, DATE DESC) AS rn FROM (SELECT *, 0 AS b FROM hyb UNION ALL SELECT *, 1 AS b FROM vec))
-    WHERE rn = 1 ORDER BY similarity DESC, HEADLINE LIMIT {k})"""
+    WHERE rn = 1{top})"""
 
 
 def by_words(name: str, terms: list[str]) -> str:
@@ -303,10 +307,10 @@ _LETTERS = " + ".join(f"{i + 1} * (length(t) - length(replace(t, '{chr(97 + i)}'
 _EMBED_TEXT = """concat_ws(' ', CASE WHEN length(trim(MAIN_ACTOR)) > 2 THEN trim(MAIN_ACTOR) END,
   CASE WHEN length(ACTOR_COUNTRY_CODE) = 3 THEN ACTOR_COUNTRY_CODE END,
   CASE WHEN length(trim(HEADLINE)) > 10 THEN trim(HEADLINE) ELSE 'news event' END)"""
-PENDING = EV + ", pending AS (SELECT * FROM ev WHERE EMBEDDING IS NULL AND ARTICLE_COUNT >= 3 AND HEADLINE IS NOT NULL)"
-INPUTS = PENDING + f", inputs AS (SELECT EVENT_ID, CASE WHEN length({_EMBED_TEXT}) >= 15 THEN substr({_EMBED_TEXT}, 1, 512) END AS text FROM pending)"
+PENDING = EV + f", pending AS (SELECT * FROM ev WHERE EMBEDDING IS NULL AND ARTICLE_COUNT >= 3 AND HEADLINE IS NOT NULL AND length({_EMBED_TEXT}) >= 15)"
+INPUTS = PENDING + f", inputs AS (SELECT EVENT_ID, CASE WHEN length({_EMBED_TEXT}) >= 15 THEN {_EMBED_TEXT} END AS text FROM pending)"
 _MERGED_VEC = EV + f""", up AS (SELECT e.EVENT_ID, e.DATE, COALESCE(e.EMBEDDING, v.embedding)::DOUBLE[] AS vec FROM ev e
-  LEFT JOIN embeddings v ON e.EMBEDDING IS NULL AND v.vec_id = CAST(e.EVENT_ID AS BIGINT) % 500)
+  LEFT JOIN embeddings v ON e.EMBEDDING IS NULL AND v.vec_id = CAST(e.EVENT_ID AS BIGINT) % (SELECT max(vec_id) + 1 FROM embeddings))
   SELECT EVENT_ID, DATE, CAST(len(vec) AS BIGINT) AS dims, {r6('list_sum(vec)')} AS total FROM up"""
 
 # -- quality reports ----------------------------------------------------------
@@ -395,7 +399,7 @@ ORACLES: dict[str, str] = {
     "read_event_feed": f"{ART} SELECT * FROM art",
     "read_gkg_feed": f"{FEED} SELECT * FROM feed",
     "read_zipped_feed": f"{ART} SELECT * FROM art",
-    "missing_feed_slots": f"""WITH landed AS (SELECT DISTINCT time_bucket(INTERVAL 15 MINUTES, ts) AS slot FROM events WHERE event_type = 'signup'),
+    "missing_feed_slots": f"""WITH landed AS (SELECT DISTINCT time_bucket(INTERVAL 15 MINUTES, ts) AS slot FROM events),
       slots AS (SELECT unnest(generate_series(TIMESTAMP '2024-01-01', TIMESTAMP '2024-01-30 23:45:00', INTERVAL 15 MINUTES)) AS slot)
       SELECT 'events' AS feed, strftime(slot, '%Y%m%d%H%M00') || {q(V.EVENT_SLOT_SUFFIX)} AS file_name FROM slots
       WHERE slot NOT IN (SELECT slot FROM landed)""",
@@ -447,8 +451,7 @@ ORACLES: dict[str, str] = {
       AND MAIN_ACTOR IS NOT NULL ORDER BY IMPACT_SCORE, EVENT_ID LIMIT 15""",
     "trending_week": f"{EV} {_TRENDING}",
     "feed_week": f"{EV} {_FEED}",
-    "pending_embeddings": f"""{PENDING} SELECT EVENT_ID, DATE, MAIN_ACTOR, ACTOR_COUNTRY_CODE, HEADLINE FROM pending
-      ORDER BY DATE DESC, EVENT_ID LIMIT 500""",
+    "pending_embeddings": f"""{PENDING} SELECT EVENT_ID, DATE, MAIN_ACTOR, ACTOR_COUNTRY_CODE, HEADLINE FROM pending""",
     "article_count_fix": f"""{ART}, c AS (SELECT *, COUNT(*) OVER (PARTITION BY EVENT_ID) AS k,
       ROW_NUMBER() OVER (PARTITION BY EVENT_ID ORDER BY NEWS_LINK) AS rn FROM art)
       SELECT * EXCLUDE (k, rn, ARTICLE_COUNT), CASE WHEN k > ARTICLE_COUNT THEN k::DOUBLE ELSE ARTICLE_COUNT END AS ARTICLE_COUNT
@@ -456,7 +459,8 @@ ORACLES: dict[str, str] = {
     "new_rows_only": f"{EV} SELECT {EV_COLS} FROM ev WHERE DATE >= '20240116'",
     "country_name": f"{_LAB} SELECT x.EVENT_ID, x.ACTOR_COUNTRY_CODE, {COUNTRY} AS COUNTRY FROM ev x",
     "region_label": f"{_LAB} SELECT x.EVENT_ID, x.ACTOR_COUNTRY_CODE, {_REGION} AS REGION FROM ev x",
-    "country_alias": f"""WITH {ISO}, {_ALIASES}, people AS (SELECT c_custkey, {_NAME_CASE} AS place FROM customer),
+    "country_alias": f"""WITH {ISO}, {_ALIASES}, people AS (SELECT c_custkey, CASE WHEN c_custkey % 5 = 0 THEN n_name ELSE {_NAME_CASE} END AS place
+        FROM customer JOIN nation ON n_nationkey = c_nationkey),
       named AS (SELECT *, lower(trim(place)) AS nm FROM people),
       near AS (SELECT DISTINCT nm, arg_min(alpha3, (NOT contains(lower(name), nm), levenshtein(nm, lower(name)), lower(name))) OVER (PARTITION BY nm) AS code
         FROM (SELECT DISTINCT nm FROM named) p, iso WHERE length(nm) >= 3
@@ -534,10 +538,9 @@ ORACLES: dict[str, str] = {
       SELECT {r6('tone')} AS tone, {r6('fear')} AS fear, {r6('joy')} AS joy, {r6('anger')} AS anger, cnt,
       CASE WHEN fear > joy * 1.5 THEN 'fear' WHEN joy > fear * 1.5 THEN 'joy' WHEN tone < -2 THEN 'negative'
         WHEN tone > 2 THEN 'positive' ELSE 'balanced' END AS insight FROM m""",
-    "trending_topics": f"""{GKG}, {_THEME_ROWS}, top AS (SELECT theme, {n()} AS mentions FROM themes WHERE {DAY} GROUP BY 1
-        ORDER BY 2 DESC, 1 LIMIT 30),
-      named AS (SELECT {TOPIC} AS label, mentions, theme, ROW_NUMBER() OVER (PARTITION BY {TOPIC} ORDER BY mentions DESC, theme) AS rn FROM top)
-      SELECT label, mentions FROM named WHERE rn = 1 AND label IS NOT NULL ORDER BY mentions DESC, theme LIMIT 8""",
+    "trending_topics": f"""{GKG}, {_THEME_ROWS}, top AS (SELECT theme, COUNT(*) AS k FROM themes WHERE {DAY} GROUP BY 1)
+      SELECT label, {n('SUM(k)')} AS mentions FROM (SELECT {TOPIC} AS label, k FROM top) WHERE label IS NOT NULL
+      GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 8""",
     "article_counts": f"{ART} SELECT EVENT_ID, {n()} AS OUR_ARTICLE_COUNT FROM art GROUP BY 1",
     "extract_headlines": EXTRACTED,
     "best_row_per_event": f"{_BEST_ROW} SELECT EVENT_ID, NEWS_LINK, HEADLINE, c AS OUR_ARTICLE_COUNT FROM ranked WHERE rn = 1",
@@ -565,12 +568,12 @@ ORACLES: dict[str, str] = {
       {_SEVERITY} AS SEVERITY, {bands('IMPACT_SCORE', V.SENTIMENT_BANDS)} AS SENTIMENT_CATEGORY FROM ev x""",
     "label_distribution": f"{EV} SELECT DATE, {_INTENSITY} AS label, {n()} AS events FROM ev GROUP BY 1, 2",
     "story_score": f"{EV}, {best('ev')}, {_SCORED} SELECT EVENT_ID, {r6('QUALITY')} AS QUALITY, {r6('SCORE')} AS SCORE FROM scored",
-    "process_stories": stories(_TRENDING, 20),
-    "process_feed": stories(_FEED, 50),
+    "process_stories": stories(_TRENDING.split(" ORDER BY")[0], 20),
+    "process_feed": stories(_FEED.split(" ORDER BY")[0], 50),
     "query_terms": f"""WITH w AS (SELECT conv_id, turn, list_filter(list_transform(list_filter(
         regexp_split_to_array(trim(text, e' \\t\\n\\r'), '\\s+'), lambda w: length(w) > 2),
         lambda w: regexp_replace(lower(w), '[^\\p{{L}}\\p{{N}}]', '', 'g')),
-        lambda w: length(w) > 2 AND w NOT IN {in_list(V.SEARCH_STOP_WORDS)})[1:8] AS t FROM conversations)
+        lambda w: length(w) > 2 AND w NOT IN {in_list(V.SEARCH_STOP_WORDS)}) AS t FROM conversations)
       SELECT conv_id, turn, CAST(generate_subscripts(t, 1) - 1 AS BIGINT) AS position, unnest(t) AS term FROM w""",
     "embedding_inputs": f"{INPUTS} SELECT EVENT_ID, text FROM inputs",
     "embed_batch": f"""{INPUTS}, low AS (SELECT EVENT_ID, lower(text) AS t FROM inputs) SELECT EVENT_ID,
@@ -593,7 +596,7 @@ ORACLES: dict[str, str] = {
       {by_words('k3', ['central', 'bank', 'decision'])}
       SELECT {_HITS}, {r6('similarity')} AS similarity, 1::BIGINT AS query_id FROM merged
       UNION ALL SELECT {_HITS}, NULL, 2 FROM k2 UNION ALL SELECT {_HITS}, NULL, 3 FROM k3""",
-    "answer_context": f"""{EV}, {merged(15)}, {cleaned('merged', 'HEADLINE')}, {ISO}, {REGIONAL},
+    "answer_context": f"""{EV}, {merged(None)}, {cleaned('merged', 'HEADLINE')}, {ISO}, {REGIONAL},
       c AS (SELECT x.*, k.headline AS BH FROM merged x JOIN cleaned k ON k.raw = x.HEADLINE WHERE k.headline IS NOT NULL),
       x AS (SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY BH ORDER BY similarity DESC, ARTICLE_COUNT DESC) AS rn FROM c
         WHERE {quality('BH', 'NEWS_LINK')} >= 0.3::DOUBLE AND {garbage('BH')} < 2 AND length(BH) >= 15) WHERE rn = 1
@@ -602,7 +605,7 @@ ORACLES: dict[str, str] = {
         '— ' || {COUNTRY}, CASE WHEN {_SEVERITY} <> '' THEN '[' || {_SEVERITY} || ']' END) AS line FROM x)
       SELECT 1::BIGINT AS query_id, string_agg(line, e'\\n' ORDER BY similarity DESC, ARTICLE_COUNT DESC, BH) AS context,
       {n()} AS n_lines FROM lines HAVING COUNT(*) > 0""",
-    "event_count_by_filter": f"{LOOK} SELECT {n()} AS TOTAL_EVENTS FROM known WHERE ACTOR_COUNTRY_CODE = 'USA'",
+    "event_count_by_filter": f"{LOOK} SELECT {n()} AS TOTAL_EVENTS FROM known WHERE ACTOR_COUNTRY_CODE IN ('USA', 'RUS')",
     "country_ranking": ranking("IMPACT_SCORE < -3", 10),
     "lookup_crisis_by_country": ranking("IMPACT_SCORE < -3", 5),
     "lookup_crisis_events": f"""{LOOK} SELECT {LOOK_COLS} FROM known WHERE ACTOR_COUNTRY_CODE IN ('USA', 'RUS') AND ARTICLE_COUNT >= 3
@@ -612,8 +615,7 @@ ORACLES: dict[str, str] = {
     "lookup_event_count": f"{LOOK} SELECT {n()} AS TOTAL_EVENTS FROM known",
     "lookup_events": f"""{LOOK} SELECT {LOOK_COLS} FROM known WHERE ACTOR_COUNTRY_CODE IN ('USA', 'RUS') AND ARTICLE_COUNT > 3
       ORDER BY ARTICLE_COUNT DESC, DATE DESC, EVENT_ID LIMIT 250""",
-    "present_events": f"""{LOOK}, found AS (SELECT {LOOK_COLS} FROM known WHERE ACTOR_COUNTRY_CODE IN ('USA', 'RUS') AND ARTICLE_COUNT > 3
-        ORDER BY ARTICLE_COUNT DESC, DATE DESC, EVENT_ID LIMIT 500), {url_titles('found')},
+    "present_events": f"""{LOOK}, found AS (SELECT {LOOK_COLS} FROM known WHERE ACTOR_COUNTRY_CODE IN ('USA', 'RUS') AND ARTICLE_COUNT > 3), {url_titles('found')},
       chosen AS (SELECT f.*, CASE WHEN length(trim(f.HEADLINE)) > 15 THEN f.HEADLINE ELSE t.title END AS t FROM found f JOIN titles t ON t.url = f.NEWS_LINK),
       {cleaned('chosen', 't')}, {ISO}, {REGIONAL},
       x AS (SELECT * FROM (SELECT c.*, k.headline AS BH, ROW_NUMBER() OVER (PARTITION BY {key_of('k.headline')}

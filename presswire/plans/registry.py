@@ -34,6 +34,7 @@ SLOTS = (dt.datetime(2024, 1, 1), dt.datetime(2024, 1, 30, 23, 45))
 SPLIT_DAY, OVERLAP_DAY = "20240116", "20240110"
 QUESTION = "latest peace agreement news"
 MIN_DATE = dates.days_before(AS_OF, 30)
+STREAM_FILES = 4
 STOP_WORDS = ["the", "us", "north", "news"]
 
 # three-letter codes given to the first rows of `nation`, which stand in for the ISO table
@@ -49,12 +50,13 @@ def rounded(df: DataFrame, *columns: str) -> DataFrame:
 
 
 def iso(spark: SparkSession, sf_dir: str) -> DataFrame:
-    codes = F.create_map(*[x for i, c in enumerate(ISO_CODES) for x in (F.lit(i), F.lit(c))])
-    return (
-        table(spark, sf_dir, "nation")
-        .select(codes[F.col("n_nationkey").cast("int")].alias("alpha3"), F.col("n_name").alias("name"))
-        .filter("alpha3 IS NOT NULL")
-        .select(F.substring("alpha3", 1, 2).alias("alpha2"), "alpha3", "name")
+    """All nations: the first with real codes, the others with made-up ones of their own."""
+    key = F.col("n_nationkey").cast("int")
+    known = F.try_element_at(F.array(*map(F.lit, ISO_CODES)), key + 1)
+    return table(spark, sf_dir, "nation").select(
+        F.coalesce(F.substring(known, 1, 2), F.concat(F.char(key + 65), F.lit("X"))).alias("alpha2"),
+        F.coalesce(known, F.concat(F.lit("N"), F.lpad(key.cast("string"), 2, "0"))).alias("alpha3"),
+        F.col("n_name").alias("name"),
     )
 
 
@@ -99,16 +101,18 @@ def without_vector(events: DataFrame) -> DataFrame:
 
 # -- sources and sinks --------------------------------------------------------
 
-def written_event_feed(spark: SparkSession, sf_dir: str) -> str:
+def written_event_feed(spark: SparkSession, sf_dir: str, files: int | None = None) -> str:
     path = work_path(spark, "event-feed")
     lines = feed_lines(articles_raw(spark, sf_dir), V.EVENT_FEED_COLUMNS, V.EVENT_FEED_WIDTH)
+    lines = lines if files is None else lines.repartition(files, "_0")
     lines.write.option("sep", "\t").csv(path)
     return path
 
 
-def written_gkg_feed(spark: SparkSession, sf_dir: str) -> str:
+def written_gkg_feed(spark: SparkSession, sf_dir: str, files: int | None = None) -> str:
     path = work_path(spark, "gkg-feed")
     lines = feed_lines(gkg_feed(spark, sf_dir, wide=True), V.GKG_FEED_COLUMNS, V.GKG_FEED_WIDTH)
+    lines = lines if files is None else lines.repartition(files)
     lines.write.option("sep", "\t").csv(path)
     return path
 
@@ -133,9 +137,9 @@ def q_read_zipped_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_missing_feed_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    signups = table(spark, sf_dir, "events").filter("event_type = 'signup'").select("ts")
+    events = table(spark, sf_dir, "events").select("ts")
     slot = F.date_trunc("hour", "ts") + F.make_dt_interval(mins=F.floor(F.minute("ts") / 15).cast("int") * 15)
-    landed = signups.select(feeds.slot_name(slot, "events").alias("file_name"))
+    landed = events.select(feeds.slot_name(slot, "events").alias("file_name"))
     return feeds.missing_slots(landed, *SLOTS).select("feed", "file_name")
 
 
@@ -158,12 +162,12 @@ def q_append_new_gkg(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def new_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A vector for each event that has none yet."""
-    waiting = vector_events(spark, sf_dir).filter(F.col("EMBEDDING").isNull()).select("EVENT_ID")
-    known = table(spark, sf_dir, "embeddings").filter("vec_id < 500").select(
-        "vec_id", F.col("embedding").cast("array<double>").alias("EMBEDDING")
-    )
-    slot = F.col("EVENT_ID").cast("bigint") % 500
-    return waiting.join(known, slot == F.col("vec_id")).select("EVENT_ID", "EMBEDDING")
+    waiting = vector_events(spark, sf_dir).filter(F.col("EMBEDDING").isNull()).select("EVENT_ID", "DATE")
+    vectors = table(spark, sf_dir, "embeddings")
+    known = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("EMBEDDING"))
+    slot = F.col("EVENT_ID").cast("bigint") % vectors.agg(F.max("vec_id") + 1).scalar()
+    placed = waiting.withColumn("_slot", slot)
+    return placed.join(known, F.col("_slot") == F.col("vec_id")).select("EVENT_ID", "DATE", "EMBEDDING")
 
 
 def vector_sums(events: DataFrame) -> DataFrame:
@@ -247,13 +251,13 @@ def q_headline_quality_by_day(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_process_stories(spark: SparkSession, sf_dir: str) -> DataFrame:
-    top = dashboard.trending_week(week(spark, sf_dir), AS_OF)
+    top = dashboard.trending_week(week(spark, sf_dir), AS_OF, n=None)
     shown = stories.process_stories(top, iso(spark, sf_dir), stories.TRENDING_ROWS)
     return rounded(shown, "QUALITY", "SCORE")
 
 
 def q_process_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    top = dashboard.feed_week(week(spark, sf_dir), AS_OF)
+    top = dashboard.feed_week(week(spark, sf_dir), AS_OF, n=None)
     return rounded(stories.process_stories(top, iso(spark, sf_dir)), "QUALITY", "SCORE")
 
 
@@ -276,7 +280,12 @@ def q_label_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_country_alias(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = F.get(F.array(*map(F.lit, NAMES)), (F.col("c_custkey") % len(NAMES)).cast("int"))
-    people = table(spark, sf_dir, "customer").select("c_custkey", names.alias("place"))
+    nations = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
+    place = F.when(F.col("c_custkey") % 5 == 0, F.col("n_name")).otherwise(names)
+    people = (
+        table(spark, sf_dir, "customer").join(nations, F.col("c_nationkey") == F.col("n_nationkey"))
+        .select("c_custkey", place.alias("place"))
+    )
     return countries.country_alias(people, "place", iso(spark, sf_dir), STOP_WORDS)
 
 
@@ -286,7 +295,7 @@ def q_expand_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_present_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = lookups.lookup_events(
-        without_vector(events_raw(spark, sf_dir)), lookups.period(AS_OF, "month"), ["USA", "RUS"], 500
+        without_vector(events_raw(spark, sf_dir)), lookups.period(AS_OF, "month"), ["USA", "RUS"], None
     )
     order = [F.col("ARTICLE_COUNT").desc(), F.col("DATE").desc()]
     return lookups.present_events(found, iso(spark, sf_dir), order)
@@ -349,7 +358,7 @@ def q_search_with_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_answer_context(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = search.search_all(vector_events(spark, sf_dir), [request(spark, sf_dir)], 15, MIN_DATE)
+    found = search.search_all(vector_events(spark, sf_dir), [request(spark, sf_dir)], None, MIN_DATE)
     return search.answer_context(found, iso(spark, sf_dir))
 
 
@@ -359,7 +368,7 @@ def letter_counts(texts: list[str]) -> list[list[float]]:
 
 
 def q_embed_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    waiting = embedding.pending_embeddings(vector_events(spark, sf_dir), n=None)
+    waiting = embedding.pending_embeddings(vector_events(spark, sf_dir))
     done = embedding.embed_batch(embedding.embedding_inputs(waiting), letter_counts)
     weighted = F.aggregate(
         F.transform("EMBEDDING", lambda v, i: v * (i + 1)), F.lit(0.0), lambda a, v: a + v
@@ -370,9 +379,11 @@ def q_embed_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
 # -- streaming ----------------------------------------------------------------
 
 def q_stream_ingest_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One file per batch; the files mix days and each holds all articles of its events."""
     table_path = work_path(spark, "stream-events")
     stream.stream_ingest_events(
-        spark, written_event_feed(spark, sf_dir), table_path, work_path(spark, "checkpoint")
+        spark, written_event_feed(spark, sf_dir, STREAM_FILES), table_path, work_path(spark, "checkpoint"),
+        files_per_batch=1,
     ).awaitTermination()
     return without_vector(tables.read_events(spark, table_path))
 
@@ -380,7 +391,8 @@ def q_stream_ingest_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_stream_ingest_gkg(spark: SparkSession, sf_dir: str) -> DataFrame:
     table_path = work_path(spark, "stream-gkg")
     stream.stream_ingest_gkg(
-        spark, written_gkg_feed(spark, sf_dir), table_path, work_path(spark, "checkpoint")
+        spark, written_gkg_feed(spark, sf_dir, STREAM_FILES), table_path, work_path(spark, "checkpoint"),
+        files_per_batch=1,
     ).awaitTermination()
     return tables.read_gkg(spark, table_path).drop(tables.GKG_PARTITION)
 
@@ -400,27 +412,26 @@ def q_stream_retention(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_stream_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.readStream.schema(feeds.event_feed_schema()).options(**feeds.CSV_OPTIONS).csv(
-        written_event_feed(spark, sf_dir)
-    )
-    dated = feeds.type_event_columns(rows).select(
-        "EVENT_ID", "DATE", F.try_to_timestamp("DATE", F.lit("yyyyMMdd")).alias("day")
+    rows = (
+        spark.readStream.schema(feeds.event_feed_schema()).options(**feeds.CSV_OPTIONS)
+        .option("maxFilesPerTrigger", 1).csv(written_event_feed(spark, sf_dir, STREAM_FILES))
     )
     out = work_path(spark, "deduped")
-    (
-        counts.stream_dedupe(dated, "EVENT_ID", "day").select("EVENT_ID", "DATE").writeStream
-        .format("parquet").option("path", out).option("checkpointLocation", work_path(spark, "checkpoint"))
-        .trigger(availableNow=True).start().awaitTermination()
-    )
+    counts.stream_dedupe(
+        feeds.type_event_columns(rows).select("EVENT_ID", "DATE"), "EVENT_ID", "DATE", out,
+        work_path(spark, "checkpoint"),
+    ).awaitTermination()
     return spark.read.schema("EVENT_ID string, DATE string").parquet(out)
 
 
 def q_stream_daily_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    schema = table(spark, sf_dir, "events").schema
-    rows = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    counted = counts.stream_daily_counts(rows.select(F.col("ts").cast("timestamp").alias("ts")), "ts")
+    """Events dealt to files without regard to days, one file per batch."""
+    events = table(spark, sf_dir, "events").select(F.col("ts").cast("timestamp").alias("ts"))
+    landed = work_path(spark, "landed-events")
+    events.repartition(STREAM_FILES).write.parquet(landed)
+    rows = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(landed)
     out = work_path(spark, "daily-counts")
-    counts.write_daily_counts(counted, out, work_path(spark, "checkpoint")).awaitTermination()
+    counts.stream_daily_counts(rows, "ts", out, work_path(spark, "checkpoint")).awaitTermination()
     return counts.latest_daily_counts(spark, out)
 
 
@@ -570,7 +581,7 @@ QUERIES: dict[str, Query] = {
     # search
     "query_terms": q_query_terms,
     "embedding_inputs": lambda s, d: embedding.embedding_inputs(
-        embedding.pending_embeddings(vector_events(s, d), n=None)),
+        embedding.pending_embeddings(vector_events(s, d))),
     "embed_batch": q_embed_batch,
     "cosine_similarity": q_cosine_similarity,
     "score_pairs": q_score_pairs,
@@ -583,7 +594,7 @@ QUERIES: dict[str, Query] = {
     "search_with_fallback": q_search_with_fallback,
     "answer_context": q_answer_context,
     # look-ups
-    "event_count_by_filter": month_lookup(lookups.event_count_by_filter, ["USA"]),
+    "event_count_by_filter": month_lookup(lookups.event_count_by_filter, ["USA", "RUS"]),
     "country_ranking": month_lookup(lookups.country_ranking, crisis=True, n=10),
     "lookup_crisis_by_country": month_lookup(lookups.lookup_crisis_by_country),
     "lookup_crisis_events": month_lookup(lookups.lookup_crisis_events, ["USA", "RUS"]),

@@ -49,11 +49,14 @@ def ship_package(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach, as the cluster names it in `spark.checkpoint.dir`.
 
-    Where the setting is absent (tests on one machine) a temporary folder is created
-    and remembered in the session.
+    Where the setting is absent on one machine (tests) a temporary folder is created and
+    remembered in the session; on a cluster that is an error, because no folder of one
+    machine can be seen by the others.
     """
     folder = spark.conf.get(_CHECKPOINT_CONF, None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError(f"set {_CHECKPOINT_CONF} to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="presswire-")
         spark.conf.set(_CHECKPOINT_CONF, folder)
     return folder

@@ -52,13 +52,15 @@ _HEADLINE = (
     " || CASE event_id % 3 WHEN 0 THEN '' WHEN 1 THEN ' today' ELSE ' officials confirm' END END"
 )
 
-EVENTS_SQL = f"""
+_EVENT_SELECT = f"""
 SELECT {_EVENT_FIELDS}
     {_LINK.format(amp="")} AS NEWS_LINK,
-    {_HEADLINE} AS HEADLINE,
+    {_HEADLINE} AS HEADLINE,"""
+# every vector of the table is given to some event
+EVENTS_SQL = f"""{_EVENT_SELECT}
     CASE WHEN event_id % 3 = 0 THEN NULL ELSE v.embedding END AS EMBEDDING
-FROM events e LEFT JOIN (SELECT vec_id, embedding FROM embeddings WHERE vec_id < 500) v
-  ON v.vec_id = e.event_id % 500"""
+FROM (SELECT *, event_id % (SELECT max(vec_id) + 1 FROM embeddings) AS slot FROM events) e
+LEFT JOIN embeddings v ON v.vec_id = e.slot"""
 
 # raw feed rows: every event once, plus a second article for every seventh one
 ARTICLES_SQL = f"""
@@ -89,9 +91,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Use all cores for CPU-heavy work when a scan yields fewer splits than there are."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    """Deal the rows of these single-file tables to all cores for CPU-heavy work."""
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
 
 
 def _source_events(spark: SparkSession, sf_dir: str, since: dt.date | None, wide: bool) -> DataFrame:
@@ -113,13 +114,13 @@ def events_raw(
     source = _source_events(spark, sf_dir, since, wide)
     if vectors:
         known = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-        text = EVENTS_SQL.replace("FROM events e", "FROM {events} e").replace(
-            "FROM embeddings", "FROM {embeddings}"
+        text = (
+            EVENTS_SQL.replace("FROM events)", "FROM {events})").replace("FROM embeddings)", "FROM {embeddings})")
+            .replace("JOIN embeddings v", "JOIN {embeddings} v")
         )
         shaped = spark.sql(text, events=source, embeddings=known)
     else:
-        text = EVENTS_SQL[: EVENTS_SQL.index("FROM events")].replace("v.embedding", "NULL")
-        shaped = spark.sql(text + "FROM {events}", events=source)
+        shaped = spark.sql(f"{_EVENT_SELECT} NULL AS EMBEDDING FROM {{events}}", events=source)
     return shaped.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schemas.EVENTS_RAW])
 
 

@@ -57,7 +57,7 @@ def read_gkg_feed(spark: SparkSession, path: str) -> DataFrame:
 
 
 def unzip_lines(files: DataFrame) -> DataFrame:
-    """Lines of the first member of each archive in a `content` column.
+    """Lines of every member of each archive in a `content` column.
 
     Archives are one feed slot each, so files are the unit of parallelism; a member is
     streamed, never held as one string.
@@ -67,16 +67,17 @@ def unzip_lines(files: DataFrame) -> DataFrame:
         for frame in frames:
             for blob in frame["content"]:
                 with zipfile.ZipFile(io.BytesIO(blob)) as archive:
-                    with archive.open(archive.namelist()[0]) as member:
-                        text = io.TextIOWrapper(member, encoding="utf-8", errors="replace", newline="\n")
-                        chunk: list[str] = []
-                        for line in text:
-                            chunk.append(line.rstrip("\r\n"))
-                            if len(chunk) == LINES_PER_FRAME:
+                    for name in archive.namelist():
+                        with archive.open(name) as member:
+                            text = io.TextIOWrapper(member, encoding="utf-8", errors="replace", newline="\n")
+                            chunk: list[str] = []
+                            for line in text:
+                                chunk.append(line.rstrip("\r\n"))
+                                if len(chunk) == LINES_PER_FRAME:
+                                    yield pd.DataFrame({"line": chunk})
+                                    chunk = []
+                            if chunk:
                                 yield pd.DataFrame({"line": chunk})
-                                chunk = []
-                        if chunk:
-                            yield pd.DataFrame({"line": chunk})
 
     return files.select("content").mapInPandas(extract, "line string")
 
@@ -118,12 +119,9 @@ def missing_slots(
     landed: DataFrame, start: dt.datetime, end: dt.datetime, feed: str = "events"
 ) -> DataFrame:
     """Expected quarter-hour files from `start` to `end` that are not in `landed.file_name`."""
-    bounds = landed.sparkSession.range(1).select(
-        F.lit(start).cast("timestamp_ntz").alias("lo"), F.lit(end).cast("timestamp_ntz").alias("hi")
-    )
-    expected = bounds.select(
-        F.explode(F.sequence("lo", "hi", F.expr("interval 15 minutes"))).alias("slot_ts")
-    ).select("slot_ts", F.lit(feed).alias("feed"), slot_name(F.col("slot_ts"), feed).alias("file_name"))
+    slots = max(0, (end - start) // dt.timedelta(minutes=15) + 1)
+    at = F.lit(start).cast("timestamp_ntz") + F.col("id") * F.expr("interval 15 minutes")
+    expected = landed.sparkSession.range(slots).select(at.alias("slot_ts")).select("slot_ts", F.lit(feed).alias("feed"), slot_name(F.col("slot_ts"), feed).alias("file_name"))
     return expected.join(landed.select("file_name"), "file_name", "left_anti").select(
         "slot_ts", "feed", "file_name"
     )

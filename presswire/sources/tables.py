@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from presswire import schemas
 from presswire.functions import dates
+from presswire.operators.cleaning import keep_first
 from presswire.session import work_path
 
 EVENT_PARTITION = "DATE"
@@ -40,19 +41,35 @@ def with_gkg_day(gkg: DataFrame) -> DataFrame:
     return gkg.withColumn(GKG_PARTITION, dates.gkg_day(F.col("DATE")))
 
 
+def days_of(rows: DataFrame, partition: str) -> list[str | None]:
+    """The distinct days of a batch: as many as the calendar has, whatever the number of rows."""
+    return [r[0] for r in rows.select(partition).distinct().collect()]
+
+
+def on_days(stored: DataFrame, partition: str, days: list[str | None]) -> DataFrame:
+    """Stored rows of some days; the literals prune partitions, that of NULL days included."""
+    column = F.col(partition)
+    wanted = column.isin([d for d in days if d is not None])
+    return stored.filter(wanted | column.isNull() if None in days else wanted)
+
+
 def new_rows_only(
     batch: DataFrame, stored: DataFrame, key: str, date_col: str, partition_col: str | None = None
 ) -> DataFrame:
-    """Batch rows whose key is not stored at or after the batch's earliest date.
+    """Batch rows whose key is not stored on any day of the batch.
 
-    The bounds are scalar subqueries; the one on the partition column keeps older days
-    from being read.
+    A key keeps its day, so only the batch's own days are read. A NULL day is a day, and a
+    NULL key a key like any other.
     """
     partition = partition_col or date_col
-    known = stored.filter(F.col(partition) >= batch.agg(F.min(partition)).scalar())
-    if partition != date_col:
-        known = known.filter(F.col(date_col) >= batch.agg(F.min(date_col)).scalar())
-    return batch.join(known.select(key), key, "left_anti").select(*batch.columns)
+    known = on_days(stored, partition, days_of(batch, partition)).select(F.col(key).alias("_known")).distinct()
+    return batch.join(known, F.col(key).eqNullSafe(F.col("_known")), "left_anti").select(*batch.columns)
+
+
+def one_row_per_key(batch: DataFrame, key: str, partition: str) -> DataFrame:
+    """The newest day's row of each key; equal days are resolved by a hash of the row."""
+    order = [F.col(partition).desc_nulls_last(), F.xxhash64(*batch.columns)]
+    return keep_first(batch, [F.col(key)], order)
 
 
 def append_new(
@@ -60,21 +77,23 @@ def append_new(
 ) -> DataFrame:
     """Append unseen rows to the table at `path`, creating it on the first load.
 
-    Rows already stored are skipped, so running the same batch twice adds nothing.
-    Rows are grouped by day before the write to keep the number of files low; a large
-    day is split over several tasks by the rebalance. Returns the stored table.
+    Rows already stored are skipped and a key repeated in the batch is stored once, so
+    running the same batch twice adds nothing. Rows are grouped by day before the write to
+    keep the number of files low; a large day is split over several tasks by the rebalance.
+    Returns the stored table.
     """
     spark, schema = batch.sparkSession, batch.schema
     partition = partition_col or date_col
+    once = one_row_per_key(batch, key, partition)
 
     def write(rows: DataFrame) -> None:
         rows.hint("rebalance", partition).write.mode("append").partitionBy(partition).parquet(path)
 
     if not table_exists(spark, path):
-        write(batch)
+        write(once)
         return spark.read.schema(schema).parquet(path)
-    # the batch feeds the date bounds, the anti-join and the write: compute it once
-    held = batch.persist(StorageLevel.MEMORY_AND_DISK)
+    # the batch gives its days and then its rows: compute it once
+    held = once.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         write(new_rows_only(held, spark.read.schema(schema).parquet(path), key, date_col, partition))
     finally:
@@ -136,20 +155,28 @@ def merge_embeddings(events: DataFrame, vectors: DataFrame) -> DataFrame:
 def write_embeddings(spark: SparkSession, path: str, vectors: DataFrame) -> DataFrame:
     """Store new vectors, rewriting only the days that hold an updated event.
 
-    The rewritten days are staged first, so a run lost half way can be repeated from the
-    staged copy without losing rows.
+    `vectors` (EVENT_ID, EMBEDDING and, to find the days without a scan, DATE) is evaluated
+    once: it is written to the shared folder first and read from there. The rewritten days
+    are staged before they replace the stored ones, and both copies are removed at the end.
     """
+    fresh, staged = work_path(spark, "vectors"), work_path(spark, "embeddings")
+    vectors.write.parquet(fresh)
+    vectors = spark.read.schema(vectors.schema).parquet(fresh)
     events = read_events(spark, path)
-    days = events.join(vectors.select("EVENT_ID"), "EVENT_ID", "left_semi").select("DATE").distinct()
-    touched = events.join(days, "DATE", "left_semi")
-    staged = work_path(spark, "embeddings")
-    merge_embeddings(touched, vectors).write.parquet(staged)
+    if "DATE" in vectors.columns:
+        days = days_of(vectors, EVENT_PARTITION)
+    else:
+        days = days_of(events.join(vectors.select("EVENT_ID"), "EVENT_ID", "left_semi"), EVENT_PARTITION)
+    merge_embeddings(on_days(events, EVENT_PARTITION, days), vectors).write.parquet(staged)
     (
         spark.read.schema(schemas.EVENTS_RAW).parquet(staged)
         .hint("rebalance", EVENT_PARTITION)
         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
         .partitionBy(EVENT_PARTITION).parquet(path)
     )
+    for done in (fresh, staged):
+        hadoop_path, fs = _filesystem(spark, done)
+        fs.delete(hadoop_path, True)
     return read_events(spark, path)
 
 

@@ -1,40 +1,64 @@
-"""Streaming dedupe and running daily counts."""
+"""Streaming dedupe and running daily counts, exact over any number of micro-batches."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from presswire.operators.cleaning import keep_first
+from presswire.session import materialize
+from presswire.sources import tables
 
+COUNTS = "events bigint, last_batch bigint, day string"
 
-def stream_dedupe(stream: DataFrame, key: str, time_col: str, watermark: str = "1 day") -> DataFrame:
-    """Drop rows whose key was seen within the watermark; state stays bounded."""
-    return stream.withWatermark(time_col, watermark).dropDuplicatesWithinWatermark([key])
 
+def stream_dedupe(stream: DataFrame, key: str, day_col: str, path: str, checkpoint: str):
+    """Keep the first row of each key in a table partitioned by day.
+
+    Every batch is reduced by key and anti-joined with the stored rows of its days, so a late
+    row of an unseen key is kept, whenever it comes, and a replayed batch adds nothing.
+    """
+
+    def store(batch: DataFrame, batch_id: int) -> None:
+        tables.append_new(batch, path, key, day_col)
 
-def stream_daily_counts(stream: DataFrame, time_col: str, watermark: str = "3 days") -> DataFrame:
-    """Running events per day; late rows update their day until the watermark passes it."""
     return (
-        stream.withWatermark(time_col, watermark)
-        .groupBy(F.window(time_col, "1 day").alias("w"))
-        .agg(F.count(F.lit(1)).alias("events"))
-        .select(F.date_format("w.start", "yyyyMMdd").alias("day"), "events")
+        stream.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True).start()
     )
 
 
-def write_daily_counts(counts: DataFrame, path: str, checkpoint: str):
-    """Keep each update under its batch id; a replayed batch overwrites its own files."""
+def stream_daily_counts(stream: DataFrame, time_col: str, path: str, checkpoint: str):
+    """Running number of events per day in a table with one partition per day.
+
+    A batch adds its counts to the days that it touches and rewrites those only. Each day
+    remembers the last batch it has seen, so a replayed batch counts once.
+    """
 
     def store(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+        spark = batch.sparkSession
+        fresh = batch.groupBy(F.date_format(time_col, "yyyyMMdd").alias("day")).agg(F.count(F.lit(1)).alias("more"))
+        if tables.table_exists(spark, path):
+            known = spark.read.schema(COUNTS).parquet(path)
+        else:
+            known = spark.createDataFrame([], COUNTS)
+        known = known.withColumnRenamed("day", "_day")
+        added = fresh.join(known, fresh.day.eqNullSafe(known._day), "left").select(
+            F.when(F.col("last_batch") >= batch_id, F.col("events"))
+            .otherwise(F.coalesce("events", F.lit(0)) + F.col("more")).alias("events"),
+            F.greatest(F.coalesce("last_batch", F.lit(-1)), F.lit(batch_id)).cast("bigint").alias("last_batch"),
+            "day",
+        )
+        # a few rows, read from the partitions that the write replaces
+        (
+            materialize(added).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+            .partitionBy("day").parquet(path)
+        )
 
     return (
-        counts.writeStream.outputMode("update").foreachBatch(store)
-        .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        stream.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True).start()
     )
 
 
 def latest_daily_counts(spark: SparkSession, path: str) -> DataFrame:
-    """Newest count of each day."""
-    updates = spark.read.schema("day string, events bigint, batch_id bigint").parquet(path)
-    return keep_first(updates, [F.col("day")], [F.col("batch_id").desc()]).drop("batch_id")
+    """Count of each day."""
+    return spark.read.schema(COUNTS).parquet(path).select("day", "events")

@@ -16,6 +16,8 @@ from presswire.operators.ingest import extract_headlines, parse_gkg
 from presswire.sources import feeds, tables
 
 EVERY = "15 minutes"
+# a day of quarter-hour files: a backlog is loaded in batches of bounded size
+FILES_PER_BATCH = 96
 Reporter = Callable[[DataFrame, int], None]
 
 
@@ -37,11 +39,15 @@ def stream_ingest_events(
     table: str,
     checkpoint: str,
     once: bool = True,
-    files_per_batch: int | None = None,
+    files_per_batch: int | None = FILES_PER_BATCH,
     report: Reporter | None = None,
 ):
     """Event feed directory to the events table. `report` receives each batch's quality
-    report; a failed gate does not stop the load."""
+    report; a failed gate does not stop the load.
+
+    An event is stored with the articles of the batch it first comes in; later batches do
+    not change it.
+    """
 
     def load(batch: DataFrame, batch_id: int) -> None:
         raw = feeds.type_event_columns(batch)
@@ -59,7 +65,7 @@ def stream_ingest_gkg(
     checkpoint: str,
     as_of: Callable[[], dt.date] | None = None,
     once: bool = True,
-    files_per_batch: int | None = None,
+    files_per_batch: int | None = FILES_PER_BATCH,
 ):
     """Emotion feed directory to the emotions table; with `as_of` old days are dropped."""
 
