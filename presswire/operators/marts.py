@@ -1,8 +1,8 @@
 """Mart tables.
 
-Every event mart is one aggregation over the staged events: measures combine on the map
-side, and only the keys of the distinct counts travel. Reading `mart_input` instead of the
-full staging projection lets several marts share one narrow scan.
+All event marts come from one pre-aggregation of the staged events by (day, country, actor),
+which combines on the map side. Distinct counts and averages are worked out from its rows,
+never from raw events; several marts can share a stored copy of it.
 """
 
 from __future__ import annotations
@@ -25,20 +25,40 @@ _CATEGORY_COLUMNS = {
 }
 
 
-def mart_input(staged: DataFrame) -> DataFrame:
-    """The staged columns the event marts need."""
-    return staged.select(
-        "event_date_raw", "actor_name", "actor_country_code", "article_count", "goldstein_scale",
-        "avg_tone", "sentiment_category", "has_headline", "has_embedding",
+CUBE_KEYS = ["event_date_raw", "actor_country_code", "actor_name"]
+_AVERAGED = ["article_count", "goldstein_scale", "avg_tone"]
+
+
+def event_cube(staged: DataFrame) -> DataFrame:
+    """Counts, sums and flags per (day, country, actor)."""
+    return staged.groupBy(*CUBE_KEYS).agg(
+        F.count(F.lit(1)).alias("events"),
+        *[F.sum(c).alias(f"sum_{c}") for c in _AVERAGED],
+        *[F.count(c).alias(f"n_{c}") for c in _AVERAGED],
+        F.max("article_count").alias("max_articles"),
+        *[F.count_if(F.col("sentiment_category") == label).alias(name) for label, name in _CATEGORY_COLUMNS.items()],
+        F.count_if("has_headline").alias("with_headline"),
+        F.count_if("has_embedding").alias("with_embedding"),
+        F.count_if(F.col("goldstein_scale") < 0).alias("below_zero"),
+        F.count_if(F.col("goldstein_scale") >= 0).alias("from_zero"),
     )
 
 
+def _cube_of(events: DataFrame) -> DataFrame:
+    """`events` itself if it is a cube, else the cube of staged events."""
+    return events if "sum_article_count" in events.columns else event_cube(events)
+
+
+def _average(column: str) -> Column:
+    return F.try_divide(F.sum(f"sum_{column}"), F.sum(f"n_{column}"))
+
+
 def _reach_and_tone() -> list[Column]:
     return [
-        F.sum("article_count").alias("total_articles"),
-        F.avg("article_count").alias("avg_articles_per_event"),
-        F.avg("goldstein_scale").alias("avg_goldstein_scale"),
-        F.avg("avg_tone").alias("avg_tone"),
+        F.sum("sum_article_count").alias("total_articles"),
+        _average("article_count").alias("avg_articles_per_event"),
+        _average("goldstein_scale").alias("avg_goldstein_scale"),
+        _average("avg_tone").alias("avg_tone"),
     ]
 
 
@@ -52,21 +72,17 @@ def _first_and_last_day(first: str, last: str) -> list[Column]:
     ]
 
 
-def _in_category(label: str) -> Column:
-    return F.count_if(F.col("sentiment_category") == label)
-
-
-def fct_daily_events(staged: DataFrame, approx: bool = False) -> DataFrame:
-    """Daily counts, reach, sentiment mix and coverage, newest day first."""
+def fct_daily_events(events: DataFrame, approx: bool = False) -> DataFrame:
+    """Daily counts, reach, sentiment mix and coverage, newest day first; from staged events or their cube."""
     distinct = F.approx_count_distinct if approx else F.count_distinct
-    daily = staged.groupBy("event_date_raw").agg(
-        F.count(F.lit(1)).alias("event_count"),
+    daily = _cube_of(events).groupBy("event_date_raw").agg(
+        F.sum("events").alias("event_count"),
         distinct(F.col("actor_name")).alias("unique_actors"),
         distinct(F.col("actor_country_code")).alias("unique_countries"),
         *_reach_and_tone(),
-        *[_in_category(label).alias(name) for label, name in _CATEGORY_COLUMNS.items()],
-        F.count_if("has_headline").alias("events_with_headlines"),
-        F.count_if("has_embedding").alias("events_with_embeddings"),
+        *[F.sum(name).alias(name) for name in _CATEGORY_COLUMNS.values()],
+        F.sum("with_headline").alias("events_with_headlines"),
+        F.sum("with_embedding").alias("events_with_embeddings"),
     )
     day, total = F.col("event_date_raw"), F.col("event_count")
     return daily.select(
@@ -85,48 +101,51 @@ def fct_daily_events(staged: DataFrame, approx: bool = False) -> DataFrame:
 def _typical_sentiment() -> Column:
     """Most frequent of the five buckets; the alphabetically first one on a tie."""
     ranked = [
-        F.struct(_in_category(label).alias("n"), F.lit(-i).alias("tie"), F.lit(label).alias("label"))
+        F.struct(F.sum(_CATEGORY_COLUMNS[label]).alias("n"), F.lit(-i).alias("tie"), F.lit(label).alias("label"))
         for i, label in enumerate(sorted(_CATEGORY_COLUMNS))
     ]
     return F.greatest(*ranked)["label"]
 
 
-def actor_stats(staged: DataFrame) -> DataFrame:
-    """Per (actor, country) activity, reach and sentiment profile."""
-    return staged.filter(F.col("actor_name").isNotNull()).groupBy("actor_name", "actor_country_code").agg(
-        F.count(F.lit(1)).alias("total_events"),
-        F.count_distinct("event_date_raw").alias("active_days"),
+def actor_stats(events: DataFrame) -> DataFrame:
+    """Per (actor, country) activity, reach and sentiment profile.
+
+    The cube has one row per day of each pair, so active days are a plain count.
+    """
+    return _cube_of(events).filter(F.col("actor_name").isNotNull()).groupBy("actor_name", "actor_country_code").agg(
+        F.sum("events").alias("total_events"),
+        F.count("event_date_raw").alias("active_days"),
         *_first_and_last_day("first_seen_date", "last_seen_date"),
         *_reach_and_tone(),
-        F.max("article_count").alias("max_articles_single_event"),
+        F.max("max_articles").alias("max_articles_single_event"),
         _typical_sentiment().alias("typical_sentiment"),
     )
 
 
-def dim_actors(staged: DataFrame) -> DataFrame:
+def dim_actors(events: DataFrame) -> DataFrame:
     """Actor profiles with their rank by events and by articles."""
     tie = [F.col("actor_name").asc_nulls_last(), F.col("actor_country_code").asc_nulls_last()]
-    stats = actor_stats(staged)
+    stats = actor_stats(events)
     by_events = global_rank(stats, [F.col("total_events").desc_nulls_last(), *tie], "event_rank")
     return global_rank(by_events, [F.col("total_articles").desc_nulls_last(), *tie], "article_rank")
 
 
-def dim_countries(staged: DataFrame) -> DataFrame:
+def dim_countries(events: DataFrame) -> DataFrame:
     """Country profiles with their rank by activity.
 
     Country codes are three letters, so the ranked table is small by its key domain.
     """
     stats = (
-        staged.filter(F.col("actor_country_code").isNotNull())
+        _cube_of(events).filter(F.col("actor_country_code").isNotNull())
         .groupBy(F.col("actor_country_code").alias("country_code"))
         .agg(
-            F.count(F.lit(1)).alias("total_events"),
+            F.sum("events").alias("total_events"),
             F.count_distinct("actor_name").alias("unique_actors"),
             F.count_distinct("event_date_raw").alias("active_days"),
             *_first_and_last_day("first_event_date", "last_event_date"),
             *_reach_and_tone(),
-            F.count_if(F.col("goldstein_scale") < 0).alias("negative_events"),
-            F.count_if(F.col("goldstein_scale") >= 0).alias("positive_events"),
+            F.sum("below_zero").alias("negative_events"),
+            F.sum("from_zero").alias("positive_events"),
         )
     )
     order = Window.orderBy(F.col("total_events").desc_nulls_last(), F.col("country_code"))

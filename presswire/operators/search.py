@@ -57,7 +57,7 @@ def keywords_of(spark: SparkSession, text: str) -> list[str]:
     return spark.range(1).select(query_keywords(F.lit(text))).first()[0]
 
 
-def _searchable(events: DataFrame, min_date: str | None) -> DataFrame:
+def searchable(events: DataFrame, min_date: str | None) -> DataFrame:
     found = events.filter(F.length("HEADLINE") > _MIN_HEADLINE)
     return found if min_date is None else found.filter(F.col("DATE") >= min_date)
 
@@ -120,7 +120,7 @@ def hybrid_search(
     """Events whose headline holds any search term, ranked by similarity."""
     terms = keywords_of(events.sparkSession, request.text)
     matching = _contains_any(terms) if terms else F.lit(False)
-    return _rank_by_vector(_searchable(events, min_date).filter(matching), request, k, cap)
+    return _rank_by_vector(searchable(events, min_date).filter(matching), request, k, cap)
 
 
 def vector_search(
@@ -131,7 +131,7 @@ def vector_search(
     cap: int | None = None,
 ) -> DataFrame:
     """Events with at least two articles, ranked by similarity."""
-    reported = _searchable(events, min_date).filter(F.col("ARTICLE_COUNT") >= V.MIN_ARTICLES_FOR_SEARCH)
+    reported = searchable(events, min_date).filter(F.col("ARTICLE_COUNT") >= V.MIN_ARTICLES_FOR_SEARCH)
     return _rank_by_vector(reported, request, k, cap)
 
 
@@ -164,7 +164,7 @@ def keyword_search(
     lowered = F.lower("HEADLINE")
     score = reduce(lambda a, b: a + b, [lowered.contains(t).cast("int") for t in terms], F.lit(0))
     found = (
-        _searchable(events, min_date)
+        searchable(events, min_date)
         .withColumn("_score", score)
         .filter(F.col("_score") > 0)
         .select("EVENT_ID", *HIT_COLUMNS[:-1], F.lit(None).cast("double").alias("similarity"), "_score")

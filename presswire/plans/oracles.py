@@ -151,6 +151,10 @@ def _score(x: str) -> str:
       WHEN {w} >= 2 AND length({x}) > 10 THEN {w} * 2 + length({x}) ELSE 0 END"""
 
 
+_LINES = """SELECT doc_id, CAST(generate_subscripts(parts, 1) - 1 AS BIGINT) AS line_no, unnest(parts) AS line
+  FROM (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents)"""
+
+
 def url_titles(source: str) -> str:
     """CTEs ending in `titles(url, title)` for the distinct NEWS_LINK of `source`."""
     trim_ends = rx(rx("x", f"^{_PUNCT}+".replace("''", "'")), f"{_PUNCT}+$".replace("''", "'"))
@@ -414,11 +418,12 @@ ORACLES: dict[str, str] = {
     "retention_delete": f"{GKG} SELECT GKG_ID, DATE FROM gkg WHERE DATE >= 20240116000000",
     "write_embeddings": _MERGED_VEC,
     "register_models": f"""{GKG}, ev AS ({EVENTS_SQL}), {_THEME_ROWS}
-      SELECT 'fct_daily_events' AS model, COUNT(DISTINCT DATE) AS n_rows FROM ev
-      UNION ALL SELECT 'dim_actors', COUNT(*) FROM (SELECT DISTINCT MAIN_ACTOR, ACTOR_COUNTRY_CODE FROM ev WHERE MAIN_ACTOR IS NOT NULL)
-      UNION ALL SELECT 'dim_countries', COUNT(DISTINCT ACTOR_COUNTRY_CODE) FROM ev
-      UNION ALL SELECT 'fct_daily_emotions', COUNT(DISTINCT date_key) FROM (SELECT substr(CAST(DATE AS VARCHAR), 1, 8) AS date_key FROM gkg)
-      UNION ALL SELECT 'fct_trending_themes', COUNT(*) FROM (SELECT theme FROM themes GROUP BY 1 HAVING COUNT(*) >= 10)""",
+      SELECT 'fct_daily_events' AS model, COUNT(DISTINCT DATE) AS n_rows, {n()} AS total FROM ev
+      UNION ALL SELECT 'dim_actors', COUNT(*), {n('SUM(k)')} FROM (SELECT COUNT(*) AS k FROM ev WHERE MAIN_ACTOR IS NOT NULL
+        GROUP BY MAIN_ACTOR, ACTOR_COUNTRY_CODE)
+      UNION ALL SELECT 'dim_countries', COUNT(DISTINCT ACTOR_COUNTRY_CODE), {n()} FROM ev WHERE ACTOR_COUNTRY_CODE IS NOT NULL
+      UNION ALL SELECT 'fct_daily_emotions', COUNT(DISTINCT substr(CAST(DATE AS VARCHAR), 1, 8)), {n()} FROM gkg
+      UNION ALL SELECT 'fct_trending_themes', COUNT(*), {n('SUM(k)')} FROM (SELECT COUNT(*) AS k FROM themes GROUP BY theme HAVING COUNT(*) >= 10)""",
     "load_stats": f"""{EV} SELECT {n()} AS total_rows, COUNT(EMBEDDING) AS embedded_rows, {n_if(WEEK)} AS inserted_rows FROM ev""",
     "dq_column_exists": f"{EV} {union(exists_check('EVENT_ID'), exists_check('NO_SUCH', False))}",
     "dq_not_null_ratio": f"{EV} {union(null_check('MAIN_ACTOR', 0.95), null_check('EVENT_ID', 1.0))}",
@@ -545,6 +550,13 @@ ORACLES: dict[str, str] = {
     "extract_headlines": EXTRACTED,
     "best_row_per_event": f"{_BEST_ROW} SELECT EVENT_ID, NEWS_LINK, HEADLINE, c AS OUR_ARTICLE_COUNT FROM ranked WHERE rn = 1",
     "headline_from_url": f"{ART}, {url_titles('art')} SELECT a.EVENT_ID, a.NEWS_LINK, t.title AS HEADLINE FROM art a JOIN titles t ON t.url = a.NEWS_LINK",
+    "headline_of_lines": f"""WITH lines AS ({_LINES}), {cleaned('lines', 'line')}
+      SELECT l.doc_id, l.line_no, k.headline FROM lines l LEFT JOIN cleaned k ON k.raw = l.line""",
+    "headline_of_links": f"""WITH lines AS ({_LINES}), linked AS (SELECT doc_id, line_no, 'https://www.example.com/2024/01/'
+        || replace(trim(line), ' ', '-') || '-' || CAST(doc_id AS VARCHAR) || '.html' AS NEWS_LINK FROM lines), {url_titles('linked')}
+      SELECT l.doc_id, l.line_no, l.NEWS_LINK, t.title AS HEADLINE FROM linked l JOIN titles t ON t.url = l.NEWS_LINK""",
+    "headline_of_pages": f"""WITH linked AS (SELECT page_id, url AS NEWS_LINK FROM pages), {url_titles('linked')}
+      SELECT l.page_id, t.title AS HEADLINE FROM linked l JOIN titles t ON t.url = l.NEWS_LINK""",
     "segment_score": f"{EV} SELECT EVENT_ID, {n(_score('HEADLINE'))} AS score FROM ev",
     "clean_headline": f"WITH {cleaned('conversations', 'text')} SELECT c.conv_id, c.turn, k.headline FROM conversations c LEFT JOIN cleaned k ON k.raw = c.text",
     "clean_headlines": f"{EV}, {best('ev')} SELECT {EV_COLS.replace('HEADLINE', 'BH AS HEADLINE')} FROM best WHERE BH IS NOT NULL",
@@ -605,6 +617,26 @@ ORACLES: dict[str, str] = {
         '— ' || {COUNTRY}, CASE WHEN {_SEVERITY} <> '' THEN '[' || {_SEVERITY} || ']' END) AS line FROM x)
       SELECT 1::BIGINT AS query_id, string_agg(line, e'\\n' ORDER BY similarity DESC, ARTICLE_COUNT DESC, BH) AS context,
       {n()} AS n_lines FROM lines HAVING COUNT(*) > 0""",
+    "search_questions": f"""{EV}, asked AS (SELECT conv_id AS query_id, list_filter(list_transform(list_filter(
+          regexp_split_to_array(trim(text, e' \\t\\n\\r'), '\\s+'), lambda w: length(w) > 2),
+          lambda w: regexp_replace(lower(w), '[^\\p{{L}}\\p{{N}}]', '', 'g')),
+          lambda w: length(w) > 2 AND w NOT IN {in_list(V.SEARCH_STOP_WORDS)}) AS terms,
+        CASE WHEN conv_id % 3 <> 0 THEN embedding::DOUBLE[] END AS vec
+        FROM conversations JOIN embeddings ON vec_id = conv_id % (SELECT max(vec_id) + 1 FROM embeddings) WHERE turn = 0),
+      usable AS (SELECT * FROM ev WHERE length(HEADLINE) > 15 AND {MONTH}),
+      scored AS (SELECT query_id, u.*, list_cosine_similarity(EMBEDDING::DOUBLE[], vec) AS s,
+          len(list_filter(terms, lambda t: contains(lower(HEADLINE), t))) AS hits FROM usable u, asked),
+      branches AS (SELECT *, 0 AS b FROM scored WHERE s IS NOT NULL AND NOT isnan(s) AND hits > 0
+        UNION ALL SELECT *, 1 FROM scored WHERE s IS NOT NULL AND NOT isnan(s) AND ARTICLE_COUNT >= 2),
+      grouped AS (SELECT query_id, b, HEADLINE, MAX(DATE) AS DATE, MAX(ACTOR_COUNTRY_CODE) AS ACTOR_COUNTRY_CODE, MAX(MAIN_ACTOR) AS MAIN_ACTOR,
+        MAX(IMPACT_SCORE) AS IMPACT_SCORE, SUM(ARTICLE_COUNT) AS ARTICLE_COUNT, MAX(NEWS_LINK) AS NEWS_LINK, MAX(s) AS similarity
+        FROM branches GROUP BY query_id, b, HEADLINE HAVING MAX(s) >= 0.2),
+      kept AS (SELECT * FROM grouped QUALIFY ROW_NUMBER() OVER (PARTITION BY query_id, b ORDER BY similarity DESC, HEADLINE) <= 10),
+      one AS (SELECT * FROM kept QUALIFY ROW_NUMBER() OVER (PARTITION BY query_id, HEADLINE ORDER BY similarity DESC, b) = 1),
+      best AS (SELECT * FROM one QUALIFY ROW_NUMBER() OVER (PARTITION BY query_id ORDER BY similarity DESC, HEADLINE) <= 10),
+      words AS (SELECT * FROM scored WHERE hits > 0 AND query_id NOT IN (SELECT query_id FROM best)
+        QUALIFY ROW_NUMBER() OVER (PARTITION BY query_id ORDER BY hits DESC, ARTICLE_COUNT DESC, EVENT_ID) <= 10)
+      SELECT query_id, {_HITS}, {r6('similarity')} AS similarity FROM best UNION ALL SELECT query_id, {_HITS}, NULL FROM words""",
     "event_count_by_filter": f"{LOOK} SELECT {n()} AS TOTAL_EVENTS FROM known WHERE ACTOR_COUNTRY_CODE IN ('USA', 'RUS')",
     "country_ranking": ranking("IMPACT_SCORE < -3", 10),
     "lookup_crisis_by_country": ranking("IMPACT_SCORE < -3", 5),

@@ -17,7 +17,7 @@ from presswire.functions.numeric import stable_round
 from presswire.functions.vectors import cosine_similarity
 from presswire.operators import (
     cleaning, countries, dashboard, embedding, emotions, ingest, labelling, lookups, marts, quality,
-    search, staging, stories,
+    question_search, search, staging, stories,
 )
 from presswire.plans import models
 from presswire.session import work_path
@@ -187,11 +187,12 @@ def q_write_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_register_models(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = work_path(spark, "marts")
     names = models.build_models(vector_events(spark, sf_dir), gkg(spark, sf_dir), root)
+    measures = ["event_count", "total_events", "total_events", "article_count", "mention_count"]
     sizes = [
         spark.read.parquet(f"{root}/{name}").agg(
-            F.lit(name).alias("model"), F.count(F.lit(1)).alias("n_rows")
+            F.lit(name).alias("model"), F.count(F.lit(1)).alias("n_rows"), F.sum(measure).cast("bigint").alias("total")
         )
-        for name in names
+        for name, measure in zip(names, measures)
     ]
     out = sizes[0]
     for size in sizes[1:]:
@@ -220,6 +221,30 @@ def q_clean_text_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaning.with_clean_headline(turns, "text", "headline").select("conv_id", "turn", "headline")
 
 
+def document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every line of every document with its number."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+
+
+def q_headline_of_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = document_lines(spark, sf_dir)
+    return cleaning.with_clean_headline(lines, "line", "headline").select(
+        "doc_id", F.col("line_no").cast("bigint").alias("line_no"), "headline")
+
+
+def q_headline_of_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links made of the words of document lines."""
+    slug = F.replace(F.trim("line"), F.lit(" "), F.lit("-"))
+    link = F.concat(F.lit("https://www.example.com/2024/01/"), slug, F.lit("-"), F.col("doc_id").cast("string"), F.lit(".html"))
+    linked = document_lines(spark, sf_dir).select(
+        "doc_id", F.col("line_no").cast("bigint").alias("line_no"), link.alias("NEWS_LINK"))
+    return linked.withColumn("HEADLINE", H.headline_from_url(F.col("NEWS_LINK")))
+
+
+def q_headline_of_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", H.headline_from_url(F.col("url")).alias("HEADLINE"))
+
+
 def q_title_case(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = events_raw(spark, sf_dir).select("EVENT_ID", H.title_case(F.col("HEADLINE")).alias("title"))
     return rows
@@ -362,6 +387,18 @@ def q_answer_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.answer_context(found, iso(spark, sf_dir))
 
 
+def q_search_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every first turn of a conversation as a question; two of three have a vector."""
+    turns = table(spark, sf_dir, "conversations").filter("turn = 0").select("conv_id", "text")
+    vectors = table(spark, sf_dir, "embeddings")
+    known = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("_vector"))
+    slot = F.col("conv_id") % vectors.agg(F.max("vec_id") + 1).scalar()
+    asked = turns.withColumn("_slot", slot).join(known, F.col("_slot") == F.col("vec_id")).select(
+        F.col("conv_id").alias("query_id"), "text", F.when(F.col("conv_id") % 3 != 0, F.col("_vector")).alias("vector"))
+    found = question_search.search_questions(vector_events(spark, sf_dir), asked, 10, MIN_DATE)
+    return rounded(found, "similarity")
+
+
 def letter_counts(texts: list[str]) -> list[list[float]]:
     """Stand-in embedder: how often each letter occurs."""
     return [[float(t.lower().count(chr(97 + i))) for i in range(26)] for t in texts]
@@ -558,6 +595,9 @@ QUERIES: dict[str, Query] = {
     "extract_headlines": q_extract_headlines,
     "best_row_per_event": lambda s, d: ingest.best_row_per_event(q_headline_from_url(s, d)),
     "headline_from_url": q_headline_from_url,
+    "headline_of_lines": q_headline_of_lines,
+    "headline_of_links": q_headline_of_links,
+    "headline_of_pages": q_headline_of_pages,
     "segment_score": q_segment_score,
     "clean_headline": q_clean_text_lines,
     "clean_headlines": lambda s, d: cleaning.clean_headlines(wide_events(s, d)),
@@ -593,6 +633,7 @@ QUERIES: dict[str, Query] = {
     "keyword_search": q_keyword_search,
     "search_with_fallback": q_search_with_fallback,
     "answer_context": q_answer_context,
+    "search_questions": q_search_questions,
     # look-ups
     "event_count_by_filter": month_lookup(lookups.event_count_by_filter, ["USA", "RUS"]),
     "country_ranking": month_lookup(lookups.country_ranking, crisis=True, n=10),
