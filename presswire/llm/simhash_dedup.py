@@ -152,7 +152,8 @@ def near_share(differ: np.ndarray, most: int) -> list[float]:
 
 def allocate(n: int, both: np.ndarray, distance: int) -> list[tuple[list[int], int]]:
     """Parts with their thresholds, of least estimated cost over the numbers of parts."""
-    p = np.diag(both) / max(n, 1)
+    n = max(n, 1)
+    p = np.diag(both) / n
     differ = 2 * p * (1 - p)
     best_cost, best = float("inf"), []
     for parts in range(1, distance + 2):

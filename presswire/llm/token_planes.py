@@ -29,6 +29,7 @@ import os
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -48,7 +49,7 @@ DOC = np.dtype([("doc_id", "<i8"), ("known", "u1"), ("start", "<u8"), ("n_tokens
 BLOCK_IDS = 1 << 16
 FILE_IDS = 1 << 22
 LEVEL = 3
-CACHED_CUTS = 1_000_000
+CACHED_CUTS = 700_000
 SLICE_BYTES = 4 << 20
 END_ID = 0
 
@@ -125,35 +126,44 @@ class CutEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.kind = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
+        self.code = "H" if self.kind.itemsize == 2 else "I"
+        # cuts seen lately, and those of the time before: what is met again moves up, the rest goes
         self.cache: dict[str, bytes | None] = {}
+        self.before: dict[str, bytes | None] = {}
 
     def whole(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, self.kind).tobytes() for e in found]
+        return [array(self.code, e.ids).tobytes() for e in found]
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        cuts = [t.split(" ") for t in texts]
-        inner: set[str] = set()
-        for c in cuts:
-            if len(c) > 2:
-                inner.update(c[1:-1])
+    def learn(self, cuts: set[str]) -> None:
         if len(self.cache) > CACHED_CUTS:
-            self.cache.clear()
-        missing = [w for w in inner if w not in self.cache]
-        # white space before the next space: the cut may not be encoded by itself
-        loose = [w for w in missing if not w or w[-1].isspace()]
-        self.cache.update(dict.fromkeys(loose))
-        tight = [w for w in missing if w and not w[-1].isspace()]
+            self.before, self.cache = self.cache, {}
+        new = cuts.difference(self.cache)
+        again = self.before.keys() & new
+        self.cache.update((w, self.before[w]) for w in again)
+        tight = []
+        for w in new.difference(again):
+            # white space before the next space: the cut may not be encoded by itself
+            if not w or w[-1].isspace():
+                self.cache[w] = None
+            else:
+                tight.append(w)
         self.cache.update(zip(tight, self.whole([" " + w for w in tight])))
-        firsts = self.whole([c[0] for c in cuts])
-        lasts = self.whole([" " + c[-1] if len(c) > 1 else "" for c in cuts])
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        cuts = [t.split(" ") for t in texts]
+        ends = [(c[0], c.pop() if len(c) > 1 else None) for c in cuts]
+        self.learn(set().union(*(c[1:] for c in cuts)))
+        firsts = self.whole([first for first, _ in ends])
+        lasts = self.whole(["" if last is None else " " + last for _, last in ends])
         out, get = [], self.cache.__getitem__
         for text, c, first, last in zip(texts, cuts, firsts, lasts):
-            middle = list(map(get, c[1:-1]))
-            if None in middle or len(c) > 1 and c[0] and c[0][-1].isspace():
-                out.append(np.frombuffer(self.whole([text])[0], self.kind))
-            else:
-                out.append(np.frombuffer(b"".join([first, *middle, last]), self.kind))
+            loose = c[0] and c[0][-1].isspace() and len(c[0]) < len(text)
+            try:
+                joined = None if loose else b"".join([first, *map(get, c[1:]), last])
+            except TypeError:  # a cut that may not be encoded by itself
+                joined = None
+            out.append(np.frombuffer(self.whole([text])[0] if joined is None else joined, self.kind))
         return out
 
 
