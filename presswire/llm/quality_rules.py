@@ -123,7 +123,9 @@ def with_measures(docs: DataFrame, text: str = "text") -> DataFrame:
         "base_failed": (F.col("n_words") < MIN_WORDS)
         | (100 * F.col("n_repeat_words") > MAX_REPEATED_PERCENT * F.col("n_words")),
     })
-    return rated.drop("__words", "__windows", "__lines", "__marks", "__bare", "__n_lines", "__n_caps", "__n_bangs")
+    # a one-element generator keeps later filters above: pushed below, they would repeat the measures
+    own_columns = [F.col(f"`{c}`") for c in docs.columns if c not in own]
+    return rated.select(*own_columns, F.explode(F.array(F.struct(*own))).alias("__m")).select(*own_columns, "__m.*")
 
 
 def log_binomial_cdf(k: Column, n: Column, p: float) -> Column:
