@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 
 from presswire import schemas
 from presswire.functions import dates
-from presswire.operators import cleaning, countries, embedding, ingest, marts, quality, search, staging
+from presswire.operators import (
+    cleaning, countries, dashboard, embedding, emotions, ingest, lookups, marts, quality, search, staging, stories,
+)
 from presswire.operators.ranking import global_rank
 from presswire.plans import registry as R
 from presswire.session import work_path
@@ -215,3 +217,25 @@ def test_repeated_vectors_do_not_multiply_events(spark):
     new = spark.createDataFrame([("1", [2.0]), ("1", [3.0]), ("2", None)], "EVENT_ID string, EMBEDDING array<double>")
     got = {r["EVENT_ID"]: r["EMBEDDING"] for r in tables.merge_embeddings(events, new).collect()}
     assert got == {"1": [3.0], "2": [1.0]} and tables.merge_embeddings(events, new).count() == 2
+
+
+def test_former_limits_hold_no_longer(spark):
+    """Each list is longer than the limit that once cut it."""
+    day, iso = "20240129", spark.createDataFrame([("US", "USA", "United States")], "alpha2 string, alpha3 string, name string")
+    rows = [(str(i), day, "ACTOR", "USA", 1.0, -5.0, 10.0 + i % 7, 0.0, f"https://x.org/{i}",
+             f"Story number {chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}eto about markets rally", [1.0, i / 5000])
+            for i in range(2600)]
+    events = spark.createDataFrame(rows, schemas.EVENTS_RAW)
+    far = search.SearchRequest(1, "markets", [0.0, 1.0])
+    best = search.vector_search(events, far, k=1).first()
+    assert best.HEADLINE == rows[-1][9]  # the 2,600th candidate
+    assert search.merged_search(events, far, k=None).count() > 500
+    assert dashboard.trending_week(events, dt.date(2024, 1, 30), n=None).count() == 2600
+    assert lookups.lookup_major_events(events.withColumn("ARTICLE_COUNT", F.lit(30.0)), F.lit(True), n=None).count() == 2600
+    assert lookups.lookup_event_count(events, F.lit(True), ["GBR", "USA"]).first()[0] == 2600
+    assert embedding.pending_embeddings(events.withColumn("EMBEDDING", F.lit(None).cast("array<double>"))).count() == 2600
+    assert stories.process_stories(events, iso, 600).count() == 600
+    feed = spark.createDataFrame([("g", 20240130120000, ",".join(f"CODE_{i}_{'X' * 30}" for i in range(40)) + ",TERROR,TERROR_ATTACK")],
+                                 "GKG_ID string, DATE long, TOP_THEMES string")
+    topics = emotions.trending_topics(feed, dt.datetime(2024, 1, 30, 23)).collect()
+    assert [(r.label, r.mentions) for r in topics] == [("Security", 2)]

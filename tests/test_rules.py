@@ -104,7 +104,7 @@ def test_packed_fields(spark):
     })
     check(spark, packed.parse_themes, {
         None: "", "": "", "A,1;TERROR,5; LEADER ,2;XX,1;ABC;ABC": "TERROR,LEADER,ABC,ABC",
-        ";".join(f"THEME{i},1" for i in range(12)): ",".join(f"THEME{i}" for i in range(10)),
+        ";".join(f"THEME{i},1" for i in range(12)): ",".join(f"THEME{i}" for i in range(12)),
     })
     check(spark, packed.humanize_theme, {
         None: None, "": None, "TAX_FNCACT_PRESIDENT": "Finance", " terror": "Security", "WB_2024_roads": "2024 Roads",
@@ -142,9 +142,10 @@ def test_search_terms(spark):
         "latest peace agreement news": ["peace", "agreement"],
         "What is THE border-security plan?": ["bordersecurity", "plan"],
         "a b cd": [],
-        " ".join(f"word{i}" for i in range(12)): [f"word{i}" for i in range(8)],
+        " ".join(f"word{i}" for i in range(12)): [f"word{i}" for i in range(12)],
         None: None,
     })
+    check(spark, lambda q: keywords.query_keywords(q, 3), {"one two three four five": ["one", "two", "three"]})
 
 
 def test_cosine(spark):
