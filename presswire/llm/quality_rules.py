@@ -163,10 +163,11 @@ def cutoffs(
         .join(known, F.col("__doc") == F.col("__labelled"))
     )
     tries = [(rule, c) for rule, cs in grid.items() for c in cs]
-    counts = held.groupBy("stratum").agg(
+    # a row per stratum, used three times below: the texts are measured once for it
+    counts = written(held.groupBy("stratum").agg(
         F.count("*").alias("n"),
         *[F.count(F.when(F.col(rule) > c, True)).alias(f"__{i}") for i, (rule, c) in enumerate(tries)],
-    )
+    ), "stratum-counts")
     long = counts.select("stratum", "n", F.explode(F.array(*[
         F.struct(F.lit(rule).alias("rule"), F.lit(float(c)).alias("cutoff"), F.col(f"__{i}").alias("rejected"))
         for i, (rule, c) in enumerate(tries)])).alias("t")).select("stratum", "n", "t.*")
