@@ -224,10 +224,10 @@ def split_buckets(probes: DataFrame, bucket_rows: int) -> DataFrame:
     """Adds `a` and `b`: the pair of blocks of its bucket that a row is compared in (0, 0 for
     most). A bucket of up to `bucket_rows` rows is one block; the rows of a larger one go to
     every pair of blocks with their own."""
-    large = (
+    # written first, so that Spark knows how few they are before it plans the join
+    large = written(
         probes.groupBy("bucket").agg(F.count("*").alias("rows")).filter(F.col("rows") > bucket_rows)
-        .select("bucket", F.ceil(F.col("rows") / bucket_rows).cast("int").alias("blocks"))
-    )
+        .select("bucket", F.ceil(F.col("rows") / bucket_rows).cast("int").alias("blocks")), "large-buckets")
     own = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
     pair = F.transform(
         F.sequence(F.lit(0), F.col("blocks") - 1),
