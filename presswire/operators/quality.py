@@ -158,6 +158,30 @@ def negative_article_days(daily_events: DataFrame) -> DataFrame:
     return daily_events.filter(F.col("total_articles") < 0)
 
 
+def model_tests(
+    df: DataFrame,
+    model: str,
+    unique: tuple[str, ...] = (),
+    not_null: tuple[str, ...] = (),
+    accepted: dict[str, list[str]] | None = None,
+    not_negative: tuple[str, ...] = (),
+) -> DataFrame:
+    """(model, test, column, failures) of the tests declared for a model, in one aggregate pass.
+
+    A uniqueness failure is a row beyond the first of its key; NULL keys are left to `not_null`.
+    """
+    tests = [("unique", c, F.count(c) - F.count_distinct(c)) for c in unique]
+    tests += [("not_null", c, F.count_if(F.col(c).isNull())) for c in not_null]
+    tests += [("accepted_values", c, F.count_if(~F.col(c).isin(v))) for c, v in (accepted or {}).items()]
+    tests += [("not_negative", c, F.count_if(F.col(c) < 0)) for c in not_negative]
+    counts = df.agg(*[failures.alias(f"_{i}") for i, (_, _, failures) in enumerate(tests)])
+    return counts.select(F.inline(F.array(*[
+        F.struct(F.lit(model).alias("model"), F.lit(test).alias("test"), F.lit(column).alias("column"),
+                 F.col(f"_{i}").cast("bigint").alias("failures"))
+        for i, (test, column, _) in enumerate(tests)
+    ])))
+
+
 def freshness(
     df: DataFrame,
     loaded_at: Column,

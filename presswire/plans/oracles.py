@@ -438,6 +438,24 @@ ORACLES: dict[str, str] = {
     "dq_accepted_values": f"""{STG} SELECT sentiment_category, {n()} AS n_rows FROM stg
       WHERE sentiment_category NOT IN ('Negative', 'Neutral', 'Positive') GROUP BY 1""",
     "dq_positive_articles": f"{DAILY} SELECT event_date_raw, total_articles FROM daily WHERE total_articles < 0",
+    "model_test_report": f"""{STG}, art AS ({ARTICLES_SQL}), actors AS (SELECT DISTINCT actor_name, actor_country_code FROM stg
+        WHERE actor_name IS NOT NULL),
+      measured(model, test, "column", failures) AS (
+        SELECT 'staged_articles', 'unique', 'event_id', COUNT(EVENT_ID) - COUNT(DISTINCT EVENT_ID) FROM art
+        UNION ALL SELECT 'staged_articles', 'not_null', 'event_id', 0
+        UNION ALL SELECT 'staged_articles', 'not_null', 'actor_name', {n_if('MAIN_ACTOR IS NULL')} FROM art
+        UNION ALL SELECT 'stg_events', 'accepted_values', 'sentiment_category', {n_if("sentiment_category NOT IN ('Very Negative', 'Negative', 'Neutral', 'Positive', 'Very Positive', 'Crisis')")} FROM stg
+        UNION ALL SELECT 'dim_actors', 'unique', 'actor_name', COUNT(*) - COUNT(DISTINCT actor_name) FROM actors
+        UNION ALL SELECT model, test, col, 0 FROM (VALUES ('stg_events', 'unique', 'event_id'), ('stg_events', 'not_null', 'event_id'),
+          ('stg_events', 'not_null', 'event_date_raw'), ('stg_gkg_emotions', 'unique', 'gkg_id'), ('stg_gkg_emotions', 'not_null', 'gkg_id'),
+          ('stg_gkg_emotions', 'not_null', 'date_str'), ('fct_daily_events', 'unique', 'event_date_raw'),
+          ('fct_daily_events', 'not_null', 'event_date_raw'), ('fct_daily_events', 'not_null', 'event_count'),
+          ('fct_daily_events', 'not_negative', 'total_articles'), ('dim_actors', 'not_null', 'actor_name'),
+          ('dim_actors', 'not_null', 'total_events'), ('dim_countries', 'unique', 'country_code'),
+          ('dim_countries', 'not_null', 'country_code'), ('dim_countries', 'not_null', 'total_events'),
+          ('fct_trending_themes', 'unique', 'theme'), ('fct_trending_themes', 'not_null', 'theme'),
+          ('fct_trending_themes', 'not_null', 'mention_count')) v(model, test, col))
+      SELECT model, test, "column", CAST(failures AS BIGINT) AS failures FROM measured""",
     "dq_freshness": """WITH m AS (SELECT date_trunc('second', MAX(ts)) AS t FROM events),
       l AS (SELECT t, date_diff('second', t, TIMESTAMP '2024-01-30 23:00:00') AS lag FROM m)
       SELECT strftime(t, '%Y%m%d%H%M%S') AS newest, CAST(lag AS BIGINT) AS lag_seconds,

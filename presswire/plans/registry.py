@@ -6,6 +6,7 @@ import datetime as dt
 import io
 import zipfile
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -200,6 +201,30 @@ def q_register_models(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
+def q_model_test_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The declared tests of the staging views and marts; staged articles stand for a load with repeats."""
+    events, emotion_rows = staged(spark, sf_dir), staged_emotions(spark, sf_dir)
+    articles = articles_raw(spark, sf_dir, wide=False).withColumns(
+        {"HEADLINE": F.lit(None).cast("string"), "EMBEDDING": F.lit(None).cast("array<double>")})
+    declared = [
+        (staging.stg_events(articles), "staged_articles", dict(unique=("event_id",), not_null=("event_id", "actor_name"))),
+        (events, "stg_events", dict(
+            unique=("event_id",), not_null=("event_id", "event_date_raw"),
+            accepted={"sentiment_category": [
+                "Very Negative", "Negative", "Neutral", "Positive", "Very Positive", "Crisis"]})),
+        (emotion_rows, "stg_gkg_emotions", dict(unique=("gkg_id",), not_null=("gkg_id", "date_str"))),
+        (marts.fct_daily_events(events), "fct_daily_events", dict(
+            unique=("event_date_raw",), not_null=("event_date_raw", "event_count"), not_negative=("total_articles",))),
+        (marts.actor_stats(events), "dim_actors", dict(unique=("actor_name",), not_null=("actor_name", "total_events"))),
+        (marts.dim_countries(events), "dim_countries", dict(
+            unique=("country_code",), not_null=("country_code", "total_events"))),
+        (marts.fct_trending_themes(emotion_rows, n=None), "fct_trending_themes", dict(
+            unique=("theme",), not_null=("theme", "mention_count"))),
+    ]
+    reports = [quality.model_tests(df, model, **tests) for df, model, tests in declared]
+    return reduce(DataFrame.unionByName, reports)
+
+
 # -- cleaning -----------------------------------------------------------------
 
 def wide_events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -524,6 +549,7 @@ QUERIES: dict[str, Query] = {
         staged(s, d), "sentiment_category", ["Negative", "Neutral", "Positive"]),
     "dq_positive_articles": lambda s, d: quality.negative_article_days(marts.fct_daily_events(staged(s, d))).select(
         "event_date_raw", "total_articles"),
+    "model_test_report": q_model_test_report,
     "dq_freshness": lambda s, d: quality.freshness(table(s, d, "events"), F.date_trunc("second", "ts"), AS_OF_TIME),
     # staging and filters
     "stg_events": lambda s, d: staged(s, d, vectors=True).withColumn(
