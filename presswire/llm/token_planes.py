@@ -49,7 +49,7 @@ DOC = np.dtype([("doc_id", "<i8"), ("known", "u1"), ("start", "<u8"), ("n_tokens
 BLOCK_IDS = 1 << 16
 FILE_IDS = 1 << 22
 LEVEL = 3
-CACHED_CUTS = 700_000
+CACHED_CUTS = 450_000
 SLICE_BYTES = 4 << 20
 END_ID = 0
 
