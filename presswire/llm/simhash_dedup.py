@@ -228,21 +228,29 @@ def split_buckets(probes: DataFrame, bucket_rows: int) -> DataFrame:
     large = written(
         probes.groupBy("bucket").agg(F.count("*").alias("rows")).filter(F.col("rows") > bucket_rows)
         .select("bucket", F.ceil(F.col("rows") / bucket_rows).cast("int").alias("blocks")), "large-buckets")
-    own = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
-    pair = F.transform(
-        F.sequence(F.lit(0), F.col("blocks") - 1),
-        lambda other: F.struct(F.least(own, other).alias("a"), F.greatest(own, other).alias("b")),
-    )
     zero = F.array(F.struct(F.lit(0).alias("a"), F.lit(0).alias("b")))
     return (
         probes.join(large, "bucket", "left")
-        .select("bucket", "fp", F.explode(F.when(F.col("blocks").isNull(), zero).otherwise(pair)).alias("pair"))
+        .select("bucket", "fp", F.explode(F.when(F.col("blocks").isNull(), zero).otherwise(block_pairs())).alias("pair"))
         .select("bucket", "fp", "pair.a", "pair.b")
     )
 
 
-def links(rows: DataFrame, distance: int) -> DataFrame:
-    """Verified links (lo, hi) of every bucket: all of a small one, a spanning forest of a large one."""
+def block_pairs() -> Column:
+    """Every pair of the `blocks` blocks that holds the own block of `fp`."""
+    own = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
+    return F.transform(
+        F.sequence(F.lit(0), F.col("blocks") - 1),
+        lambda other: F.struct(F.least(own, other).alias("a"), F.greatest(own, other).alias("b")),
+    )
+
+
+def links(rows: DataFrame, distance: int, few: int | None = None) -> DataFrame:
+    """Links (lo, hi) of every bucket: all of a small one, a spanning forest of a large one.
+
+    With `few`, all links of a large bucket with an end that has up to `few` of them there, and a
+    spanning forest of those between its other members, marked by `dense`.
+    """
     dealt = rows.repartition("bucket", "a", "b").sortWithinPartitions("bucket", "a", "b")
 
     def run(batches):
@@ -255,18 +263,19 @@ def links(rows: DataFrame, distance: int) -> DataFrame:
             last = int(np.flatnonzero(change)[-1]) + 1 if change.any() else 0
             held = [c[last:] for c in cols]
             if last:
-                yield from _found(np.flatnonzero(change[:last]) + 1, cols[1][:last].view(np.uint64), distance)
+                yield from _found(np.flatnonzero(change[:last]) + 1, cols[1][:last].view(np.uint64), distance, few)
         if held is not None and len(held[0]):
-            yield from _found(np.array([len(held[0])]), held[1].view(np.uint64), distance)
+            yield from _found(np.array([len(held[0])]), held[1].view(np.uint64), distance, few)
 
-    return dealt.select("bucket", "fp", "a", "b").mapInArrow(run, "lo long, hi long")
+    fields = "lo long, hi long" + ("" if few is None else ", dense boolean")
+    return dealt.select("bucket", "fp", "a", "b").mapInArrow(run, fields)
 
 
-def _found(ends: np.ndarray, fp: np.ndarray, distance: int, small: int = 32):
+def _found(ends: np.ndarray, fp: np.ndarray, distance: int, few: int | None = None, small: int = 32):
     starts = np.append(0, ends[:-1])
     sizes = ends - starts
     group = np.repeat(np.arange(len(sizes)), sizes)
-    lo, hi = [], []
+    lo, hi, dense = [], [], []
     in_small = (sizes <= small)[group]
     for lag in range(1, min(small, int(sizes.max())) if len(sizes) else 0):
         i = np.flatnonzero((group[lag:] == group[:-lag]) & in_small[lag:])
@@ -275,15 +284,44 @@ def _found(ends: np.ndarray, fp: np.ndarray, distance: int, small: int = 32):
         near = i[np.bitwise_count(fp[i] ^ fp[i + lag]) <= distance]
         lo.append(fp[near])
         hi.append(fp[near + lag])
+        dense.append(np.zeros(len(near), bool))
     for g in np.flatnonzero(sizes > small):
-        a, b = forest(fp[starts[g]:ends[g]], distance)
+        members = fp[starts[g]:ends[g]]
+        if few is not None:
+            a, b, members = thin_links(members, distance, few)
+            lo.append(a)
+            hi.append(b)
+            dense.append(np.zeros(len(a), bool))
+        a, b = forest(members, distance)
         lo.append(a)
         hi.append(b)
+        dense.append(np.ones(len(a), bool))
     if lo:
         a, b = np.concatenate(lo).view(np.int64), np.concatenate(hi).view(np.int64)
         other = a != b
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.minimum(a, b)[other]), pa.array(np.maximum(a, b)[other])], names=["lo", "hi"])
+        out = [pa.array(np.minimum(a, b)[other]), pa.array(np.maximum(a, b)[other])]
+        if few is None:
+            yield pa.RecordBatch.from_arrays(out, names=["lo", "hi"])
+        else:
+            yield pa.RecordBatch.from_arrays(
+                [*out, pa.array(np.concatenate(dense)[other])], names=["lo", "hi", "dense"])
+
+
+def thin_links(fp: np.ndarray, distance: int, few: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All links of the members with up to `few` of them, and the other members."""
+    fp = np.unique(fp)
+    thin, a, b = np.zeros(len(fp), bool), [], []
+    step = max(1, 1_000_000 // max(len(fp), 1))
+    for s in range(0, len(fp), step):
+        near = np.bitwise_count(fp[s:s + step, None] ^ fp[None, :]) <= distance
+        own = near.sum(axis=1) - 1 <= few
+        thin[s:s + step] = own
+        i, j = np.nonzero(near & own[:, None])
+        a.append(i + s)
+        b.append(j)
+    i, j = np.concatenate(a), np.concatenate(b)
+    once = (i < j) | ((i != j) & ~thin[j])
+    return fp[i[once]], fp[j[once]], fp[~thin]
 
 
 def forest(fp: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
@@ -383,6 +421,10 @@ def _labelled(marked: DataFrame, distinct: DataFrame, found: DataFrame, keep: li
 #: Near copies: five-word shingles, alike in 0.8 of them. Texts so alike differ in 9.7 bits on
 #: average; the search takes more and the shingles themselves decide.
 COPY_SHINGLE, COPY_SIMILARITY, COPY_DISTANCE = 5, 0.8, 12
+#: Links that a member of a large bucket may have there to be verified one by one.
+FEW_LINKS = 32
+#: Rows and bytes of shingles in a block of a family.
+FAMILY_ROWS, FAMILY_BYTES = 2048, 16 << 20
 KEY = ["__null", "__id", "__hash"]
 
 
@@ -414,6 +456,75 @@ def alike(pairs: DataFrame, similarity: float) -> DataFrame:
     return pairs.select("lo", "hi", "a", "b").mapInArrow(run, "lo long, hi long")
 
 
+def joins(fp: np.ndarray, label: np.ndarray, sets: list[np.ndarray], distance: int,
+          similarity: float) -> list[tuple[int, int]]:
+    """Index pairs of alike members up to `distance` bits apart that connect all labels so connected."""
+    sizes = [len(s) for s in sets]
+    codes = np.split(np.unique(np.concatenate(sets), return_inverse=True)[1], np.cumsum(sizes)[:-1])
+    lengths, group = np.array(sizes), label.copy()
+    held, out = np.zeros(sum(sizes) + 1, bool), []
+    for i in range(len(fp) - 1):
+        rest = slice(i + 1, None)
+        near = (np.bitwise_count(fp[rest] ^ fp[i]) <= distance) & (group[rest] != group[i])
+        near &= np.minimum(lengths[rest], sizes[i]) >= similarity * np.maximum(lengths[rest], sizes[i])
+        held[codes[i]] = True
+        for k in (np.flatnonzero(near) + i + 1).tolist():
+            if group[k] != group[i]:
+                both = np.count_nonzero(held[codes[k]])
+                if both >= similarity * (sizes[i] + sizes[k] - both):
+                    out.append((i, k))
+                    group[group == group[k]] = group[i]
+        held[codes[i]] = False
+    return out
+
+
+def family_links(members: DataFrame, distance: int, similarity: float,
+                 block_rows: int = FAMILY_ROWS, block_bytes: int = FAMILY_BYTES) -> DataFrame:
+    """Links (lo, hi) between the labels of a family, from its members (root, fp, label, shingles).
+
+    Every pair of a family is looked at: a large family is cut into blocks, each pair of blocks
+    is its own task group. A family of one label needs no more links.
+    """
+    left = written(
+        members.groupBy("root")
+        .agg(F.min("label").alias("least"), F.max("label").alias("most"), F.count("*").alias("rows"),
+             F.sum(F.length("shingles")).alias("bytes"))
+        .filter("least < most")
+        .select("root", F.greatest(F.ceil(F.col("rows") / block_rows), F.ceil(F.col("bytes") / block_bytes), F.lit(1))
+                .cast("int").alias("blocks")), "open-families")
+    dealt = (
+        members.join(left, "root")
+        .select("root", "fp", "label", "shingles", F.explode(block_pairs()).alias("pair"))
+        .select("root", "pair.a", "pair.b", "fp", "label", "shingles")
+        .repartition("root", "a", "b").sortWithinPartitions("root", "a", "b")
+    )
+
+    def joined(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        fp, label = (np.concatenate([p.column(i).to_numpy(zero_copy_only=False) for p in parts]) for i in (3, 4))
+        sets = [np.frombuffer(x, np.uint64) for p in parts for x in p.column(5).to_pylist()]
+        found = joins(fp.view(np.uint64), label, sets, distance, similarity)
+        i, k = np.array(found, np.int64).reshape(-1, 2).T
+        return pa.RecordBatch.from_arrays(
+            [pa.array(np.minimum(fp[i], fp[k])), pa.array(np.maximum(fp[i], fp[k]))], names=["lo", "hi"])
+
+    def run(batches):
+        at, parts = None, []
+        for batch in batches:
+            keys = list(zip(*(batch.column(i).to_pylist() for i in range(3))))
+            cuts = [0, *(i for i in range(1, len(keys)) if keys[i] != keys[i - 1]), len(keys)]
+            for s, e in zip(cuts, cuts[1:]):
+                if s < e:
+                    if parts and keys[s] != at:
+                        yield joined(parts)
+                        parts = []
+                    at = keys[s]
+                    parts.append(batch.slice(s, e - s))
+        if parts:
+            yield joined(parts)
+
+    return dealt.mapInArrow(run, "lo long, hi long")
+
+
 def keep_first(
     docs: DataFrame,
     *,
@@ -426,7 +537,9 @@ def keep_first(
     """One document of each group of near copies, with all its columns.
 
     Links found by fingerprint are verified on the shingle sets of one text per fingerprint;
-    texts with equal fingerprints are copies. The document with the smallest id stays, among
+    texts with equal fingerprints are copies. Where links are so many that the search gives a
+    spanning forest only (dense ones), its trees are families, and within a family every pair up
+    to `distance` bits apart is verified that verified links do not connect already. The document with the smallest id stays, among
     texts with that id the one with the smallest hash; rows that repeat it go.
     """
     keyed = docs.withColumns({
@@ -434,7 +547,10 @@ def keep_first(
         "__hash": F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit("")))})
     marked = written(fingerprints(keyed, text=text, keep=[doc_id, *KEY], shingle=shingle), "fingerprints")
     distinct = _distinct(marked, doc_id)
-    found = written(near_links(distinct, distance).distinct(), "candidate-links")
+    plan = allocate(*bit_counts(distinct), distance)
+    found = written(
+        links(split_buckets(probe_rows(distinct, plan), BUCKET_ROWS), distance, FEW_LINKS)
+        .groupBy("lo", "hi").agg(F.max("dense").alias("dense")), "candidate-links")
     linked = found.select(F.explode(F.array("lo", "hi")).alias("fp")).distinct()
     shown = marked.join(linked, "fp").groupBy("fp").agg(F.min(F.struct(*KEY)).alias("first")).select("fp", "first.*")
     texts = keyed.select(*KEY, F.col(f"`{text}`").alias("__shown")).join(shown, KEY).dropDuplicates(["fp"])
@@ -443,7 +559,15 @@ def keep_first(
         found.join(sets.select(F.col("fp").alias("lo"), F.col("shingles").alias("a")), "lo")
         .join(sets.select(F.col("fp").alias("hi"), F.col("shingles").alias("b")), "hi")
     )
-    groups = _labelled(marked, distinct, alike(pairs, similarity), KEY)
+    copies = written(components(alike(pairs, similarity)), "copies")
+    members = (
+        components(found.filter("dense")).join(copies.withColumnRenamed("root", "label"), "node", "left")
+        .select("root", F.col("node").alias("fp"), F.coalesce("label", "node").alias("label"))
+        .join(sets, "fp")
+    )
+    more = family_links(members, distance, similarity)
+    verified = copies.select(F.col("root").alias("lo"), F.col("node").alias("hi")).unionByName(more)
+    groups = _labelled(marked, distinct, verified, KEY)
     first = groups.groupBy("root").agg(F.min(F.struct(*KEY)).alias("first")).select("first.*")
     return keyed.join(first, KEY, "left_semi").dropDuplicates(KEY).drop(*KEY)
 

@@ -130,3 +130,55 @@ def test_unlike_texts_with_near_fingerprints_stay(spark):
         (1, 3, np.arange(10, dtype=np.uint64).tobytes(), np.arange(1, 10, dtype=np.uint64).tobytes())],
         "lo long, hi long, a binary, b binary")
     assert [tuple(r) for r in S.alike(pairs, 0.8).collect()] == [(1, 3)]
+
+
+def kept_by_brute_force(texts, distance=12):
+    """Smallest index of each group of texts linked by fingerprint and shingle sets."""
+    sets = [shingles(t) for t in texts]
+    fps = [int(S.fingerprint(np.array(h, np.uint64), np.array([len(h)]))[0])
+           for h in (S.text_hashes(t.encode(), 5) for t in texts)]
+    root = list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(texts)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if (fps[i] ^ fps[j]).bit_count() <= distance and both >= 0.8 * (len(sets[i]) + len(sets[j]) - both):
+                root[max(find(i), find(j))] = min(find(i), find(j))
+    return sorted({find(i) for i in range(len(texts))})
+
+
+def test_large_groups_of_not_mutually_alike_copies(spark):
+    rng = random.Random(11)
+    texts = []
+    for g in range(3):  # each copy is about 0.86 like the original, two copies about 0.75 like each other
+        words = [f"g{g}w{rng.randrange(5000)}" for _ in range(600)]
+        texts += [edited(rng, words, rng.choice((6, 9, 12))) for _ in range(120)]
+        at = words
+        for _ in range(60):  # a chain away from the original
+            at = edited(rng, at, 10).split()
+            texts.append(" ".join(at))
+        texts.append(" ".join(words))
+    rng.shuffle(texts)
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = sorted(r.doc_id for r in S.keep_first(docs).collect())
+    assert got == kept_by_brute_force(texts)
+
+
+@pytest.mark.parametrize("block_rows", [40, 2048])
+def test_families_are_joined_across_blocks(spark, block_rows):
+    rng = np.random.default_rng(2)
+    base = np.arange(100, dtype=np.uint64)
+    rows = []
+    for fp in range(150):  # all up to 8 bits apart; chains of alike sets at random places
+        chain, step = divmod(fp, 50)
+        rows.append((7, fp, fp, (base + np.uint64(1000 * chain + 8 * step)).tobytes()))
+    rng.shuffle(rows)
+    rows = [(7, int(fp), int(label), shown) for _, fp, label, shown in rows]
+    members = spark.createDataFrame(rows, "root long, fp long, label long, shingles binary")
+    found = S.components(S.family_links(members, 12, 0.8, block_rows)).collect()
+    assert {r.node: r.root for r in found} == {fp: fp // 50 * 50 for fp in range(150)}
