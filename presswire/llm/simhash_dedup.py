@@ -89,16 +89,30 @@ def text_hashes(text: bytes, shingle: int = SHINGLE) -> list[int]:
 
 def fingerprints(docs: DataFrame, *, text: str = "text", keep: list[str], shingle: int = SHINGLE) -> DataFrame:
     """`keep` columns plus fp, the fingerprint as a signed long."""
+    return _fingerprinted(docs, text, keep, shingle, FINGERPRINT, lambda groups: [])
 
+
+def set_fingerprints(docs: DataFrame, text: str, keep: list[str], shingle: int) -> DataFrame:
+    """The same plus __set, the hash of the set of distinct shingles."""
+
+    def hashed(groups: list[np.ndarray]) -> list:
+        sets = [xxhash.xxh64_intdigest(np.unique(g).tobytes(), SEED) for g in groups]
+        return [pa.array(np.array(sets, np.uint64).view(np.int64))]
+
+    return _fingerprinted(docs, text, keep, shingle, T.StructType([*FINGERPRINT, T.StructField("__set", T.LongType())]),
+                          hashed)
+
+
+def _fingerprinted(docs: DataFrame, text: str, keep: list[str], shingle: int, fields: T.StructType, more) -> DataFrame:
     def make():
         def work(texts: list[bytes], _) -> list:
             groups = [np.array(text_hashes(t, shingle), np.uint64) for t in texts]
             sizes = np.array([len(g) for g in groups], np.int64)
-            return [pa.array(fingerprint(np.concatenate(groups), sizes).view(np.int64))]
+            return [pa.array(fingerprint(np.concatenate(groups), sizes).view(np.int64)), *more(groups)]
 
         return work
 
-    return map_texts(docs, text, keep, FINGERPRINT, make)
+    return map_texts(docs, text, keep, fields, make)
 
 
 # --- plan of the search -----------------------------------------------------------------
@@ -231,14 +245,14 @@ def split_buckets(probes: DataFrame, bucket_rows: int) -> DataFrame:
     zero = F.array(F.struct(F.lit(0).alias("a"), F.lit(0).alias("b")))
     return (
         probes.join(large, "bucket", "left")
-        .select("bucket", "fp", F.explode(F.when(F.col("blocks").isNull(), zero).otherwise(block_pairs())).alias("pair"))
+        .select("bucket", "fp", F.explode(F.when(F.col("blocks").isNull(), zero).otherwise(block_pairs("fp"))).alias("pair"))
         .select("bucket", "fp", "pair.a", "pair.b")
     )
 
 
-def block_pairs() -> Column:
-    """Every pair of the `blocks` blocks that holds the own block of `fp`."""
-    own = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
+def block_pairs(member: str) -> Column:
+    """Every pair of the `blocks` blocks that holds the own block of a member."""
+    own = F.pmod(F.xxhash64(member), F.col("blocks")).cast("int")
     return F.transform(
         F.sequence(F.lit(0), F.col("blocks") - 1),
         lambda other: F.struct(F.least(own, other).alias("a"), F.greatest(own, other).alias("b")),
@@ -421,7 +435,8 @@ def _labelled(marked: DataFrame, distinct: DataFrame, found: DataFrame, keep: li
 #: Near copies: five-word shingles, alike in 0.8 of them. Texts so alike differ in 9.7 bits on
 #: average; the search takes more and the shingles themselves decide.
 COPY_SHINGLE, COPY_SIMILARITY, COPY_DISTANCE = 5, 0.8, 12
-#: Links that a member of a large bucket may have there to be verified one by one.
+#: Links that a member of a large bucket may have there to be verified one by one, and pairs of
+#: shingle sets that a link of fingerprints may stand for.
 FEW_LINKS = 32
 #: Rows and bytes of shingles in a block of a family.
 FAMILY_ROWS, FAMILY_BYTES = 2048, 16 << 20
@@ -480,7 +495,7 @@ def joins(fp: np.ndarray, label: np.ndarray, sets: list[np.ndarray], distance: i
 
 def family_links(members: DataFrame, distance: int, similarity: float,
                  block_rows: int = FAMILY_ROWS, block_bytes: int = FAMILY_BYTES) -> DataFrame:
-    """Links (lo, hi) between the labels of a family, from its members (root, fp, label, shingles).
+    """Links (lo, hi) between the labels of a family, from its members (root, node, fp, label, shingles).
 
     Every pair of a family is looked at: a large family is cut into blocks, each pair of blocks
     is its own task group. A family of one label needs no more links.
@@ -494,18 +509,19 @@ def family_links(members: DataFrame, distance: int, similarity: float,
                 .cast("int").alias("blocks")), "open-families")
     dealt = (
         members.join(left, "root")
-        .select("root", "fp", "label", "shingles", F.explode(block_pairs()).alias("pair"))
-        .select("root", "pair.a", "pair.b", "fp", "label", "shingles")
+        .select("root", "node", "fp", "label", "shingles", F.explode(block_pairs("node")).alias("pair"))
+        .select("root", "pair.a", "pair.b", "node", "fp", "label", "shingles")
         .repartition("root", "a", "b").sortWithinPartitions("root", "a", "b")
     )
 
     def joined(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
-        fp, label = (np.concatenate([p.column(i).to_numpy(zero_copy_only=False) for p in parts]) for i in (3, 4))
-        sets = [np.frombuffer(x, np.uint64) for p in parts for x in p.column(5).to_pylist()]
+        node, fp, label = (
+            np.concatenate([p.column(i).to_numpy(zero_copy_only=False) for p in parts]) for i in (3, 4, 5))
+        sets = [np.frombuffer(x, np.uint64) for p in parts for x in p.column(6).to_pylist()]
         found = joins(fp.view(np.uint64), label, sets, distance, similarity)
         i, k = np.array(found, np.int64).reshape(-1, 2).T
         return pa.RecordBatch.from_arrays(
-            [pa.array(np.minimum(fp[i], fp[k])), pa.array(np.maximum(fp[i], fp[k]))], names=["lo", "hi"])
+            [pa.array(np.minimum(node[i], node[k])), pa.array(np.maximum(node[i], node[k]))], names=["lo", "hi"])
 
     def run(batches):
         at, parts = None, []
@@ -536,39 +552,55 @@ def keep_first(
 ) -> DataFrame:
     """One document of each group of near copies, with all its columns.
 
-    Links found by fingerprint are verified on the shingle sets of one text per fingerprint;
-    texts with equal fingerprints are copies. Where links are so many that the search gives a
-    spanning forest only (dense ones), its trees are families, and within a family every pair up
-    to `distance` bits apart is verified that verified links do not connect already. The document with the smallest id stays, among
-    texts with that id the one with the smallest hash; rows that repeat it go.
+    Texts with the same fingerprint and the same set of shingles are copies and one node; links
+    found by fingerprint are verified on the shingle sets of their nodes. Where links are so many
+    that the search gives a spanning forest only (dense ones), or fingerprints have so many nodes
+    that a link stands for many pairs, the trees are families; so are the nodes of one
+    fingerprint. Within a family every pair up to `distance` bits apart is verified that verified
+    links do not connect already. The document with the smallest id stays, among texts with that
+    id the one with the smallest hash; rows that repeat it go.
     """
     keyed = docs.withColumns({
         "__id": F.coalesce(F.col(f"`{doc_id}`"), F.lit(0)), "__null": F.col(f"`{doc_id}`").isNull(),
         "__hash": F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit("")))})
-    marked = written(fingerprints(keyed, text=text, keep=[doc_id, *KEY], shingle=shingle), "fingerprints")
-    distinct = _distinct(marked, doc_id)
+    nodes = written(
+        set_fingerprints(keyed, text, KEY, shingle).withColumn("node", F.xxhash64("fp", "__set"))
+        .groupBy("node").agg(F.min("fp").alias("fp"), F.min(F.struct(*KEY)).alias("first")), "distinct-sets")
+    distinct = written(nodes.groupBy("fp").agg(F.count("*").alias("sets")), "distinct-fingerprints")
+    shared = written(distinct.filter("sets > 1"), "shared-fingerprints")
     plan = allocate(*bit_counts(distinct), distance)
-    found = written(
+    close = (
         links(split_buckets(probe_rows(distinct, plan), BUCKET_ROWS), distance, FEW_LINKS)
-        .groupBy("lo", "hi").agg(F.max("dense").alias("dense")), "candidate-links")
-    linked = found.select(F.explode(F.array("lo", "hi")).alias("fp")).distinct()
-    shown = marked.join(linked, "fp").groupBy("fp").agg(F.min(F.struct(*KEY)).alias("first")).select("fp", "first.*")
-    texts = keyed.select(*KEY, F.col(f"`{text}`").alias("__shown")).join(shown, KEY).dropDuplicates(["fp"])
-    sets = written(shingle_sets(texts, "__shown", ["fp"], shingle), "shingle-sets")
+        .groupBy("lo", "hi").agg(F.max("dense").alias("dense")))
+    pairs_of = F.coalesce("lo_sets", F.lit(1)) * F.coalesce("hi_sets", F.lit(1))
+    found = written(
+        close.join(shared.select(F.col("fp").alias("lo"), F.col("sets").alias("lo_sets")), "lo", "left")
+        .join(shared.select(F.col("fp").alias("hi"), F.col("sets").alias("hi_sets")), "hi", "left")
+        .select("lo", "hi", "dense", (pairs_of > FEW_LINKS).alias("crowded")), "candidate-links")
+    linked = found.select(F.explode(F.array("lo", "hi")).alias("fp")).unionByName(shared.select("fp")).distinct()
+    shown = nodes.join(linked, "fp").select("node", "fp", "first.*")
+    texts = keyed.select(*KEY, F.col(f"`{text}`").alias("__shown")).join(shown, KEY).dropDuplicates(["node"])
+    sets = written(shingle_sets(texts, "__shown", ["node", "fp"], shingle), "shingle-sets")
     pairs = (
-        found.join(sets.select(F.col("fp").alias("lo"), F.col("shingles").alias("a")), "lo")
-        .join(sets.select(F.col("fp").alias("hi"), F.col("shingles").alias("b")), "hi")
+        found.filter("not crowded").select(F.col("lo").alias("lo_fp"), F.col("hi").alias("hi_fp"))
+        .join(sets.select(F.col("fp").alias("lo_fp"), F.col("node").alias("lo"), F.col("shingles").alias("a")), "lo_fp")
+        .join(sets.select(F.col("fp").alias("hi_fp"), F.col("node").alias("hi"), F.col("shingles").alias("b")), "hi_fp")
     )
     copies = written(components(alike(pairs, similarity)), "copies")
+    families = components(found.filter("dense or crowded")).select(F.col("node").alias("fp"), "root")
+    alone = shared.join(families, "fp", "left_anti").select("fp", F.col("fp").alias("root"))
     members = (
-        components(found.filter("dense")).join(copies.withColumnRenamed("root", "label"), "node", "left")
-        .select("root", F.col("node").alias("fp"), F.coalesce("label", "node").alias("label"))
-        .join(sets, "fp")
+        families.unionByName(alone).join(sets, "fp")
+        .join(copies.withColumnRenamed("root", "label"), "node", "left")
+        .select("root", "node", "fp", F.coalesce("label", "node").alias("label"), "shingles")
     )
     more = family_links(members, distance, similarity)
-    verified = copies.select(F.col("root").alias("lo"), F.col("node").alias("hi")).unionByName(more)
-    groups = _labelled(marked, distinct, verified, KEY)
-    first = groups.groupBy("root").agg(F.min(F.struct(*KEY)).alias("first")).select("first.*")
+    roots = written(
+        components(copies.select(F.col("root").alias("lo"), F.col("node").alias("hi")).unionByName(more)), "components")
+    first = (
+        nodes.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root"))
+        .agg(F.min("first").alias("first")).select("first.*")
+    )
     return keyed.join(first, KEY, "left_semi").dropDuplicates(KEY).drop(*KEY)
 
 

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 import xxhash
 from fixtures import TEXTS, documents, empty, lower
+from pyspark.sql import functions as F
 
 from presswire.llm import simhash_dedup as S
 import re
@@ -179,6 +180,22 @@ def test_families_are_joined_across_blocks(spark, block_rows):
         rows.append((7, fp, fp, (base + np.uint64(1000 * chain + 8 * step)).tobytes()))
     rng.shuffle(rows)
     rows = [(7, int(fp), int(label), shown) for _, fp, label, shown in rows]
-    members = spark.createDataFrame(rows, "root long, fp long, label long, shingles binary")
+    members = spark.createDataFrame(rows, "root long, fp long, label long, shingles binary").withColumn("node", F.col("fp"))
     found = S.components(S.family_links(members, 12, 0.8, block_rows)).collect()
     assert {r.node: r.root for r in found} == {fp: fp // 50 * 50 for fp in range(150)}
+
+
+def test_unlike_texts_with_equal_fingerprints_stay(spark):
+    rng = random.Random(13)
+    line = "the same short line again and again for ever " * 100
+    texts = []
+    for g in range(4):  # nearly all of it is one line, the rest differs from text to text
+        words = [f"g{g}w{rng.randrange(5000)}" for _ in range(60)]
+        texts += [line + " ".join(words), line + " ".join(words), line + edited(rng, words, 1)]
+    texts += [line + " ".join(f"x{rng.randrange(5000)}" for _ in range(40)) for _ in range(40)]
+    fps = [int(S.fingerprint(np.array(h, np.uint64), np.array([len(h)]))[0])
+           for h in (S.text_hashes(x.encode(), 5) for x in texts)]
+    assert len(set(fps)) < len(texts) // 2
+    docs = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "doc_id long, text string")
+    got = sorted(r.doc_id for r in S.keep_first(docs).collect())
+    assert got == kept_by_brute_force(texts)
