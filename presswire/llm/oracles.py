@@ -204,9 +204,48 @@ SELECT page_id, host, path, {case(2)} AS rule,
 FROM bounds"""
 
 
+def _source_divergence() -> str:
+    def scaled(n: str, total: str) -> str:
+        return f"CAST(1 + (CAST(1000000000 AS HUGEINT) * ({n} + 1)) // ({total} + v) AS BIGINT)"
+
+    return rf"""
+WITH docs AS (
+    SELECT row_number() OVER () AS doc, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+        regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}'),
+                           '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS ws
+    FROM documents),
+seen AS (SELECT doc, lang, source, unnest(ws) AS term FROM docs),
+kept AS (SELECT lang, term, count(*) AS n FROM seen GROUP BY ALL HAVING count(DISTINCT doc) >= 3),
+langs AS (SELECT lang, count(*) AS v, sum(n) AS total FROM kept GROUP BY lang),
+counts AS (SELECT s.lang, source, s.term, count(*) AS n FROM seen s JOIN kept k ON k.lang = s.lang AND k.term = s.term GROUP BY ALL),
+totals AS (
+    SELECT g.lang, g.source, coalesce(sum(n), 0) AS total
+    FROM (SELECT DISTINCT lang, source FROM docs) g LEFT JOIN counts c ON c.lang = g.lang AND c.source = g.source
+    GROUP BY ALL),
+chances AS (
+    SELECT t.lang, t.source, k.term, coalesce(c.n, 0) AS n, {scaled("coalesce(c.n, 0)", "t.total")} AS p,
+        {scaled("k.n", "l.total")} AS q
+    FROM totals t JOIN kept k ON k.lang = t.lang JOIN langs l ON l.lang = t.lang
+    LEFT JOIN counts c ON c.lang = t.lang AND c.source = t.source AND c.term = k.term),
+pairs AS (
+    SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // b.p) AS value
+    FROM chances a JOIN chances b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+parts AS (
+    SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(value, 0) AS BIGINT) AS value
+    FROM totals a JOIN totals b ON a.lang = b.lang AND a.source <> b.source
+    LEFT JOIN pairs p ON p.lang = a.lang AND p.source = a.source AND p.item = b.source
+    UNION ALL
+    SELECT lang, source, 'term', term, CAST(((p - q) * (p - q)) // q AS BIGINT) FROM chances WHERE n > 0 AND p > q)
+SELECT * FROM (
+    SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank
+    FROM parts)
+WHERE part = 'pair' OR rank <= 200"""
+
+
 ORACLES: dict[str, str] = {
     "op1_license_scan": _license_scan(),
     "op3_quality_rules": _quality_rules(),
     "op4_decontamination": _DECONTAMINATION,
     "op6_url_reputation": _url_reputation(),
+    "op13_source_divergence": _source_divergence(),
 }
