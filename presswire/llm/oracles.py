@@ -242,10 +242,23 @@ SELECT * FROM (
 WHERE part = 'pair' OR rank <= 200"""
 
 
+_VORONOI_SEARCH = """
+WITH vectors AS (
+    SELECT row_number() OVER () AS nth, vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS units
+    FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+    SELECT q.nth, q.vec_id AS query_id, d.vec_id, CAST(list_inner_product(q.units, d.units) AS BIGINT) AS score
+    FROM vectors q JOIN vectors d ON q.nth <> d.nth WHERE q.vec_id % 20 = 0),
+ranked AS (
+    SELECT *, CAST(row_number() OVER (PARTITION BY nth ORDER BY score DESC, vec_id NULLS LAST) AS INTEGER) AS rank FROM scored)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20"""
+
+
 ORACLES: dict[str, str] = {
     "op1_license_scan": _license_scan(),
     "op3_quality_rules": _quality_rules(),
     "op4_decontamination": _DECONTAMINATION,
     "op6_url_reputation": _url_reputation(),
+    "op12_voronoi_search": _VORONOI_SEARCH,
     "op13_source_divergence": _source_divergence(),
 }
