@@ -254,11 +254,51 @@ ranked AS (
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20"""
 
 
+# crc32 bit by bit over the digits of an id
+_PREFIX_TRIE = """
+WITH turns AS (
+    SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (
+        PARTITION BY conv_id ORDER BY turn NULLS FIRST,
+        sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) - 1 AS pos
+    FROM conversations WHERE conv_id IS NOT NULL),
+convs AS (
+    SELECT conv_id, conv_id - conv_id % 5 AS family, xor(list_reduce(
+        list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda d: CAST(ascii(d) AS BIGINT)),
+        lambda c, b: list_reduce(
+            range(8), lambda x, i: CASE WHEN x % 2 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END, xor(c, b)),
+        4294967295), 4294967295) % 9 AS h
+    FROM (SELECT DISTINCT conv_id FROM turns)),
+rebuilt AS (
+    SELECT t.conv_id, pos, role, text FROM turns t JOIN convs c ON c.conv_id = t.conv_id WHERE pos >= h
+    UNION ALL
+    SELECT c.conv_id, pos, role, text FROM convs c JOIN turns t ON t.conv_id = c.family WHERE pos < h),
+whole AS (
+    SELECT c.conv_id, coalesce(list({'role': role, 'text': text} ORDER BY pos) FILTER (pos IS NOT NULL), []) AS path
+    FROM convs c LEFT JOIN rebuilt r ON r.conv_id = c.conv_id GROUP BY c.conv_id),
+members AS (SELECT conv_id, path, unnest(range(0, len(path) + 1)) AS depth FROM whole),
+nodes AS (
+    SELECT list_slice(path, 1, depth) AS path, depth, min(conv_id) AS conv_id, count(*) AS n_convs,
+        sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (len(path) = depth), ''))
+            AS ends_sha256
+    FROM members GROUP BY 1, 2),
+kids AS (SELECT list_slice(path, 1, depth - 1) AS path, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY 1),
+known AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM nodes n LEFT JOIN kids k ON k.path = n.path),
+above AS (SELECT *, unnest(range(0, depth + 1)) AS up FROM known),
+sums AS (
+    SELECT list_slice(path, 1, up) AS path, count(*) FILTER (n_children = 0) AS n_leaves,
+        sum(CASE WHEN depth = 0 THEN 0 ELSE (n_convs - 1) * strlen(path[depth].text) END) AS saved_tokens
+    FROM above GROUP BY 1)
+SELECT k.conv_id, k.depth, p.conv_id AS parent_conv_id, k.n_convs, k.n_children, s.n_leaves,
+    CAST(s.saved_tokens AS BIGINT) AS saved_tokens, k.ends_sha256
+FROM known k JOIN sums s ON s.path = k.path LEFT JOIN nodes p ON k.depth > 0 AND p.path = list_slice(k.path, 1, k.depth - 1)"""
+
+
 ORACLES: dict[str, str] = {
     "op1_license_scan": _license_scan(),
     "op3_quality_rules": _quality_rules(),
     "op4_decontamination": _DECONTAMINATION,
     "op6_url_reputation": _url_reputation(),
+    "op11_prefix_trie": _PREFIX_TRIE,
     "op12_voronoi_search": _VORONOI_SEARCH,
     "op13_source_divergence": _source_divergence(),
 }

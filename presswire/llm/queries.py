@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from presswire.llm import (
-    decontamination, kneser_ney, language_id, license_scan, line_crf, piece_codec, quality_rules, simhash_dedup,
-    source_divergence, token_planes, url_reputation, voronoi_search,
+    decontamination, kneser_ney, language_id, license_scan, line_crf, piece_codec, prefix_trie, quality_rules,
+    simhash_dedup, source_divergence, token_planes, url_reputation, voronoi_search,
 )
 from presswire.llm.common import table
 from presswire.llm.oracles import ORACLES
@@ -81,6 +81,10 @@ def op10_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
                          F.when(F.col("score") >= line_crf.THRESHOLD, 1).otherwise(0).alias("predicted"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_nodes(table(spark, sf_dir, "conversations"))
+
+
 def op12_voronoi_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return voronoi_search.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
@@ -91,8 +95,8 @@ def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_license_scan, op2_piece_codec, op3_quality_rules, op4_decontamination, op5_kneser_ney, op6_url_reputation,
-    op7_token_planes, op8_language_id, op9_simhash_dedup, op10_line_crf, op12_voronoi_search,
-    op13_source_divergence,
+    op7_token_planes, op8_language_id, op9_simhash_dedup, op10_line_crf, op11_prefix_trie,
+    op12_voronoi_search, op13_source_divergence,
 )}
 
 __all__ = ["ORACLES", "QUERIES"]
