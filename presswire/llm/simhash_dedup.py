@@ -21,12 +21,15 @@ folder each round; nothing but counters returns to the driver.
 
 Defined cases: null text counts as empty; a null doc_id takes part and gets the smallest id
 of its component (null if it has none); repeated rows give repeated results; an empty table
-gives an empty result.
+gives an empty result. A text of any length is hashed whole (8 bytes a word in its task); the other columns
+are the caller's choice (`keep`) or kept whatever their names (`keep_first`).
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -43,6 +46,8 @@ SEED = 42
 BUCKET_ROWS = 8192
 #: Cost of one probe row (generated, shuffled and sorted) in compared pairs.
 PROBE_COST = 40.0
+#: Cost per text of one more view (its fingerprint and its tables) in compared pairs.
+VIEW_COST = 2000.0
 BITS = 64
 
 FINGERPRINT = T.StructType([T.StructField("fp", T.LongType())])
@@ -89,26 +94,37 @@ def text_hashes(text: bytes, shingle: int = SHINGLE) -> list[int]:
 
 def fingerprints(docs: DataFrame, *, text: str = "text", keep: list[str], shingle: int = SHINGLE) -> DataFrame:
     """`keep` columns plus fp, the fingerprint as a signed long."""
-    return _fingerprinted(docs, text, keep, shingle, FINGERPRINT, lambda groups: [])
+    def make():
+        def work(texts: list[bytes], _) -> list:
+            groups = [np.array(text_hashes(t, shingle), np.uint64) for t in texts]
+            sizes = np.array([len(g) for g in groups], np.int64)
+            return [pa.array(fingerprint(np.concatenate(groups), sizes).view(np.int64))]
 
+        return work
 
-def set_fingerprints(docs: DataFrame, text: str, keep: list[str], shingle: int) -> DataFrame:
-    """The same plus __set, the hash of the set of distinct shingles."""
+    return map_texts(docs, text, keep, FINGERPRINT, make)
 
-    def hashed(groups: list[np.ndarray]) -> list:
-        sets = [xxhash.xxh64_intdigest(np.unique(g).tobytes(), SEED) for g in groups]
-        return [pa.array(np.array(sets, np.uint64).view(np.int64))]
 
-    return _fingerprinted(docs, text, keep, shingle, T.StructType([*FINGERPRINT, T.StructField("__set", T.LongType())]),
-                          hashed)
+def set_fingerprints(docs: DataFrame, text: str, keep: list[str], shingle: int, views: int = 1) -> DataFrame:
+    """`keep` columns, fps (a fingerprint per view) and __set, the hash of the set of distinct shingles.
 
+    The first view is the fingerprint of `fingerprints`; each other one takes the bits of the same hashes
+    mixed anew, so views err independently.
+    """
+    fields = T.StructType([T.StructField("fps", T.ArrayType(T.LongType())), T.StructField("__set", T.LongType())])
 
-def _fingerprinted(docs: DataFrame, text: str, keep: list[str], shingle: int, fields: T.StructType, more) -> DataFrame:
     def make():
         def work(texts: list[bytes], _) -> list:
             groups = [np.array(text_hashes(t, shingle), np.uint64) for t in texts]
             sizes = np.array([len(g) for g in groups], np.int64)
-            return [pa.array(fingerprint(np.concatenate(groups), sizes).view(np.int64)), *more(groups)]
+            whole = np.concatenate(groups)
+            fps = np.empty((len(texts), views), np.int64)
+            for v in range(views):
+                fps[:, v] = fingerprint(whole if v == 0 else mixed(whole ^ np.uint64(v)), sizes).view(np.int64)
+            sets = [xxhash.xxh64_intdigest(np.unique(g).tobytes(), SEED) for g in groups]
+            ends = pa.array(np.arange(0, fps.size + 1, views, dtype=np.int32))
+            return [pa.ListArray.from_arrays(ends, pa.array(fps.ravel())),
+                    pa.array(np.array(sets, np.uint64).view(np.int64))]
 
         return work
 
@@ -166,6 +182,10 @@ def near_share(differ: np.ndarray, most: int) -> list[float]:
 
 def allocate(n: int, both: np.ndarray, distance: int) -> list[tuple[list[int], int]]:
     """Parts with their thresholds, of least estimated cost over the numbers of parts."""
+    return _cheapest(n, both, distance)[1]
+
+
+def _cheapest(n: int, both: np.ndarray, distance: int) -> tuple[float, list[tuple[list[int], int]]]:
     n = max(n, 1)
     p = np.diag(both) / n
     differ = 2 * p * (1 - p)
@@ -188,7 +208,29 @@ def allocate(n: int, both: np.ndarray, distance: int) -> list[tuple[list[int], i
         cost, chosen = cheapest[distance + 1]
         if cost < best_cost:
             best_cost, best = cost, list(zip(groups, chosen))
-    return [(bits, t) for bits, t in best if t >= 0]
+    return best_cost, [(bits, t) for bits, t in best if t >= 0]
+
+
+def found_share(similarity: float, distance: int) -> float:
+    """Chance that texts of this Jaccard similarity are up to `distance` bits apart: each bit of their
+    fingerprints differs with the angle between their shingle vectors over pi."""
+    differ = math.acos(min(1.0, 2 * similarity / (1 + similarity))) / math.pi
+    return near_share(np.full(BITS, differ), distance)[distance]
+
+
+def plan_views(n: int, similarity: float, recall: float) -> tuple[int, int]:
+    """Distance and number of views of least estimated cost that find links of this similarity with this recall.
+
+    Wide distances need few views but meet chance pairs with the square of `n`, narrow ones the
+    other way round: the more texts, the narrower and the more views.
+    """
+    ideal = np.full((BITS, BITS), n // 4) + np.diag(np.full(BITS, n // 2 - n // 4))
+    best = (float("inf"), 0, 0)
+    for distance in range(2, 17):
+        found = found_share(similarity, distance)
+        views = 1 if found >= recall else math.ceil(math.log(1 - recall) / math.log(1 - found))
+        best = min(best, (views * (_cheapest(n, ideal, distance)[0] + n * VIEW_COST), distance, views))
+    return best[1:]
 
 
 def _choose(n: int, k: int) -> int:
@@ -432,9 +474,9 @@ def _labelled(marked: DataFrame, distinct: DataFrame, found: DataFrame, keep: li
 
 # --- one document of each group ---------------------------------------------------------
 
-#: Near copies: five-word shingles, alike in 0.8 of them. Texts so alike differ in 9.7 bits on
-#: average; the search takes more and the shingles themselves decide.
-COPY_SHINGLE, COPY_SIMILARITY, COPY_DISTANCE = 5, 0.8, 12
+#: Near copies: five-word shingles, alike in 0.8 of them. Texts just so alike differ in 9.7 bits on average;
+#: the search is planned to find this share of them, more of the closer ones, and the shingles decide.
+COPY_SHINGLE, COPY_SIMILARITY, COPY_RECALL = 5, 0.8, 0.92
 #: Links that a member of a large bucket may have there to be verified one by one, and pairs of
 #: shingle sets that a link of fingerprints may stand for.
 FEW_LINKS = 32
@@ -541,59 +583,85 @@ def family_links(members: DataFrame, distance: int, similarity: float,
     return dealt.mapInArrow(run, "lo long, hi long")
 
 
+def _view_links(nodes: DataFrame, view: int, distance: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Of one view: the fingerprints of all nodes, those of several nodes, and links (lo, hi, dense, crowded)."""
+    own = nodes.select("node", F.get("fps", F.lit(view)).alias("fp"))
+    distinct = written(own.groupBy("fp").agg(F.count("*").alias("sets")), "distinct-fingerprints")
+    shared = written(distinct.filter("sets > 1"), "shared-fingerprints")
+    plan = allocate(*bit_counts(distinct), distance)
+    close = (
+        links(split_buckets(probe_rows(distinct, plan), BUCKET_ROWS), distance, FEW_LINKS)
+        .groupBy("lo", "hi").agg(F.max("dense").alias("dense")))
+    pairs_of = F.coalesce("lo_sets", F.lit(1)) * F.coalesce("hi_sets", F.lit(1))
+    found = written(
+        close.join(shared.select(F.col("fp").alias("lo"), F.col("sets").alias("lo_sets")), "lo", "left")
+        .join(shared.select(F.col("fp").alias("hi"), F.col("sets").alias("hi_sets")), "hi", "left")
+        .select("lo", "hi", "dense", (pairs_of > FEW_LINKS).alias("crowded")), "candidate-links")
+    return own, shared, found
+
+
 def keep_first(
     docs: DataFrame,
     *,
     text: str = "text",
     doc_id: str = "doc_id",
     shingle: int = COPY_SHINGLE,
-    distance: int = COPY_DISTANCE,
     similarity: float = COPY_SIMILARITY,
+    recall: float = COPY_RECALL,
+    distance: int | None = None,
+    views: int | None = None,
 ) -> DataFrame:
     """One document of each group of near copies, with all its columns.
 
-    Texts with the same fingerprint and the same set of shingles are copies and one node; links
-    found by fingerprint are verified on the shingle sets of their nodes. Where links are so many
-    that the search gives a spanning forest only (dense ones), or fingerprints have so many nodes
-    that a link stands for many pairs, the trees are families; so are the nodes of one
-    fingerprint. Within a family every pair up to `distance` bits apart is verified that verified
-    links do not connect already. The document with the smallest id stays, among texts with that
-    id the one with the smallest hash; rows that repeat it go.
+    Texts with the same fingerprints and the same set of shingles are copies and one node. Candidates
+    come from searches of `views` independent fingerprints up to `distance` bits apart (planned
+    for the number of documents and `recall` unless given) and are verified on the shingle sets of
+    their nodes. Where links are so many that a search gives a spanning forest only (dense ones), or
+    fingerprints have so many nodes that a link stands for many pairs, the trees are families; so
+    are the nodes of one fingerprint. Within a family every pair up to `distance` bits apart is
+    verified that verified links do not connect already. The document with the smallest id stays,
+    among texts with that id the one with the smallest hash; rows that repeat it go. Columns of
+    any name are kept.
     """
-    keyed = docs.withColumns({
-        "__id": F.coalesce(F.col(f"`{doc_id}`"), F.lit(0)), "__null": F.col(f"`{doc_id}`").isNull(),
-        "__hash": F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit("")))})
+    if distance is None or views is None:
+        planned = plan_views(docs.count(), similarity, recall)
+        distance, views = distance or planned[0], views or planned[1]
+    plain = [f"c{i}" for i in range(len(docs.columns))]
+    id_column, text_column = (F.col(plain[docs.columns.index(c)]) for c in (doc_id, text))
+    keyed = docs.toDF(*plain).withColumns({
+        "__id": F.coalesce(id_column, F.lit(0)), "__null": id_column.isNull(),
+        "__hash": F.xxhash64(F.coalesce(text_column, F.lit("")))}).withColumn("__shown", text_column)
     nodes = written(
-        set_fingerprints(keyed, text, KEY, shingle).withColumn("node", F.xxhash64("fp", "__set"))
-        .groupBy("node").agg(F.min("fp").alias("fp"), F.min(F.struct(*KEY)).alias("first")), "distinct-sets")
-    distinct = written(nodes.groupBy("fp").agg(F.count("*").alias("sets")), "distinct-fingerprints")
-    shared = written(distinct.filter("sets > 1"), "shared-fingerprints")
-    plan = allocate(*bit_counts(distinct), distance)
-    close = (
-        links(split_buckets(probe_rows(distinct, plan), BUCKET_ROWS), distance, FEW_LINKS)
-        .groupBy("lo", "hi").agg(F.max("dense").alias("dense")))
-    pairs_of = F.coalesce("lo_sets", F.lit(1)) * F.coalesce("hi_sets", F.lit(1))
-    found = written(
-        close.join(shared.select(F.col("fp").alias("lo"), F.col("sets").alias("lo_sets")), "lo", "left")
-        .join(shared.select(F.col("fp").alias("hi"), F.col("sets").alias("hi_sets")), "hi", "left")
-        .select("lo", "hi", "dense", (pairs_of > FEW_LINKS).alias("crowded")), "candidate-links")
-    linked = found.select(F.explode(F.array("lo", "hi")).alias("fp")).unionByName(shared.select("fp")).distinct()
-    shown = nodes.join(linked, "fp").select("node", "fp", "first.*")
-    texts = keyed.select(*KEY, F.col(f"`{text}`").alias("__shown")).join(shown, KEY).dropDuplicates(["node"])
-    sets = written(shingle_sets(texts, "__shown", ["node", "fp"], shingle), "shingle-sets")
+        set_fingerprints(keyed, "__shown", KEY, shingle, views).withColumn("node", F.xxhash64("fps", "__set"))
+        .groupBy("node").agg(F.min("fps").alias("fps"), F.min(F.struct(*KEY)).alias("first")), "distinct-sets")
+    searched = [_view_links(nodes, v, distance) for v in range(views)]
+    linked = [
+        own.join(found.select(F.explode(F.array("lo", "hi")).alias("fp")).unionByName(shared.select("fp")).distinct(), "fp")
+        .select("node") for own, shared, found in searched]
+    shown = nodes.join(reduce(DataFrame.unionByName, linked).distinct(), "node").select("node", "fps", "first.*")
+    texts = keyed.select(*KEY, "__shown").join(shown, KEY).dropDuplicates(["node"])
+    sets = written(shingle_sets(texts, "__shown", ["node", "fps"], shingle), "shingle-sets")
+
+    def node_pairs(own: DataFrame, found: DataFrame) -> DataFrame:
+        lo, hi = (own.select(F.col("fp").alias(f"{c}_fp"), F.col("node").alias(c)) for c in ("lo", "hi"))
+        few = found.filter("not crowded").select(F.col("lo").alias("lo_fp"), F.col("hi").alias("hi_fp"))
+        return few.join(lo, "lo_fp").join(hi, "hi_fp").select(F.least("lo", "hi").alias("lo"), F.greatest("lo", "hi").alias("hi"))
+
+    pairs = reduce(DataFrame.unionByName, [node_pairs(own, found) for own, _, found in searched]).distinct()
     pairs = (
-        found.filter("not crowded").select(F.col("lo").alias("lo_fp"), F.col("hi").alias("hi_fp"))
-        .join(sets.select(F.col("fp").alias("lo_fp"), F.col("node").alias("lo"), F.col("shingles").alias("a")), "lo_fp")
-        .join(sets.select(F.col("fp").alias("hi_fp"), F.col("node").alias("hi"), F.col("shingles").alias("b")), "hi_fp")
-    )
+        pairs.join(sets.select(F.col("node").alias("lo"), F.col("shingles").alias("a")), "lo")
+        .join(sets.select(F.col("node").alias("hi"), F.col("shingles").alias("b")), "hi"))
     copies = written(components(alike(pairs, similarity)), "copies")
-    families = components(found.filter("dense or crowded")).select(F.col("node").alias("fp"), "root")
-    alone = shared.join(families, "fp", "left_anti").select("fp", F.col("fp").alias("root"))
-    members = (
-        families.unionByName(alone).join(sets, "fp")
-        .join(copies.withColumnRenamed("root", "label"), "node", "left")
-        .select("root", "node", "fp", F.coalesce("label", "node").alias("label"), "shingles")
-    )
+
+    def family(view: int, shared: DataFrame, found: DataFrame) -> DataFrame:
+        trees = components(found.filter("dense or crowded")).select(F.col("node").alias("fp"), "root")
+        alone = shared.join(trees, "fp", "left_anti").select("fp", F.col("fp").alias("root"))
+        own = sets.select("node", F.get("fps", F.lit(view)).alias("fp"), "shingles")
+        return trees.unionByName(alone).withColumn("root", F.xxhash64("root", F.lit(view))).join(own, "fp")
+
+    members = reduce(DataFrame.unionByName, [family(v, shared, found) for v, (_, shared, found) in enumerate(searched)])
+    members = members.join(copies.withColumnRenamed("root", "label"), "node", "left").select(
+        "root", "node", "fp", F.coalesce("label", "node").alias("label"), "shingles")
     more = family_links(members, distance, similarity)
     roots = written(
         components(copies.select(F.col("root").alias("lo"), F.col("node").alias("hi")).unionByName(more)), "components")
@@ -601,7 +669,7 @@ def keep_first(
         nodes.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root"))
         .agg(F.min("first").alias("first")).select("first.*")
     )
-    return keyed.join(first, KEY, "left_semi").dropDuplicates(KEY).drop(*KEY)
+    return keyed.join(first, KEY, "left_semi").dropDuplicates(KEY).select(*plain).toDF(*docs.columns)
 
 
 def hex_digits(fp: Column) -> Column:

@@ -1,4 +1,7 @@
+import math
 import random
+import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -7,7 +10,6 @@ from fixtures import TEXTS, documents, empty, lower
 from pyspark.sql import functions as F
 
 from presswire.llm import simhash_dedup as S
-import re
 
 
 def brute_fingerprint(text):
@@ -166,7 +168,7 @@ def test_large_groups_of_not_mutually_alike_copies(spark):
         texts.append(" ".join(words))
     rng.shuffle(texts)
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
-    got = sorted(r.doc_id for r in S.keep_first(docs).collect())
+    got = sorted(r.doc_id for r in S.keep_first(docs, distance=12, views=1).collect())
     assert got == kept_by_brute_force(texts)
 
 
@@ -197,5 +199,73 @@ def test_unlike_texts_with_equal_fingerprints_stay(spark):
            for h in (S.text_hashes(x.encode(), 5) for x in texts)]
     assert len(set(fps)) < len(texts) // 2
     docs = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "doc_id long, text string")
-    got = sorted(r.doc_id for r in S.keep_first(docs).collect())
+    got = sorted(r.doc_id for r in S.keep_first(docs, distance=12, views=1).collect())
     assert got == kept_by_brute_force(texts)
+
+
+def exact_groups(texts):
+    """Index of the first text of each group that links of Jaccard 0.8 or more connect, by an exact prefix filter."""
+    sets = [frozenset(shingles(t)) for t in texts]
+    often = Counter(x for s in sets for x in s)
+    root, met = list(range(len(texts))), {}
+
+    def find(i):
+        while root[i] != i:
+            root[i] = i = root[root[i]]
+        return i
+
+    for i, s in sorted(enumerate(sets), key=lambda p: len(p[1])):
+        rare = sorted(s, key=lambda x: (often[x], hash(x)))[:len(s) - math.ceil(0.8 * len(s)) + 1]
+        for j in {j for x in rare for j in met.get(x, ())}:
+            if find(i) != find(j) and len(sets[j]) >= 0.8 * len(s):
+                both = len(s & sets[j])
+                if both >= 0.8 * (len(s) + len(sets[j]) - both):
+                    root[max(find(i), find(j))] = min(find(i), find(j))
+        for x in rare:
+            met.setdefault(x, []).append(i)
+    return [find(i) for i in range(len(texts))]
+
+
+@pytest.mark.parametrize("size", ["sf0.01", "sf0.1"])
+def test_near_copies_of_the_given_documents_against_exact_jaccard(spark, sf_dir, size):
+    docs = spark.read.parquet(sf_dir.replace("sf0.001", size) + "/documents.parquet").orderBy("doc_id")
+    texts = [r.text for r in docs.select("text").collect()]
+    groups = exact_groups(texts)
+    assert len(texts) > len(set(groups))
+    kept = S.keep_first(docs).count()
+    assert kept >= len(set(groups))  # nothing is joined that exact links do not connect
+    copies = len(texts) - len(set(texts))
+    near = len(texts) - copies - len(set(groups))
+    assert len(texts) - copies - kept >= 0.9 * near
+
+
+def test_links_of_barely_enough_similarity_are_found(spark):
+    rng = random.Random(17)
+    texts = []
+    for g in range(150):  # 11 to 14 of 600 words changed: similarities just above and below 0.8
+        words = [f"g{g}w{rng.randrange(50_000)}" for _ in range(600)]
+        texts += [" ".join(words), edited(rng, words, rng.randrange(11, 15))]
+    sets = [shingles(t) for t in texts]
+    due = [i for i in range(0, len(texts), 2)
+           if len(sets[i] & sets[i + 1]) >= 0.8 * len(sets[i] | sets[i + 1])]
+    assert len(due) > 50
+    docs = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "doc_id long, text string")
+    kept = {r.doc_id for r in S.keep_first(docs).collect()}
+    found = [i for i in due if i + 1 not in kept]
+    assert len(found) >= 0.9 * len(due)
+    assert not [i for i in range(0, len(texts), 2) if i not in due and i + 1 not in kept]
+
+
+def test_columns_of_any_name_are_kept(spark):
+    rows = [(1, "a b c d e f g", 5, True, 7, 8), (2, "a b c d e f g", 6, False, 7, 8), (3, None, 1, None, 1, 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, __id long, __null boolean, __hash long, fps long")
+    kept = S.keep_first(docs)
+    assert kept.columns == docs.columns
+    assert sorted(tuple(r) for r in kept.collect()) == [rows[0], rows[2]]
+
+
+def test_narrow_searches_of_many_views_for_many_texts():
+    for n in (100, 10**5, 10**7, 10**9):
+        distance, views = S.plan_views(n, 0.8, 0.92)
+        assert 1 - (1 - S.found_share(0.8, distance)) ** views >= 0.92
+    assert S.plan_views(10**9, 0.8, 0.92)[0] < S.plan_views(10**5, 0.8, 0.92)[0]
