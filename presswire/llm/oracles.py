@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from presswire.llm.license_scan import TEMPLATES
 from presswire.llm.quality_rules import ERROR, FALSE_REJECTION, GRID
+from presswire.llm.url_reputation import ADDRESS, WIDE_SUFFIXES
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -156,6 +157,8 @@ _RULES = [
 
 
 def _url_reputation() -> str:
+    wide = ", ".join(f"'{x}'" for x in WIDE_SUFFIXES)
+
     def case(value: int) -> str:
         return "CASE " + " ".join(
             f"WHEN (host = '{r[0]}' OR ends_with(host, '.{r[0]}')) AND starts_with(path, '{r[1]}') THEN '{r[value]}'"
@@ -173,12 +176,17 @@ placed AS (
     SELECT page_id, translate(raw_host, '{_UPPER}', '{_UPPER.lower()}') AS host,
         regexp_extract(substr(rest, length(raw_host) + 1), '^[^?#]*') AS path FROM raw),
 place AS (
-    SELECT *, array_to_string(list_slice(labels, -2, -1), '.') AS domain, labels[-1] AS suffix FROM (
-        SELECT *, string_split(regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', ''), '.') AS labels
-        FROM placed)),
-known AS (
-    SELECT p.*, CASE WHEN l.quality = 0 OR l.toxic = 1 THEN 1 ELSE 0 END AS bad
-    FROM place p JOIN labels l ON l.doc_id = TRY_CAST(regexp_extract(p.path, '^/[a-z]+/([0-9]+)', 1) AS BIGINT)),
+    SELECT *, CASE WHEN address THEN bare ELSE array_to_string(labels[-wide - 1:], '.') END AS domain,
+        CASE WHEN address THEN '' ELSE array_to_string(labels[-wide:], '.') END AS suffix FROM (
+        SELECT *, string_split(bare, '.') AS labels, regexp_matches(bare, '{ADDRESS}') AS address,
+            CASE WHEN array_to_string(string_split(bare, '.')[-2:], '.') IN ({wide}) THEN 2 ELSE 1 END AS wide
+        FROM (SELECT *, regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', '') AS bare FROM placed))),
+outcomes AS (
+    SELECT page_id AS id, max(CASE WHEN l.quality = 0 OR l.toxic = 1 THEN 1
+                                   WHEN coalesce(l.quality, l.toxic) IS NOT NULL THEN 0 END) AS bad
+    FROM place p JOIN labels l ON l.doc_id = TRY_CAST(regexp_extract(p.path, '^/[a-z]+/([0-9]+)', 1) AS BIGINT)
+    GROUP BY page_id),
+known AS (SELECT p.*, bad FROM place p JOIN outcomes ON page_id = id WHERE bad IS NOT NULL),
 hosts AS (
     SELECT host, domain, suffix, count(*)::DOUBLE AS n, sum(bad)::DOUBLE AS bad FROM known GROUP BY ALL),
 {_level("domain", "hosts", "domain, suffix")},

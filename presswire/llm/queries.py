@@ -46,12 +46,13 @@ def op5_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A page's outcome is the label of the document that its path names; toxic or low quality is bad."""
+    """A page's outcome is the label of the document that its path names; toxic or low quality is bad, no label is none."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     named = url_reputation.located(pages).select(
         "page_id", F.regexp_extract("path", r"^/[a-z]+/([0-9]+)", 1).try_cast("long").alias("doc"))
     outcomes = named.join(table(spark, sf_dir, "labels"), F.col("doc") == F.col("doc_id")).select(
-        "page_id", F.when((F.col("quality") == 0) | (F.col("toxic") == 1), 1).otherwise(0).alias("bad"))
+        "page_id", F.when((F.col("quality") == 0) | (F.col("toxic") == 1), 1)
+        .when(F.coalesce("quality", "toxic").isNotNull(), 0).alias("bad"))
     return url_reputation.judge(pages, outcomes).select("page_id", "host", "path", "rule", "verdict")
 
 

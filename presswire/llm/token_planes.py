@@ -124,7 +124,8 @@ class CutEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        # the library finds these strings in a text before it cuts it: texts with one are encoded whole
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.kind = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
         self.code = "H" if self.kind.itemsize == 2 else "I"
         # cuts seen lately, and those of the time before: what is met again moves up, the rest goes
@@ -158,7 +159,7 @@ class CutEncoder:
         lasts = self.whole(["" if last is None else " " + last for _, last in ends])
         out, get = [], self.cache.__getitem__
         for text, c, first, last in zip(texts, cuts, firsts, lasts):
-            loose = c[0] and c[0][-1].isspace() and len(c[0]) < len(text)
+            loose = c[0] and c[0][-1].isspace() and len(c[0]) < len(text) or any(t in text for t in self.added)
             try:
                 joined = None if loose else b"".join([first, *map(get, c[1:]), last])
             except TypeError:  # a cut that may not be encoded by itself

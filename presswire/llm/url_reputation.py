@@ -15,7 +15,9 @@ splits.
 Defined cases: a null url, or one without `://`, has an empty host and path, and is judged by the
 reputation of the empty host like any other; a page without an outcome, or with a null one, counts
 nowhere; hosts without outcomes take the posterior of their domain, suffix or all pages; without
-any outcomes everything is allowed; repeated pages repeat their row, repeated outcomes count each.
+any outcomes everything is allowed; repeated pages repeat their row and count once each, with the worst outcome
+of their page_id; an empty table gives no rows; other columns are ignored, whatever their names; a url of any length is
+read whole.
 """
 
 from __future__ import annotations
@@ -50,6 +52,33 @@ RULES = [
     Rule("block", "net/fr/"),
 ]
 
+#: Second-level registries under which domains are registered.
+WIDE_SUFFIXES = [
+    "ac.uk", "co.uk", "gov.uk", "ltd.uk", "me.uk", "net.uk", "org.uk", "plc.uk", "sch.uk",
+    "asn.au", "com.au", "edu.au", "gov.au", "id.au", "net.au", "org.au",
+    "ac.nz", "co.nz", "govt.nz", "net.nz", "org.nz", "school.nz",
+    "ac.jp", "ad.jp", "co.jp", "ed.jp", "go.jp", "gr.jp", "lg.jp", "ne.jp", "or.jp",
+    "ac.kr", "co.kr", "go.kr", "ne.kr", "or.kr", "re.kr",
+    "ac.in", "co.in", "edu.in", "firm.in", "gen.in", "gov.in", "ind.in", "net.in", "nic.in", "org.in",
+    "ac.za", "co.za", "gov.za", "net.za", "org.za", "web.za",
+    "com.br", "edu.br", "gov.br", "net.br", "org.br",
+    "com.cn", "edu.cn", "gov.cn", "net.cn", "org.cn",
+    "com.tw", "edu.tw", "gov.tw", "net.tw", "org.tw",
+    "com.hk", "edu.hk", "gov.hk", "net.hk", "org.hk",
+    "com.sg", "edu.sg", "gov.sg", "net.sg", "org.sg",
+    "com.my", "edu.my", "gov.my", "net.my", "org.my",
+    "com.tr", "edu.tr", "gov.tr", "net.tr", "org.tr",
+    "com.mx", "edu.mx", "gob.mx", "net.mx", "org.mx",
+    "com.ar", "edu.ar", "gob.ar", "net.ar", "org.ar",
+    "com.ua", "edu.ua", "gov.ua", "net.ua", "org.ua",
+    "ac.id", "co.id", "go.id", "or.id", "web.id",
+    "ac.th", "co.th", "go.th", "in.th", "or.th",
+    "ac.il", "co.il", "gov.il", "net.il", "org.il",
+    "com.pl", "edu.pl", "gov.pl", "net.pl", "org.pl",
+]
+#: Hosts that are IP addresses.
+ADDRESS = r"^([0-9]{1,3}(\.[0-9]{1,3}){3}|\[.*)$"
+
 MAX_BAD = 0.5
 Z = 1.645
 #: Share of variance between children that a prior may assume, and the one taken when they can't tell.
@@ -65,9 +94,18 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
 
 
 def domain_and_suffix(host: Column) -> tuple[Column, Column]:
-    """The last two labels and the last label, without user and port."""
+    """Registered domain and suffix, without user and port.
+
+    The suffix is the last label, or the last two if they are one of `WIDE_SUFFIXES`; the domain has one
+    label more. An IP address is its own domain, under an empty suffix.
+    """
     bare = F.regexp_replace(F.regexp_replace(host, r"^.*@", ""), r":[0-9]*$", "")
-    return F.substring_index(bare, ".", -2), F.substring_index(bare, ".", -1)
+    wide = F.substring_index(bare, ".", -2).isin(*WIDE_SUFFIXES)
+    address = bare.rlike(ADDRESS)
+    domain = F.when(address, bare).when(wide, F.substring_index(bare, ".", -3)).otherwise(F.substring_index(bare, ".", -2))
+    suffix = F.when(address, F.lit("")).when(wide, F.substring_index(bare, ".", -2)).otherwise(
+        F.substring_index(bare, ".", -1))
+    return domain, suffix
 
 
 def first_rule(host: Column, path: Column, rules: list[Rule]) -> tuple[Column, Column]:
@@ -151,7 +189,8 @@ def judge(
     `outcomes` has page_id and bad (1 bad, 0 good) of the pages that are labelled.
     """
     place = located(pages, page_id=page_id, url=url)
-    known = outcomes.select(F.col("page_id").alias("__page"), F.col("bad"))
+    # one outcome per id, so that repeated pages count once each
+    known = outcomes.groupBy(F.col("page_id").alias("__page")).agg(F.max("bad").alias("bad"))
     levels = reputations(place.join(known, F.col("page_id") == F.col("__page")))
     host = levels["host"].select(
         "host", lower_bound(F.col("mean"), F.col("n") + F.col("up_strength"), z).alias("host_bound"))

@@ -93,3 +93,25 @@ def test_no_pages_split_of_hosts(spark):
     pages = spark.createDataFrame([(1, "http://u:p@a.b.example.org:8080/x")], "page_id long, url string")
     row = located(pages).first()
     assert (row.domain, row.suffix) == ("example.org", "org")
+
+
+def test_wide_suffixes_and_addresses(spark):
+    hosts = {"a.b.co.uk": ("b.co.uk", "co.uk"), "co.uk": ("co.uk", "co.uk"), "www.x.com.au:80": ("x.com.au", "com.au"),
+             "uk": ("uk", "uk"), "10.0.0.1:8080": ("10.0.0.1", ""), "u@10.0.0.2": ("10.0.0.2", ""), "1.2.3": ("2.3", "3"),
+             "notco.uk": ("notco.uk", "uk"), "[::1]:80": ("[::1]", "")}
+    pages = spark.createDataFrame([(i, f"http://{h}/") for i, h in enumerate(hosts)], "page_id long, url string")
+    got = {r.page_id: (r.domain, r.suffix) for r in located(pages).collect()}
+    assert [got[i] for i in range(len(hosts))] == list(hosts.values())
+
+
+def test_a_page_given_three_times_counts_three_times(spark):
+    pages = [(1, "http://a.org/x")] * 3 + [(2, "http://b.org/y"), (3, "http://c.org/z"), (None, "http://a.org/q")]
+    outcomes = [(1, 1)] * 3 + [(2, 0), (3, None)]
+    place = spark.createDataFrame(pages, "page_id long, url string")
+    once = spark.createDataFrame(outcomes, "page_id long, bad int")
+    got = {r.host: r.bad_bound for r in judge(place, once).collect()}
+    apart = [(i, u) for i, (_, u) in enumerate(pages)]
+    alone = spark.createDataFrame(apart, "page_id long, url string")
+    each = spark.createDataFrame([(0, 1), (1, 1), (2, 1), (3, 0)], "page_id long, bad int")
+    assert got == {r.host: r.bad_bound for r in judge(alone, each).collect()}
+    assert len(judge(place, once).collect()) == len(pages)
