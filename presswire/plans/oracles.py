@@ -411,6 +411,11 @@ ORACLES: dict[str, str] = {
       batch AS (SELECT {EV_COLS.replace('ARTICLE_COUNT', 'ARTICLE_COUNT + 100 AS ARTICLE_COUNT')} FROM ev WHERE {_LATER})
       SELECT * FROM stored UNION ALL SELECT * FROM batch WHERE EVENT_ID NOT IN
       (SELECT EVENT_ID FROM stored WHERE DATE >= (SELECT MIN(DATE) FROM batch))""",
+    "append_moved_days": f"""{EV}, ids AS (SELECT EVENT_ID, DATE, ARTICLE_COUNT, CAST(EVENT_ID AS BIGINT) AS i FROM ev)
+      SELECT EVENT_ID, CASE WHEN DATE < '20240116' AND i % 5 > 0 THEN DATE WHEN i % 3 = 0 THEN '20231231'
+          WHEN i % 7 = 0 THEN '20240229' ELSE DATE END AS DATE,
+        CASE WHEN DATE < '20240116' AND i % 5 > 0 OR i % 3 = 0 OR i % 7 = 0 THEN ARTICLE_COUNT ELSE 0.0 END AS ARTICLE_COUNT
+      FROM ids""",
     "append_new_gkg": f"""{GKG}, stored AS (SELECT GKG_ID, DATE, AVG_TONE, TOP_THEMES FROM gkg WHERE DATE < 20240116000000),
       batch AS (SELECT GKG_ID, DATE, AVG_TONE + 100 AS AVG_TONE, TOP_THEMES FROM gkg WHERE DATE >= 20240110000000)
       SELECT * FROM (SELECT * FROM stored UNION ALL SELECT * FROM batch WHERE GKG_ID NOT IN (SELECT GKG_ID FROM stored
@@ -676,6 +681,7 @@ ORACLES: dict[str, str] = {
     "stream_ingest_events": EXTRACTED,
     "stream_ingest_gkg": f"{GKG} SELECT * FROM gkg",
     "stream_dedupe": f"{ART} SELECT DISTINCT EVENT_ID, DATE FROM art",
+    "stream_dedupe_days": f"{EV} SELECT EVENT_ID, CAST(1 AS BIGINT) AS n_rows, CAST(1 AS BIGINT) AS n_fit FROM ev",
     "stream_daily_counts": "SELECT strftime(ts, '%Y%m%d') AS day, COUNT(*) AS events FROM events GROUP BY 1",
     "stream_retention": f"{GKG} SELECT DATE, {n()} AS n_rows FROM gkg WHERE DATE >= 20240116000000 GROUP BY 1",
     "stream_freshness": f"""{EV}, m AS (SELECT strptime(MAX(DATE), '%Y%m%d') AS t FROM ev),

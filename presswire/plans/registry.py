@@ -152,6 +152,17 @@ def q_append_new_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return without_vector(tables.append_new_events(changed, path))
 
 
+def q_append_moved_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four loads in which ids come again under earlier and later days, and with changed rows."""
+    events, path = without_vector(events_raw(spark, sf_dir)), work_path(spark, "events")
+    some = F.col("EVENT_ID").cast("bigint")
+    tables.append_new_events(events.filter((F.col("DATE") < SPLIT_DAY) & (some % 5 > 0)), path)
+    tables.append_new_events(events.filter(some % 3 == 0).withColumn("DATE", F.lit("20231231")), path)
+    tables.append_new_events(events.withColumn("DATE", F.lit("20240229")).filter(some % 7 == 0), path)
+    stored = tables.append_new_events(events.withColumn("ARTICLE_COUNT", F.lit(0.0)), path)
+    return stored.select("EVENT_ID", "DATE", "ARTICLE_COUNT")
+
+
 def q_append_new_gkg(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, path = gkg(spark, sf_dir), work_path(spark, "gkg")
     tables.append_new_gkg(rows.filter(F.col("DATE") < 20240116000000), path)
@@ -486,6 +497,22 @@ def q_stream_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema("EVENT_ID string, DATE string").parquet(out)
 
 
+def q_stream_dedupe_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every id under three days, dealt to files, one per batch: each is kept once, under one of its days."""
+    events = without_vector(events_raw(spark, sf_dir)).select("EVENT_ID", "DATE")
+    days = F.array(F.col("DATE"), F.lit("20231231"), F.lit("20240229"))
+    landed = work_path(spark, "moved-days")
+    moved = events.select("EVENT_ID", F.explode(days).alias("DATE"))
+    moved.repartition(STREAM_FILES, "DATE", "EVENT_ID").write.parquet(landed)
+    rows = spark.readStream.schema(moved.schema).option("maxFilesPerTrigger", 1).parquet(landed)
+    out = work_path(spark, "deduped")
+    counts.stream_dedupe(rows, "EVENT_ID", "DATE", out, work_path(spark, "checkpoint")).awaitTermination()
+    kept = spark.read.schema("EVENT_ID string, DATE string").parquet(out)
+    own = kept.join(events.withColumnRenamed("DATE", "_own"), "EVENT_ID").withColumn(
+        "_fits", F.col("DATE").isin("20231231", "20240229") | (F.col("DATE") == F.col("_own")))
+    return own.groupBy("EVENT_ID").agg(F.count("*").alias("n_rows"), F.count_if("_fits").alias("n_fit"))
+
+
 def q_stream_daily_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events dealt to files without regard to days, one file per batch."""
     events = table(spark, sf_dir, "events").select(F.col("ts").cast("timestamp").alias("ts"))
@@ -530,6 +557,7 @@ QUERIES: dict[str, Query] = {
     "read_zipped_feed": q_read_zipped_feed,
     "missing_feed_slots": q_missing_feed_slots,
     "append_new_events": q_append_new_events,
+    "append_moved_days": q_append_moved_days,
     "append_new_gkg": q_append_new_gkg,
     "retention_delete": lambda s, d: tables.retain(gkg(s, d), RETENTION_AS_OF).select("GKG_ID", "DATE"),
     "write_embeddings": q_write_embeddings,
@@ -674,6 +702,7 @@ QUERIES: dict[str, Query] = {
     "stream_ingest_events": q_stream_ingest_events,
     "stream_ingest_gkg": q_stream_ingest_gkg,
     "stream_dedupe": q_stream_dedupe,
+    "stream_dedupe_days": q_stream_dedupe_days,
     "stream_daily_counts": q_stream_daily_counts,
     "stream_retention": q_stream_retention,
     "stream_freshness": q_stream_freshness,

@@ -67,6 +67,12 @@ def work_path(spark: SparkSession, label: str) -> str:
     return os.path.join(shared_dir(spark), "presswire", f"{label}-{uuid.uuid4().hex}")
 
 
+def filesystem(spark: SparkSession, path: str):
+    """Hadoop path and file system of a place in the shared store."""
+    hadoop_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop_path, hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write once to reliable storage and cut the lineage."""
     spark = df.sparkSession

@@ -10,20 +10,15 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from presswire import schemas
 from presswire.functions import dates
 from presswire.operators.cleaning import keep_first
-from presswire.session import work_path
+from presswire.session import filesystem, work_path
+from presswire.sources.key_index import KeyIndex
 
 EVENT_PARTITION = "DATE"
 GKG_PARTITION = "DATE_KEY"
 
 
-def _filesystem(spark: SparkSession, path: str):
-    jvm = spark.sparkContext._jvm
-    hadoop_path = jvm.org.apache.hadoop.fs.Path(path)
-    return hadoop_path, hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-
 def table_exists(spark: SparkSession, path: str) -> bool:
-    hadoop_path, fs = _filesystem(spark, path)
+    hadoop_path, fs = filesystem(spark, path)
     return fs.exists(hadoop_path)
 
 
@@ -56,13 +51,16 @@ def on_days(stored: DataFrame, partition: str, days: list[str | None]) -> DataFr
 def new_rows_only(
     batch: DataFrame, stored: DataFrame, key: str, date_col: str, partition_col: str | None = None
 ) -> DataFrame:
-    """Batch rows whose key is not stored on any day of the batch.
+    """Batch rows whose key is not stored on any day from the batch's earliest one on.
 
-    A key keeps its day, so only the batch's own days are read. A NULL day is a day, and a
-    NULL key a key like any other.
+    The earliest day is a literal, so older partitions are not read; a NULL day is read if the batch
+    has one. A NULL key is a key like any other. An append looks in the key index of its table
+    instead, which knows every day.
     """
-    partition = partition_col or date_col
-    known = on_days(stored, partition, days_of(batch, partition)).select(F.col(key).alias("_known")).distinct()
+    day = F.col(partition_col or date_col)
+    first, none = batch.agg(F.min(day), F.count_if(day.isNull())).first()
+    seen = day >= F.lit(first) if first is not None else F.lit(False)
+    known = stored.filter(seen | day.isNull() if none else seen).select(F.col(key).alias("_known")).distinct()
     return batch.join(known, F.col(key).eqNullSafe(F.col("_known")), "left_anti").select(*batch.columns)
 
 
@@ -77,27 +75,30 @@ def append_new(
 ) -> DataFrame:
     """Append unseen rows to the table at `path`, creating it on the first load.
 
-    Rows already stored are skipped and a key repeated in the batch is stored once, so
-    running the same batch twice adds nothing. Rows are grouped by day before the write to
-    keep the number of files low; a large day is split over several tasks by the rebalance.
-    Returns the stored table.
+    A key is stored once, whatever its day and whatever batch it comes in: keys are looked up in the
+    table's key index, so no stored day is read, and a key repeated in the batch keeps one row. Running
+    the same batch twice adds nothing, also after a load that stopped half-way. Rows are
+    grouped by day before the write to keep the number of files low; a large day is split over
+    several tasks by the rebalance. Returns the stored table.
     """
     spark, schema = batch.sparkSession, batch.schema
     partition = partition_col or date_col
-    once = one_row_per_key(batch, key, partition)
-
-    def write(rows: DataFrame) -> None:
-        rows.hint("rebalance", partition).write.mode("append").partitionBy(partition).parquet(path)
-
-    if not table_exists(spark, path):
-        write(once)
-        return spark.read.schema(schema).parquet(path)
-    # the batch gives its days and then its rows: compute it once
-    held = once.persist(StorageLevel.MEMORY_AND_DISK)
+    index = KeyIndex(spark, path, key, partition)
+    # rows are moved by key once; the look-up works on keys alone
+    fresh = held = one_row_per_key(batch, key, partition).persist(StorageLevel.MEMORY_AND_DISK)
+    known = None
     try:
-        write(new_rows_only(held, spark.read.schema(schema).parquet(path), key, date_col, partition))
+        if table_exists(spark, path):
+            index.ready(spark.read.schema(schema).parquet(path))
+            known = index.found(held.select(F.col(key).alias("_known"))).persist(StorageLevel.MEMORY_AND_DISK)
+            fresh = held.join(known, F.col(key).eqNullSafe(F.col("_known")), "left_anti").select(*batch.columns)
+        mark = index.open()
+        fresh.hint("rebalance", partition).write.mode("append").partitionBy(partition).parquet(path)
+        index.close(mark, index.keys_of(fresh))
     finally:
         held.unpersist()
+        if known is not None:
+            known.unpersist()
     return spark.read.schema(schema).parquet(path)
 
 
@@ -118,13 +119,15 @@ def retain(gkg: DataFrame, as_of: dt.date, days: int = 30) -> DataFrame:
 def drop_old_days(spark: SparkSession, path: str, as_of: dt.date, days: int = 30) -> int:
     """Delete the day partitions before the retention cutoff; returns how many."""
     cutoff = dates.days_before(as_of, days)
-    hadoop_path, fs = _filesystem(spark, path)
+    hadoop_path, fs = filesystem(spark, path)
     dropped = 0
     for status in fs.listStatus(hadoop_path):
         name = status.getPath().getName()
         if name.startswith(f"{GKG_PARTITION}=") and name.split("=", 1)[1] < cutoff:
             fs.delete(status.getPath(), True)
             dropped += 1
+    if dropped:
+        KeyIndex(spark, path, "GKG_ID", GKG_PARTITION).forget(F.col("day") < cutoff)
     return dropped
 
 
@@ -175,7 +178,7 @@ def write_embeddings(spark: SparkSession, path: str, vectors: DataFrame) -> Data
         .partitionBy(EVENT_PARTITION).parquet(path)
     )
     for done in (fresh, staged):
-        hadoop_path, fs = _filesystem(spark, done)
+        hadoop_path, fs = filesystem(spark, done)
         fs.delete(hadoop_path, True)
     return read_events(spark, path)
 
