@@ -124,16 +124,20 @@ class CutEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        # the library finds these strings in a text before it cuts it: texts with one are encoded whole
+        # the library finds these strings in a text before it cuts it: texts with one are encoded whole by it
+        # as it comes, all others by one that does not look for them
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.plain = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = True
         self.kind = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
         self.code = "H" if self.kind.itemsize == 2 else "I"
         # cuts seen lately, and those of the time before: what is met again moves up, the rest goes
         self.cache: dict[str, bytes | None] = {}
         self.before: dict[str, bytes | None] = {}
 
-    def whole(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+    def whole(self, texts: list[str], plain: bool = False) -> list[bytes]:
+        tokenizer = self.plain if plain else self.tokenizer
+        found = tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [array(self.code, e.ids).tobytes() for e in found]
 
     def learn(self, cuts: set[str]) -> None:
@@ -159,7 +163,10 @@ class CutEncoder:
         lasts = self.whole(["" if last is None else " " + last for _, last in ends])
         out, get = [], self.cache.__getitem__
         for text, c, first, last in zip(texts, cuts, firsts, lasts):
-            loose = c[0] and c[0][-1].isspace() and len(c[0]) < len(text) or any(t in text for t in self.added)
+            loose = c[0] and c[0][-1].isspace() and len(c[0]) < len(text)
+            if any(t in text for t in self.added):
+                out.append(np.frombuffer(self.whole([text], plain=True)[0], self.kind))
+                continue
             try:
                 joined = None if loose else b"".join([first, *map(get, c[1:]), last])
             except TypeError:  # a cut that may not be encoded by itself
