@@ -20,31 +20,29 @@ def _count_words(text: str) -> str:
 
 def _license_scan() -> str:
     templates = ", ".join(
-        f"({i}, '{t.label}', {str(t.base).lower()}, {t.slack}, {t.cover}, string_split('{t.phrase}', ' '))"
+        f"({i}, '{t.label}', {str(t.base).lower()}, {t.slack}, {t.cover}, string_split('{t.phrase}', ' '), {t.needed}::INT[])"
         for i, t in enumerate(TEMPLATES))
     return f"""
-WITH templates(template, label, base, slack, cover, tw) AS (VALUES {templates}),
+WITH templates(template, label, base, slack, cover, tw, needed) AS (VALUES {templates}),
 pairs AS (
-    SELECT template, label, base, slack, cover, len(tw) - 1 AS n_pairs, i - 1 AS at_t, tw[i] AS t1, tw[i + 1] AS t2
+    SELECT template, slack, i - 1 AS at_t, tw[i] AS t1, tw[i + 1] AS t2
     FROM (SELECT *, unnest(range(1, len(tw))) AS i FROM templates)),
 words AS (SELECT doc_id, {_search_words("text")} AS ws FROM documents),
 grams AS (
     SELECT doc_id, i - 1 AS at_d, ws[i] AS w1, ws[i + 1] AS w2
     FROM (SELECT doc_id, ws, unnest(range(1, len(ws))) AS i FROM words)),
 votes AS (
-    SELECT doc_id, p.*, at_d, at_d - at_t AS diagonal
+    SELECT DISTINCT doc_id, template, slack, at_d, at_t, at_d - at_t AS diagonal
     FROM grams JOIN pairs p ON w1 = t1 AND w2 = t2),
-diagonals AS (SELECT DISTINCT doc_id, template, slack, diagonal FROM votes),
-runs AS (
-    SELECT *, sum(fresh) OVER (PARTITION BY doc_id, template ORDER BY diagonal) AS run FROM (
-        SELECT *, CASE WHEN diagonal - lag(diagonal) OVER (PARTITION BY doc_id, template ORDER BY diagonal) <= slack
-                       THEN 0 ELSE 1 END AS fresh FROM diagonals)),
+shifts AS (
+    SELECT *, unnest(range(diagonal - slack, diagonal + slack + 1)) AS middle FROM votes),
 spans AS (
-    SELECT v.doc_id, v.template, any_value(label) AS label, any_value(base) AS base, min(at_d) AS start_word,
-        count(DISTINCT at_t) / any_value(n_pairs) AS share
-    FROM votes v JOIN runs r ON v.doc_id = r.doc_id AND v.template = r.template AND v.diagonal = r.diagonal
-    GROUP BY v.doc_id, v.template, r.run
-    HAVING count(DISTINCT at_t) / any_value(n_pairs) >= any_value(cover)),
+    SELECT s.doc_id, label, base, min(at_d) AS start_word, len(list_distinct(list(at_t))) / (len(any_value(tw)) - 1) AS share
+    FROM shifts s JOIN (SELECT DISTINCT doc_id, template, diagonal FROM votes) v
+        ON v.doc_id = s.doc_id AND v.template = s.template AND v.diagonal = s.middle
+    JOIN templates t ON t.template = s.template
+    GROUP BY s.doc_id, s.template, middle, label, base
+    HAVING share >= any_value(cover) AND list_has_all(list(at_t), any_value(needed))),
 found AS (
     SELECT doc_id, count(*) FILTER (base) AS n_base, min(start_word) FILTER (base) AS first_word,
         max(start_word) FILTER (base) AS last_word,
