@@ -19,7 +19,7 @@ from presswire import schemas
 from presswire.functions import fixed_values as V
 from presswire.functions import headlines, labels
 from presswire.functions.keywords import query_keywords
-from presswire.functions.vectors import cosine_similarity
+from presswire.functions.vectors import cosine_similarity, norm
 from presswire.operators.cleaning import drop_poor_headlines, keep_first, with_accepted
 from presswire.operators.countries import country_name
 
@@ -106,7 +106,10 @@ def _top(hits: DataFrame, k: int | None) -> DataFrame:
 def _rank_by_vector(events: DataFrame, request: SearchRequest, k: int | None, cap: int | None) -> DataFrame:
     candidates = _most_reported(events.filter(F.col("EMBEDDING").isNotNull()), cap)
     asked = candidates.withColumn("_query", request.vector_column())
-    scored = asked.withColumn("similarity", cosine_similarity(F.col("EMBEDDING"), F.col("_query")))
+    # a subquery of one row: the question's length is worked out once, not per event
+    question = events.sparkSession.range(1).select(request.vector_column().alias("_query"))
+    length = question.select(norm(F.col("_query"))).scalar()
+    scored = asked.withColumn("similarity", cosine_similarity(F.col("EMBEDDING"), F.col("_query"), length))
     return _top(similarity_group(scored), k)
 
 
@@ -208,12 +211,14 @@ def score_pairs(
     candidates: DataFrame,
     requests: Sequence[SearchRequest],
     threshold: float = V.SIMILARITY_THRESHOLD,
+    k: int | None = None,
 ) -> DataFrame:
     """Similarity of each candidate to the requests it is similar to.
 
     Bulk scoring: each Arrow batch of candidate vectors is one matrix product with the
-    request vectors, and only pairs at or above the threshold leave the task. Zero vectors
-    and vectors of another length have no similarity.
+    request vectors, and only pairs at or above the threshold leave the task; with `k`, of a
+    batch only those as similar to a request as its k-th (ties included), which is all that
+    `top_pairs` needs. Zero vectors and vectors of another length have no similarity.
     """
     vectors = request_vectors(candidates.sparkSession, requests)
     asked = [(r.query_id, v) for r, v in zip(requests, vectors) if v is not None and any(v)]
@@ -229,7 +234,11 @@ def score_pairs(
             lengths = np.linalg.norm(rows, axis=1, keepdims=True)
             with np.errstate(divide="ignore", invalid="ignore"):
                 similarity = (rows @ matrix) / lengths
-            row, column = np.nonzero(similarity >= threshold)
+            near = similarity >= threshold
+            if k is not None and k < len(rows):
+                kept = np.where(near, similarity, -np.inf)
+                near &= kept >= np.partition(kept, len(rows) - k, axis=0)[len(rows) - k]
+            row, column = np.nonzero(near)
             yield pd.DataFrame({
                 "EVENT_ID": frame["EVENT_ID"].to_numpy()[row],
                 "query_id": ids[column],

@@ -607,7 +607,7 @@ QUERIES: dict[str, Query] = {
     "region_label": lambda s, d: countries.region_label(
         events_raw(s, d).select("EVENT_ID", "ACTOR_COUNTRY_CODE"), iso(s, d)),
     "vector_cross_score": lambda s, d: rounded(search.top_pairs(search.score_pairs(
-        vector_events(s, d), [search.SearchRequest(i, "", query_vector(s, d, i)) for i in (0, 1, 2)]), 10
+        vector_events(s, d), [search.SearchRequest(i, "", query_vector(s, d, i)) for i in (0, 1, 2)], k=10), 10
     ).withColumn("position", F.col("position").cast("bigint")), "similarity"),
     "merge_embeddings": lambda s, d: vector_sums(tables.merge_embeddings(vector_events(s, d), new_vectors(s, d))),
     # marts

@@ -180,6 +180,38 @@ def test_bulk_scores_by_brute_force(spark, sf_dir):
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-6 for k in want)
 
 
+def test_best_pairs_of_a_batch_hold_the_best_of_all(spark):
+    rng = np.random.default_rng(5)
+    # few distinct vectors, so that many candidates tie; small batches, so that every one cuts
+    rows = [(f"{i:04d}", [float(x) for x in rng.integers(-2, 3, 3)]) for i in range(700)]
+    candidates = spark.createDataFrame(rows, "EVENT_ID string, EMBEDDING array<double>").repartition(7)
+    asked = [search.SearchRequest(1, "", [1.0, 0.0, 0.0]), search.SearchRequest(2, "", [1.0, 2.0, -1.0])]
+    every, best = search.score_pairs(candidates, asked), search.score_pairs(candidates, asked, k=5)
+    assert best.count() < every.count()
+    got, want = (sorted(map(tuple, search.top_pairs(p, 5).collect())) for p in (best, every))
+    assert got == want and len(got) == 10
+
+
+def test_stories_of_awkward_rows_by_two_ways(spark):
+    """One row per headline and day first gives what scoring every row gives."""
+    rng = np.random.default_rng(9)
+    days = ["20240128", "20240129", "20240130", None, "junk"]
+    titles = ["Ministers meet for border talks in geneva", "Global markets rally after bank decision",
+              "Flood warning issued across river valleys", "short", None]
+    rows = [(f"{i:03d}", days[rng.integers(5)], "A", ["USA", None][i % 2], 1.0, float(i % 11 - 5), float(i % 9), 0.0,
+             [None, f"https://x.org/a-story-{i}.html", "https://x.org/about-the-long-story-of-many-markets"][i % 3],
+             titles[rng.integers(5)], None) for i in range(300)]
+    iso = spark.createDataFrame([("USA", "United States")], "ISO_CODE string, COUNTRY_NAME string")
+    for made in (rows, rows[:1], [(*rows[0][:1], None, *rows[0][2:])], []):
+        events = spark.createDataFrame(made, schemas.EVENTS_RAW)
+        order = [F.col("SCORE").desc_nulls_last(), F.col("EVENT_ID")]
+        plain = cleaning.dedupe_headlines(
+            stories.story_score(cleaning.drop_poor_headlines(cleaning.clean_headlines(events))), order).orderBy(*order)
+        want = [(r.EVENT_ID, r.HEADLINE, r.QUALITY, r.SCORE) for r in plain.collect()]
+        got = [(r.EVENT_ID, r.HEADLINE, r.QUALITY, r.SCORE) for r in stories.process_stories(events, iso, 1000).collect()]
+        assert sorted(got) == sorted(want)
+
+
 def test_prefilter_limit_matters_and_can_be_lifted(spark, sf_dir):
     events, asked = R.vector_events(spark, sf_dir), R.request(spark, sf_dir)
     few = search.vector_search(events, asked, 10, None, cap=5)

@@ -83,3 +83,17 @@ def test_marts_hash_and_story_span_is_read_once(spark, sf_dir):
         # distinct counts expand the cube, never the events below it
         assert text.count("Expand") == 1 and "partial_count" in text[text.index("Expand"):]
     assert plan(R.QUERIES["story_score"](spark, sf_dir)).count("+- Subquery") == 1
+
+
+def test_stories_are_cleaned_once(spark, sf_dir):
+    shown = R.QUERIES["process_stories"](spark, sf_dir)
+    shown.collect()
+    final = plan(shown).split("== Initial Plan ==")[0]
+    # the day range reads the exchange that the stories themselves go through
+    assert plan(shown).count("ReusedExchange") >= 1 and "SinglePartition" in final
+
+
+def test_length_of_the_question_is_a_subquery(spark, sf_dir):
+    text = plan(R.QUERIES["vector_search"](spark, sf_dir))
+    scored = [line for line in text.splitlines() if "aggregate(EMBEDDING" in line]
+    assert scored and all("* Subquery" in line for line in scored)
