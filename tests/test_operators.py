@@ -201,7 +201,7 @@ def test_stories_of_awkward_rows_by_two_ways(spark):
     rows = [(f"{i:03d}", days[rng.integers(5)], "A", ["USA", None][i % 2], 1.0, float(i % 11 - 5), float(i % 9), 0.0,
              [None, f"https://x.org/a-story-{i}.html", "https://x.org/about-the-long-story-of-many-markets"][i % 3],
              titles[rng.integers(5)], None) for i in range(300)]
-    iso = spark.createDataFrame([("USA", "United States")], "ISO_CODE string, COUNTRY_NAME string")
+    iso = spark.createDataFrame([("US", "USA", "United States")], "alpha2 string, alpha3 string, name string")
     for made in (rows, rows[:1], [(*rows[0][:1], None, *rows[0][2:])], []):
         events = spark.createDataFrame(made, schemas.EVENTS_RAW)
         order = [F.col("SCORE").desc_nulls_last(), F.col("EVENT_ID")]
