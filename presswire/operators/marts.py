@@ -13,7 +13,7 @@ from presswire import schemas
 from presswire.functions import fixed_values as V
 from presswire.functions import packed
 from presswire.functions.numeric import percentage, round_half_away
-from presswire.operators.ranking import global_rank
+from presswire.operators.ranking import histogram_ranks
 from presswire.operators.staging import stg_emotion_days
 
 _CATEGORY_COLUMNS = {
@@ -124,10 +124,9 @@ def actor_stats(events: DataFrame) -> DataFrame:
 
 def dim_actors(events: DataFrame) -> DataFrame:
     """Actor profiles with their rank by events and by articles."""
-    tie = [F.col("actor_name").asc_nulls_last(), F.col("actor_country_code").asc_nulls_last()]
-    stats = actor_stats(events)
-    by_events = global_rank(stats, [F.col("total_events").desc_nulls_last(), *tie], "event_rank")
-    return global_rank(by_events, [F.col("total_articles").desc_nulls_last(), *tie], "article_rank")
+    return histogram_ranks(
+        actor_stats(events), {"event_rank": "total_events", "article_rank": "total_articles"},
+        ["actor_name", "actor_country_code"])
 
 
 def dim_countries(events: DataFrame) -> DataFrame:
@@ -181,13 +180,18 @@ def exploded_themes(staged: DataFrame) -> DataFrame:
     )
 
 
+def theme_days(staged: DataFrame) -> DataFrame:
+    """Mentions per theme and day."""
+    return exploded_themes(staged).groupBy("theme", "date_key").agg(F.count(F.lit(1)).alias("mentions"))
+
+
 def fct_trending_themes(staged: DataFrame, min_count: int = 10, n: int | None = 100) -> DataFrame:
-    """Most mentioned themes with active days and mentions per active day.
+    """Most mentioned themes with active days and mentions per active day; from staged rows or their theme days.
 
     Mentions are first counted per (theme, day), which makes the distinct day count a
     plain count over few rows.
     """
-    per_day = exploded_themes(staged).groupBy("theme", "date_key").agg(F.count(F.lit(1)).alias("mentions"))
+    per_day = staged if "mentions" in staged.columns else theme_days(staged)
     themes = (
         per_day.groupBy("theme")
         .agg(F.sum("mentions").alias("mention_count"), F.count("date_key").alias("days_active"))

@@ -4,28 +4,43 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from presswire.session import materialize
+#: Leading letters of the first tie column by which rows of one value are told apart.
+_PREFIX = 4
 
-_LOCAL_BITS = 33  # monotonically_increasing_id keeps the row position in the low 33 bits
 
+def _offsets(df: DataFrame, value: str, prefix: Column) -> DataFrame:
+    """Rows before the first one of each value and prefix."""
 
-def global_rank(df: DataFrame, order: list[Column], name: str) -> DataFrame:
-    """Add the 1-based position of each row under a total order.
+    def before(window: Window) -> Column:
+        return F.coalesce(F.sum("_n").over(window.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
 
-    A distributed sort gives each partition a consecutive range; rows carry their
-    partition and position, and per-partition offsets (one row per partition) are joined
-    back. The sorted rows are written to reliable storage first: offsets and rows must come
-    from the same partitioning, also when an executor is lost in between.
+    counts = df.groupBy(F.col(value).alias("_v"), prefix.alias("_p")).agg(F.count(F.lit(1)).alias("_n"))
+    values = counts.groupBy(F.col("_v").alias("_of")).agg(F.sum("_n").alias("_n")).select(
+        "_of", before(Window.orderBy(F.col("_of").desc_nulls_last())).alias("_above"))
+    inside = before(Window.partitionBy("_v").orderBy(F.col("_p").asc_nulls_last()))
+    return counts.withColumn("_inside", inside).join(values, F.col("_v").eqNullSafe(F.col("_of"))).select(
+        "_v", "_p", (F.col("_above") + F.col("_inside")).alias("_before"))
+
+
+def histogram_ranks(df: DataFrame, ranks: dict[str, str], ties: list[str]) -> DataFrame:
+    """Add for each name of `ranks` the 1-based position by its column, largest first, then by the text columns
+    `ties`; nulls come last.
+
+    Lazy: rows are counted per value and leading letters of the first tie column, the counts are
+    cumulated, and only rows of one value and one prefix are ordered together, so many rows
+    of one value (actors seen once) are spread over tasks. The windows before that run over counts; the
+    only one without a key runs over distinct values, of which rows with a total of t have at most about
+    the square root of 2t when they are whole numbers. Where a row is put depends on its columns alone, so a
+    lost executor changes no position and nothing needs to be stored. All counts are taken from `df` itself,
+    whose last shuffle Spark reads again.
     """
-    placed = materialize(df.orderBy(*order).withColumn("_at", F.monotonically_increasing_id()))
-    part = F.shiftright("_at", _LOCAL_BITS)
-    sizes = placed.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
-    before = F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
-    offsets = sizes.select("_part", F.coalesce(before, F.lit(0)).alias("_before"))
-    local = F.col("_at").bitwiseAND(F.lit((1 << _LOCAL_BITS) - 1))
-    return (
-        placed.withColumn("_part", part)
-        .join(F.broadcast(offsets), "_part")
-        .withColumn(name, F.col("_before") + local + 1)
-        .drop("_part", "_at", "_before")
-    )
+    prefix, out = F.substring(ties[0], 1, _PREFIX), df
+    for name, value in ranks.items():
+        same = [F.col(value).eqNullSafe(F.col("_v")), prefix.eqNullSafe(F.col("_p"))]
+        order = Window.partitionBy("_v", "_p").orderBy(*[F.col(t).asc_nulls_last() for t in ties])
+        out = (
+            out.join(_offsets(df, value, prefix), same)
+            .withColumn(name, F.col("_before") + F.row_number().over(order))
+            .drop("_v", "_p", "_before")
+        )
+    return out

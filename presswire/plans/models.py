@@ -48,13 +48,3 @@ def build_models(events: DataFrame, gkg: DataFrame, root: str | None = None) ->
             writer = writer.option("path", f"{root}/{name}")
         writer.saveAsTable(name)
     return MART_NAMES
-
-
-def refresh_daily_events(events: DataFrame, days: list[str], path: str) -> None:
-    """Recompute the daily facts of the given days only and overwrite their partitions."""
-    touched = events.filter(events["DATE"].isin(days))
-    (
-        marts.fct_daily_events(stg_events(touched))
-        .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-        .partitionBy("event_date_raw").parquet(path)
-    )

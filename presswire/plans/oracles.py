@@ -689,3 +689,12 @@ ORACLES: dict[str, str] = {
       SELECT strftime(t, '%Y%m%d%H%M%S') AS newest, CAST(lag AS BIGINT) AS lag_seconds,
       CASE WHEN lag > 10800 THEN 'error' WHEN lag > 3600 THEN 'warn' ELSE 'pass' END AS status FROM l""",
 }
+
+# marts kept up by refreshes hold the rows of a full build
+ORACLES |= {
+    "refreshed_daily_events": ORACLES["fct_daily_events"],
+    "refreshed_actors": ORACLES["dim_actors"],
+    "refreshed_countries": ORACLES["dim_countries"],
+    "refreshed_daily_emotions": ORACLES["fct_daily_emotions"],
+    "refreshed_themes": ORACLES["fct_trending_themes"].split("ORDER BY")[0],
+}

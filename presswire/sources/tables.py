@@ -11,6 +11,7 @@ from presswire import schemas
 from presswire.functions import dates
 from presswire.operators.cleaning import keep_first
 from presswire.session import filesystem, work_path
+from presswire.sources.day_ledger import DayLedger
 from presswire.sources.key_index import KeyIndex
 
 EVENT_PARTITION = "DATE"
@@ -83,7 +84,7 @@ def append_new(
     """
     spark, schema = batch.sparkSession, batch.schema
     partition = partition_col or date_col
-    index = KeyIndex(spark, path, key, partition)
+    index, ledger = KeyIndex(spark, path, key, partition), DayLedger(spark, path)
     # rows are moved by key once; the look-up works on keys alone
     fresh = held = one_row_per_key(batch, key, partition).persist(StorageLevel.MEMORY_AND_DISK)
     known = None
@@ -92,9 +93,10 @@ def append_new(
             index.ready(spark.read.schema(schema).parquet(path))
             known = index.found(held.select(F.col(key).alias("_known"))).persist(StorageLevel.MEMORY_AND_DISK)
             fresh = held.join(known, F.col(key).eqNullSafe(F.col("_known")), "left_anti").select(*batch.columns)
-        mark = index.open()
+        mark, note = index.open(), ledger.note(fresh, partition)
         fresh.hint("rebalance", partition).write.mode("append").partitionBy(partition).parquet(path)
         index.close(mark, index.keys_of(fresh))
+        ledger.end(note)
     finally:
         held.unpersist()
         if known is not None:
@@ -120,15 +122,19 @@ def drop_old_days(spark: SparkSession, path: str, as_of: dt.date, days: int = 30
     """Delete the day partitions before the retention cutoff; returns how many."""
     cutoff = dates.days_before(as_of, days)
     hadoop_path, fs = filesystem(spark, path)
-    dropped = 0
+    old = {}
     for status in fs.listStatus(hadoop_path):
-        name = status.getPath().getName()
-        if name.startswith(f"{GKG_PARTITION}=") and name.split("=", 1)[1] < cutoff:
-            fs.delete(status.getPath(), True)
-            dropped += 1
-    if dropped:
+        name, _, day = status.getPath().getName().partition("=")
+        if name == GKG_PARTITION and day < cutoff:
+            old[day] = status.getPath()
+    if old:
+        ledger = DayLedger(spark, path)
+        note = ledger.note(spark.createDataFrame([(day,) for day in old], "day string"), "day")
+        for folder in old.values():
+            fs.delete(folder, True)
         KeyIndex(spark, path, "GKG_ID", GKG_PARTITION).forget(F.col("day") < cutoff)
-    return dropped
+        ledger.end(note)
+    return len(old)
 
 
 def append_new_gkg(batch: DataFrame, path: str, as_of: dt.date | None = None) -> DataFrame:
@@ -171,12 +177,15 @@ def write_embeddings(spark: SparkSession, path: str, vectors: DataFrame) -> Data
     else:
         days = days_of(events.join(vectors.select("EVENT_ID"), "EVENT_ID", "left_semi"), EVENT_PARTITION)
     merge_embeddings(on_days(events, EVENT_PARTITION, days), vectors).write.parquet(staged)
+    ledger = DayLedger(spark, path)
+    note = ledger.note(spark.createDataFrame([(day,) for day in days], "day string"), "day")
     (
         spark.read.schema(schemas.EVENTS_RAW).parquet(staged)
         .hint("rebalance", EVENT_PARTITION)
         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
         .partitionBy(EVENT_PARTITION).parquet(path)
     )
+    ledger.end(note)
     for done in (fresh, staged):
         hadoop_path, fs = filesystem(spark, done)
         fs.delete(hadoop_path, True)

@@ -13,7 +13,7 @@ from presswire.functions import dates
 from presswire.operators import (
     cleaning, countries, dashboard, embedding, emotions, ingest, lookups, marts, quality, search, staging, stories,
 )
-from presswire.operators.ranking import global_rank
+from presswire.operators.ranking import histogram_ranks
 from presswire.plans import registry as R
 from presswire.session import work_path
 from presswire.sources import feeds, tables
@@ -73,11 +73,22 @@ def test_dedupe_is_idempotent(spark, sf_dir):
     assert rows(cleaning.dedupe_headlines(once, order).select("EVENT_ID")) == rows(once.select("EVENT_ID"))
 
 
-def test_global_rank_is_the_sorted_position(spark):
-    df = spark.range(5000).select("id", F.when(F.col("id") % 3 > 0, 1).otherwise(F.col("id") % 7).alias("v"))
-    got = global_rank(df, [F.col("v").desc(), F.col("id")], "r").collect()
-    expected = {row["id"]: i + 1 for i, row in enumerate(sorted(got, key=lambda x: (-x["v"], x["id"])))}
-    assert {row["id"]: row["r"] for row in got} == expected
+def test_rank_is_the_sorted_position_without_a_job(spark):
+    names = F.concat(F.substring(F.md5(F.col("id").cast("string")), 1, 1), F.lit("ABCDE"), F.col("id") % 9)
+    df = spark.range(3000).select(
+        F.when(F.col("id") % 5 > 0, 1).when(F.col("id") % 7 > 0, F.col("id") % 11).alias("v"),
+        F.when(F.col("id") % 13 > 0, names).alias("name"), F.when(F.col("id") % 17 > 0, F.col("id").cast("string")).alias("at"),
+    ).distinct()
+    spark.sparkContext.setJobGroup("ranks", "plan of the ranks")
+    ranked = histogram_ranks(df, {"r": "v"}, ["name", "at"])
+    assert not spark.sparkContext.statusTracker().getJobIdsForGroup("ranks")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    got = ranked.collect()
+    last = lambda x: (x is None, x or "")
+    order = sorted(got, key=lambda x: (x["v"] is None, -(x["v"] or 0), last(x["name"]), last(x["at"])))
+    distinct = {(x["v"], x["name"], x["at"]): x["r"] for x in got}
+    assert sorted(x["r"] for x in got) == list(range(1, df.count() + 1)) and len(distinct) == len(got)
+    assert [x["r"] for x in order] == list(range(1, len(got) + 1))
 
 
 def test_quality_report_edge_cases(spark):
