@@ -190,16 +190,6 @@ def search_with_fallback(
     return found.unionByName(words_only.filter(~found.select("HEADLINE").exists()))
 
 
-def search_all(events: DataFrame, requests: Sequence[SearchRequest], k: int | None = 10,
-               min_date: str | None = None, cap: int | None = None) -> DataFrame:
-    """Hits of several requests with their `query_id`."""
-    found = [
-        search_with_fallback(events, r, k, min_date, cap).withColumn("query_id", F.lit(r.query_id).cast("bigint"))
-        for r in requests
-    ]
-    return reduce(DataFrame.unionByName, found)
-
-
 def request_vectors(spark: SparkSession, requests: Sequence[SearchRequest]) -> list[list[float] | None]:
     """Vectors of the requests; those given as scalar columns are read in one small query."""
     columns = {i: r.vector for i, r in enumerate(requests) if isinstance(r.vector, Column)}

@@ -433,19 +433,22 @@ def q_keyword_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.keyword_search(events_raw(spark, sf_dir), asked, 10, MIN_DATE).drop("similarity")
 
 
+def asked_of(spark: SparkSession, sf_dir: str, *asked: tuple[str, float | None]) -> DataFrame:
+    """A table of questions, each with the first stored vector scaled by its number, or without one."""
+    texts = spark.createDataFrame([(i + 1, *a) for i, a in enumerate(asked)], "query_id bigint, text string, _scale double")
+    scaled = F.transform("_vector", lambda v: v * F.col("_scale"))
+    return texts.withColumn("_vector", query_vector(spark, sf_dir)).select("query_id", "text", scaled.alias("vector"))
+
+
 def q_search_with_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three questions: with a vector, without one, and with a vector that finds nothing."""
-    asked = [
-        request(spark, sf_dir),
-        search.SearchRequest(2, "flood warning in river valleys"),
-        search.SearchRequest(3, "central bank decision", query_vector(spark, sf_dir, scale=0.0)),
-    ]
-    found = search.search_all(vector_events(spark, sf_dir), asked, 10, MIN_DATE)
-    return rounded(found, "similarity")
+    asked = asked_of(spark, sf_dir, (QUESTION, 1.0), ("flood warning in river valleys", None), ("central bank decision", 0.0))
+    return rounded(question_search.search_questions(vector_events(spark, sf_dir), asked, 10, MIN_DATE), "similarity")
 
 
 def q_answer_context(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = search.search_all(vector_events(spark, sf_dir), [request(spark, sf_dir)], None, MIN_DATE)
+    asked = asked_of(spark, sf_dir, (QUESTION, 1.0))
+    found = question_search.search_questions(vector_events(spark, sf_dir), asked, None, MIN_DATE)
     return search.answer_context(found, iso(spark, sf_dir))
 
 
