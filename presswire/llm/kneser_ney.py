@@ -21,7 +21,9 @@ mark, counted and predicted like a word.
 
 Defined cases: a null text counts as empty and has the end token only; a null doc_id is training
 data; unknown words have the uniform share and are no context; repeated rows train and score each;
-with no training text every token is unknown (score and base: uniform); an empty table has no rows.
+with no training text every token is unknown (score and base: uniform); an empty table has no rows;
+a long text is taken in slices; only the named columns are read, so others may have any name. 2^32 - 1 distinct
+words or more are an error before any pair is counted, since a pair of ids is held in 64 bits.
 """
 
 from __future__ import annotations
@@ -312,6 +314,8 @@ def train(texts: DataFrame, *, text: str = "text") -> Model:
     for row in stored:
         sizes[row.bucket] = row.n
     sizes, n_words = tuple(sizes), sum(sizes)
+    if n_words >= int(START_ID):
+        raise ValueError(f"{n_words} distinct words: a pair of ids is held in 64 bits, so there may be {int(START_ID) - 1}")
     n_tokens = sum(row.total for row in stored)
     id_edges = np.array([n_words * b // buckets for b in range(buckets)], np.uint64)
 

@@ -95,3 +95,10 @@ def test_empty_tables(spark):
     untrained = K.train(docs.limit(0))
     row = K.score_texts(docs, untrained, keep=["doc_id"]).first()
     assert (row.n_tokens, row.n_known, row.score, row.base_score) == (3, 0, 0.0, 0.0)
+
+
+def test_more_words_than_ids_are_an_error(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "a b c d")], "doc_id long, text string")
+    monkeypatch.setattr(K, "START_ID", np.uint64(5))
+    with pytest.raises(ValueError, match="5 distinct words"):
+        K.train(docs)
