@@ -65,23 +65,26 @@ def country_alias(
     df: DataFrame,
     name_col: str,
     iso: DataFrame,
-    stop_words: Sequence[str],
+    stop_words: Sequence[str] | DataFrame,
     code: str = "COUNTRY_CODE",
 ) -> DataFrame:
     """Add the three-letter code of a country name or nationality, NULL when unknown.
 
     Stop words, single characters and numbers have none. Known aliases come first; other
     names take the closest country whose name contains them, else one that starts with the
-    same three letters. Only distinct names are matched. Both acceptance rules need the first three
+    same three letters. Stop words are a list or the first column of a table of any size. Rows without a name have no
+    code and take no part in the match: each input partition gives its own a key that no name has, so they do not
+    meet in one task of the last join. Only distinct names are matched. Both acceptance rules need the first three
     letters of the name to occur in the country name, which makes the match an equi-join
     on those letters.
     """
     clean = F.lower(T.strip(F.col(name_col)))
-    names = (
-        df.select(clean.alias("_name"))
-        .filter((F.length("_name") >= 2) & ~F.col("_name").isin(list(stop_words)))
-        .distinct()
-    )
+    names = df.select(clean.alias("_name")).filter(F.length("_name") >= 2).distinct()
+    if isinstance(stop_words, DataFrame):
+        stopped = stop_words.select(F.lower(T.strip(F.col(stop_words.columns[0]))).alias("_name"))
+        names = names.join(stopped, "_name", "left_anti")
+    else:
+        names = names.filter(~F.col("_name").isin(list(stop_words)))
     aliases = F.create_map(*[F.lit(x) for kv in V.COUNTRY_ALIASES.items() for x in kv])
     named = names.withColumn("_alias", aliases[F.col("_name")])
     exact = named.filter(F.col("_alias").isNotNull()).select("_name", F.col("_alias").alias(code))
@@ -107,8 +110,9 @@ def country_alias(
     )
     closest = near.groupBy("_name").agg(F.min(rank).alias("_best"))
     fuzzy = closest.select("_name", F.col("_best._alpha3").alias(code))
+    nameless = F.concat(F.lit("\0"), F.spark_partition_id().cast("string"))
     return (
-        df.withColumn("_name", clean)
+        df.withColumn("_name", F.coalesce(clean, nameless))
         .join(exact.unionByName(fuzzy), "_name", "left")
         .drop("_name")
     )

@@ -497,6 +497,16 @@ ORACLES: dict[str, str] = {
         WHEN nm IN (SELECT a FROM aliases) THEN (SELECT code FROM aliases WHERE a = nm)
         WHEN regexp_full_match(nm, '\\d+') THEN NULL
         ELSE (SELECT code FROM near WHERE near.nm = named.nm) END AS COUNTRY_CODE FROM named""",
+    "country_of_words": f"""WITH {ISO}, {_ALIASES}, per AS (SELECT lower(trim(w)) AS word, COUNT(*) AS n FROM
+        (SELECT DISTINCT conv_id, turn, text, unnest(list_distinct(string_split(text, ' '))) AS w FROM conversations) GROUP BY 1),
+      stop AS (SELECT word FROM per WHERE n * 100 >= (SELECT COUNT(*) FROM conversations)),
+      named AS (SELECT word, lower(trim(word)) AS nm FROM (SELECT word FROM per UNION SELECT lower(n_name) FROM nation)),
+      near AS (SELECT nm, arg_min(alpha3, (NOT contains(lower(name), nm), levenshtein(nm, lower(name)), lower(name))) AS code
+        FROM named, iso WHERE length(nm) >= 3 AND (contains(lower(name), nm) OR starts_with(lower(name), substr(nm, 1, 3))) GROUP BY nm)
+      SELECT word, CASE WHEN length(nm) < 2 OR nm IN (SELECT word FROM stop WHERE word IS NOT NULL) THEN NULL
+        WHEN nm IN (SELECT a FROM aliases) THEN (SELECT code FROM aliases WHERE a = nm)
+        WHEN regexp_full_match(nm, '\\d+') THEN NULL
+        ELSE (SELECT code FROM near WHERE near.nm = named.nm) END AS COUNTRY_CODE FROM named""",
     "region_expand": f"{EV}, {_MEMBERS} SELECT {EV_COLS} FROM ev WHERE ACTOR_COUNTRY_CODE IN (SELECT code FROM members WHERE region = 'middle east')",
     "region_members": f"WITH {_MEMBERS} SELECT m.region, m.code AS ACTOR_COUNTRY_CODE FROM region r JOIN members m ON m.region = lower(r.r_name)",
     "vector_cross_score": f"""{PAIRS} SELECT EVENT_ID, query_id, {r6('similarity')} AS similarity, position FROM (SELECT *,

@@ -376,6 +376,17 @@ def q_country_alias(spark: SparkSession, sf_dir: str) -> DataFrame:
     return countries.country_alias(people, "place", iso(spark, sf_dir), STOP_WORDS)
 
 
+def q_country_of_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Countries named by the words of all turns; words that stand in every hundredth turn or more are stop words."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
+    words = turns.select("conv_id", "turn", F.explode(F.array_distinct(F.split("text", " "))).alias("word"))
+    per_word = words.groupBy(F.lower(F.trim("word")).alias("word")).agg(F.count(F.lit(1)).alias("n"))
+    stop = per_word.filter(F.col("n") * 100 >= turns.agg(F.count(F.lit(1))).scalar()).select("word")
+    nations = table(spark, sf_dir, "nation").select(F.lower("n_name").alias("word"))
+    asked = per_word.select("word").unionByName(nations).distinct()
+    return countries.country_alias(asked, "word", iso(spark, sf_dir), stop)
+
+
 def q_expand_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return countries.expand_regions(table(spark, sf_dir, "region").select("r_name"), "r_name")
 
@@ -631,6 +642,7 @@ QUERIES: dict[str, Query] = {
     "country_name": lambda s, d: countries.country_name(
         events_raw(s, d).select("EVENT_ID", "ACTOR_COUNTRY_CODE"), "ACTOR_COUNTRY_CODE", iso(s, d)),
     "country_alias": q_country_alias,
+    "country_of_words": q_country_of_words,
     "region_expand": lambda s, d: countries.region_expand(without_vector(events_raw(s, d)), "middle east"),
     "region_members": q_expand_regions,
     "region_label": lambda s, d: countries.region_label(

@@ -178,6 +178,11 @@ def test_country_names(spark):
     got = {r["c"]: r["COUNTRY_CODE"] for r in countries.country_alias(names, "c", iso, ["us"]).collect()}
     assert got == {"Nigeri": "NGA", "nig": "NER", "german": "DEU", "us": None, "99": None, "qq": None,
                    "many": "DEU", None: None}
+    stop = spark.createDataFrame([(" US ", 1), ("MANY", 2), (None, 3)], "w string, n int")
+    some = names.unionByName(spark.createDataFrame([(None,)] * 3 + [("qq",)] * 2, "c string"))
+    got = rows(countries.country_alias(some, "c", iso, stop).select(F.coalesce("c", F.lit("-")), F.coalesce("COUNTRY_CODE", F.lit("-"))))
+    assert got == sorted([("Nigeri", "NGA"), ("nig", "NER"), ("german", "DEU"), ("us", "-"), ("99", "-"), ("many", "-")]
+                         + [("qq", "-")] * 3 + [("-", "-")] * 4)
 
 
 def test_bulk_scores_by_brute_force(spark, sf_dir):
