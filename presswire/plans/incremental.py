@@ -9,7 +9,7 @@ the next one, which works on the same days again. One refresh runs at a time; lo
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from presswire import schemas
 from presswire.operators import marts
@@ -60,7 +60,7 @@ class MartStore:
             like = marts.fct_daily_emotions(staged) if name == "fct_daily_emotions" else marts.fct_trending_themes(staged)
         else:
             staged = stg_events(self._events())
-            like = {"fct_daily_events": marts.fct_daily_events, "dim_actors": marts.dim_actors,
+            like = {"fct_daily_events": marts.fct_daily_events, "dim_actors": _actor_columns,
                     "dim_countries": marts.dim_countries}[name](staged)
         return self._stored(name, like)
 
@@ -137,6 +137,12 @@ class MartStore:
         self.refresh_emotions()
 
 
+def _actor_columns(staged: DataFrame) -> DataFrame:
+    """The columns of `dim_actors`, without the sorts that its ranks run."""
+    rank = F.lit(0).cast("bigint")
+    return marts.actor_stats(staged).withColumns({"event_rank": rank, "article_rank": rank})
+
+
 def _without_rows(rows: DataFrame, partition: str, days: list[str | None]) -> list[str | None]:
     """Those of `days` that have no rows any more; reads the partition column alone."""
     left = set(tables.days_of(rows, partition))
