@@ -33,7 +33,9 @@ from presswire.session import ship_package
 
 MARK = "▁"
 REMEMBERED = 600_000
-BATCH_CHARS = 500_000
+BATCH_CHARS = 200_000
+#: Characters whose cuts are held at once.
+GROUP_CHARS = 1 << 20
 NONE = np.int64(1 << 40)
 
 
@@ -305,6 +307,17 @@ class PieceCodec:
         return np.array(ids, self.kind).tobytes()
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of every text; the cuts of a group of texts are held at once, not those of all."""
+        out, group, held = [], [], 0
+        for t in texts:
+            if group and held + len(t) > GROUP_CHARS:
+                out += self._encode(group)
+                group, held = [], 0
+            group.append(t)
+            held += len(t)
+        return out + self._encode(group) if group else out
+
+    def _encode(self, texts: list[str]) -> list[np.ndarray]:
         cuts = []
         for t in texts:
             parts = t.replace(MARK, " ").split(" ")
