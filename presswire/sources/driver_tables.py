@@ -91,8 +91,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Deal the rows of these single-file tables to all cores for CPU-heavy work."""
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+    """Deal the rows of these single-file tables to all cores for CPU-heavy work.
+
+    They are dealt by a hash: dealt in turn, every task would first sort all rows of its file in memory.
+    """
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism, *df.columns)
 
 
 def _source_events(spark: SparkSession, sf_dir: str, since: dt.date | None, wide: bool) -> DataFrame:
