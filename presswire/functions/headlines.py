@@ -19,6 +19,10 @@ from presswire.functions import urls
 
 def clean_segment(segment: Column) -> Column:
     """Readable text of one URL segment, NULL when it holds none."""
+    return T.bind(segment, _clean_segment)
+
+
+def _clean_segment(segment: Column) -> Column:
     rejected = reduce(
         lambda acc, p: acc | T.matches(segment, p, ignore_case=True),
         V.SEGMENT_REJECTS[1:],
@@ -33,21 +37,23 @@ def clean_segment(segment: Column) -> Column:
     out = T.replace(out, V.SEGMENT_TRAILING_SHORT_NUMBER)
     out = T.replace(T.strip(out), f"{T.SPACE}+", " ")
     out = T.replace(out, f"^{V.EDGE_PUNCTUATION}+|{V.EDGE_PUNCTUATION}+$")
-    return F.when(~rejected, F.nullif(T.strip(out), F.lit("")))
+    return F.when(~rejected, T.bind(T.strip(out), lambda t: F.when(t != "", t)))
 
 
 def segment_score(text: Column) -> Column:
     """Points for a cleaned segment: more words and characters score higher."""
     letters = F.length(T.replace(text, r"[^\p{L}]"))
-    n_words = F.size(T.words(text))
     n_chars = F.length(text)
-    return (
-        F.when(text.isNull() | (letters < 5), 0)
-        .when((n_words >= 4) & (n_chars > 20), n_words * 10 + n_chars)
-        .when((n_words >= 3) & (n_chars > 15), n_words * 5 + n_chars)
-        .when((n_words >= 2) & (n_chars > 10), n_words * 2 + n_chars)
-        .otherwise(0)
-    )
+
+    def points(n_words: Column) -> Column:
+        return (
+            F.when((n_words >= 4) & (n_chars > 20), n_words * 10 + n_chars)
+            .when((n_words >= 3) & (n_chars > 15), n_words * 5 + n_chars)
+            .when((n_words >= 2) & (n_chars > 10), n_words * 2 + n_chars)
+            .otherwise(0)
+        )
+
+    return F.when(text.isNull() | (letters < 5), 0).otherwise(T.bind(F.size(T.words(text)), points))
 
 
 def headline_from_url(url: Column) -> Column:
@@ -68,23 +74,26 @@ def headline_from_url(url: Column) -> Column:
 # -- headline cleaning --------------------------------------------------------
 
 def scrubbed_words(text: Column) -> Column:
-    """Repair artefacts and drop truncated endings, then split into words."""
+    """Repair artefacts and drop truncated endings, then split into words.
+
+    A pattern looks at its first character before it looks around, so that most places fail at once.
+    """
     out = T.replace(T.strip(text), f"^{V.EDGE_PUNCTUATION}+")
     out = T.replace(out, V.HEADLINE_LONG_DIGITS)
     for pattern in V.HEADLINE_TRAILING:
         out = T.replace(out, pattern)
-    out = T.replace(out, "(?<=[a-z])(?=[A-Z])", " ")
-    out = T.replace(out, "(?<=[A-Z])(?=[A-Z][a-z])", " ")
+    out = T.replace(out, "(?=[A-Z])(?<=[a-z])", " ")
+    out = T.replace(out, "(?=[A-Z][a-z])(?<=[A-Z])", " ")
     out = T.replace(out, r"(?<=\d)(?=[a-zA-Z])", " ")
     out = T.replace(out, "Apos(?=[a-z])", "'")
-    out = T.replace(out, r"\bApos\b", "'", ignore_case=True)
+    out = T.replace(out, r"(?=a)\bApos\b", "'", ignore_case=True)
     out = T.replace(out, "''", "'")
     out = T.replace(out, "^'")
     out = T.replace(out, r"(\d)\s+(\d)", "$1.$2")
-    out = T.replace(out, r"\b([A-Z])\s+([A-Z])\b", "$1$2")
-    out = T.replace(out, r"\b([A-Z])\s+([A-Z])\s+([A-Z])\b", "$1$2$3")
-    out = T.replace(out, r"(?<!\s)" + V.TRUNCATED_PREPOSITION)
-    out = T.replace(out, r"(?<!\s)" + V.TRUNCATED_AUXILIARY, ignore_case=True)
+    out = T.replace(out, r"(?=[A-Z]\s)\b([A-Z])\s+([A-Z])\b", "$1$2")
+    out = T.replace(out, r"(?=[A-Z]\s)\b([A-Z])\s+([A-Z])\s+([A-Z])\b", "$1$2$3")
+    out = T.replace(out, r"(?=\s)(?<!\s)" + V.TRUNCATED_PREPOSITION)
+    out = T.replace(out, r"(?=\s)(?<!\s)" + V.TRUNCATED_AUXILIARY, ignore_case=True)
     return T.words(out)
 
 
@@ -114,7 +123,7 @@ def shortened(items: Column) -> Column:
 
     return T.replace(
         T.bind(F.array_join(items, " "), cut),
-        f"(?<!{V.EDGE_PUNCTUATION}){V.EDGE_PUNCTUATION}+$|^{V.EDGE_PUNCTUATION}+$",
+        f"(?={V.EDGE_PUNCTUATION})(?<!{V.EDGE_PUNCTUATION}){V.EDGE_PUNCTUATION}+$|^{V.EDGE_PUNCTUATION}+$",
     )
 
 

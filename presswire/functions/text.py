@@ -28,7 +28,8 @@ def matches(text: Column, pattern: str, ignore_case: bool = False) -> Column:
 
 
 def strip(text: Column) -> Column:
-    return replace(text, rf"^{SPACE}+|(?<!{SPACE}){SPACE}+$")
+    # the character is looked at before what stands in front of it, so most places fail at once
+    return replace(text, rf"^{SPACE}+|(?={SPACE})(?<!{SPACE}){SPACE}+$")
 
 
 def words(text: Column) -> Column:

@@ -23,7 +23,7 @@ from presswire.operators import (
 from presswire.plans import incremental, models
 from presswire.session import work_path
 from presswire.sources import feeds, tables
-from presswire.sources.driver_tables import articles_raw, events_raw, feed_lines, gkg_feed, table
+from presswire.sources.driver_tables import articles_raw, events_raw, feed_lines, gkg_feed, spread, table
 from presswire.streaming import counts, ingest as stream
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -285,7 +285,8 @@ def q_clean_text_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every line of every document with its number."""
-    return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    documents = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
 
 
 def q_headline_of_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
