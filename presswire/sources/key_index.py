@@ -2,9 +2,8 @@
 
 An append must know whether a key is stored on any day, without reading days of wide rows. The index
 has one row (key, day) per stored key in `_keys` below the table, one folder per load; folders are
-joined into one, sorted by key, when they become many. A batch looks its keys up by a semi join in
-which the batch is the small side, so nothing but the key column is read, and nothing but the
-found keys leaves the index.
+joined into one, sorted by key, when they become many. A batch leaves its stored keys out by an
+anti join that reads nothing but the key column of the index.
 
 A load first leaves a mark, then writes its rows, then its keys, and takes the mark away. A mark
 that is still there tells the next load that rows may be stored whose keys are not: the index is
@@ -25,6 +24,11 @@ SCHEMA = "key string, day string, load string"
 MOST_LOADS = 48
 
 
+def plain_key(key: Column) -> Column:
+    """A key as text that is never null: a null is a key, and rows dealt by this column can be joined and grouped by it."""
+    return F.coalesce(F.concat(F.lit("k"), key.cast("string")), F.lit(""))
+
+
 class KeyIndex:
     """Index of the table at `path`; there is one writer at a time, as for the table."""
 
@@ -76,6 +80,10 @@ class KeyIndex:
         stored = self.stored().select("key")
         return keys.join(stored, F.col("_known").cast("string").eqNullSafe(F.col("key")), "left_semi")
 
+    def unseen(self, rows: DataFrame, name: str) -> DataFrame:
+        """Rows whose key in the column `name` (see `plain_key`) is stored on no day."""
+        return rows.join(self.stored().select(plain_key(F.col("key")).alias(name)), name, "left_anti")
+
     def open(self) -> str:
         name = f"open-{uuid.uuid4().hex}"
         place, fs = filesystem(self.spark, f"{self.folder}/{name}")

@@ -12,7 +12,7 @@ from presswire.functions import dates
 from presswire.operators.cleaning import keep_first
 from presswire.session import filesystem, work_path
 from presswire.sources.day_ledger import DayLedger
-from presswire.sources.key_index import KeyIndex
+from presswire.sources.key_index import KeyIndex, plain_key
 
 EVENT_PARTITION = "DATE"
 GKG_PARTITION = "DATE_KEY"
@@ -65,10 +65,16 @@ def new_rows_only(
     return batch.join(known, F.col(key).eqNullSafe(F.col("_known")), "left_anti").select(*batch.columns)
 
 
-def one_row_per_key(batch: DataFrame, key: str, partition: str) -> DataFrame:
-    """The newest day's row of each key; equal days are resolved by a hash of the row."""
+def one_row_per_key(batch: DataFrame, key: str, partition: str, index: KeyIndex | None = None) -> DataFrame:
+    """The newest day's row of each key; equal days are resolved by a hash of the row.
+
+    With an index, keys that it holds are left out. Rows are dealt by key once, for the look-up and the choice
+    of a row; nothing is sorted before they are dealt, so a task's memory is that of one part.
+    """
+    keyed = batch.withColumn("_key", plain_key(F.col(key))).repartition("_key")
+    fresh = keyed if index is None else index.unseen(keyed, "_key")
     order = [F.col(partition).desc_nulls_last(), F.xxhash64(*batch.columns)]
-    return keep_first(batch, [F.col(key)], order)
+    return keep_first(fresh, [F.col("_key")], order).select(*batch.columns)
 
 
 def append_new(
@@ -85,22 +91,18 @@ def append_new(
     spark, schema = batch.sparkSession, batch.schema
     partition = partition_col or date_col
     index, ledger = KeyIndex(spark, path, key, partition), DayLedger(spark, path)
-    # rows are moved by key once; the look-up works on keys alone
-    fresh = held = one_row_per_key(batch, key, partition).persist(StorageLevel.MEMORY_AND_DISK)
-    known = None
+    stored = table_exists(spark, path)
+    if stored:
+        index.ready(spark.read.schema(schema).parquet(path))
+    # only rows to be stored are held
+    fresh = one_row_per_key(batch, key, partition, index if stored else None).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        if table_exists(spark, path):
-            index.ready(spark.read.schema(schema).parquet(path))
-            known = index.found(held.select(F.col(key).alias("_known"))).persist(StorageLevel.MEMORY_AND_DISK)
-            fresh = held.join(known, F.col(key).eqNullSafe(F.col("_known")), "left_anti").select(*batch.columns)
         mark, note = index.open(), ledger.note(fresh, partition)
         fresh.hint("rebalance", partition).write.mode("append").partitionBy(partition).parquet(path)
         index.close(mark, index.keys_of(fresh))
         ledger.end(note)
     finally:
-        held.unpersist()
-        if known is not None:
-            known.unpersist()
+        fresh.unpersist()
     return spark.read.schema(schema).parquet(path)
 
 
