@@ -51,3 +51,13 @@ def test_operator_on_awkward_rows(spark):
 @pytest.mark.parametrize("with_ids", [False, True])
 def test_empty_table(spark, with_ids):
     assert C.encode_texts(empty(spark), model=PATH, keep=["doc_id"], with_ids=with_ids).count() == 0
+
+
+def test_cuts_of_a_group_are_held_at_once(monkeypatch):
+    codec, seen = C.PieceCodec(PATH), []
+    whole = codec._encode
+    monkeypatch.setattr(codec, "_encode", lambda texts: seen.append(sum(map(len, texts))) or whole(texts))
+    monkeypatch.setattr(C, "GROUP_CHARS", 50)
+    texts = ["some words of a text", "x" * 80, "", "more of it", "and the rest of these words"] * 3
+    assert [x.tolist() for x in codec.encode(texts)] == LIBRARY.encode(texts)
+    assert codec.encode([]) == [] and len(seen) > 5 and max(seen) <= 80
