@@ -29,6 +29,11 @@ def plain_key(key: Column) -> Column:
     return F.coalesce(F.concat(F.lit("k"), key.cast("string")), F.lit(""))
 
 
+def stored_key(name: str) -> Column:
+    """The key as text of a `plain_key` column."""
+    return F.when(F.col(name) != "", F.substring(F.col(name), F.lit(2), F.length(name)))
+
+
 class KeyIndex:
     """Index of the table at `path`; there is one writer at a time, as for the table."""
 
@@ -90,9 +95,10 @@ class KeyIndex:
         fs.create(place).close()
         return name
 
-    def close(self, mark: str, keys: DataFrame) -> None:
-        """Add the keys of a load whose rows are written."""
-        self._write(keys)
+    def close(self, mark: str, keys: DataFrame | None) -> None:
+        """Add the keys of a load whose rows are written; None if it had none."""
+        if keys is not None or not self._names("load="):
+            self._write(self.spark.createDataFrame([], "key string, day string") if keys is None else keys)
         self._delete(mark)
 
     def forget(self, gone: Column) -> None:

@@ -12,7 +12,7 @@ from presswire.functions import dates
 from presswire.operators.cleaning import keep_first
 from presswire.session import filesystem, work_path
 from presswire.sources.day_ledger import DayLedger
-from presswire.sources.key_index import KeyIndex, plain_key
+from presswire.sources.key_index import KeyIndex, plain_key, stored_key
 
 EVENT_PARTITION = "DATE"
 GKG_PARTITION = "DATE_KEY"
@@ -77,6 +77,30 @@ def one_row_per_key(batch: DataFrame, key: str, partition: str, index: KeyIndex
     return keep_first(fresh, [F.col("_key")], order).select(*batch.columns)
 
 
+def unseen_keys(batch: DataFrame, key: str, partition: str, index: KeyIndex | None = None) -> DataFrame:
+    """Each key of a batch that the index does not hold: `_key` (see `plain_key`), its newest `day` and its `_rows`."""
+    keyed = batch.select(plain_key(F.col(key)).alias("_key"), F.col(partition).alias("day")).repartition("_key")
+    unseen = keyed if index is None else index.unseen(keyed, "_key")
+    return unseen.groupBy("_key").agg(F.max("day").cast("string").alias("day"), F.count(F.lit(1)).alias("_rows"))
+
+
+def rows_of_keys(batch: DataFrame, key: str, partition: str, keys: DataFrame, repeated: bool) -> DataFrame:
+    """One row of the batch per key of `keys` (see `unseen_keys`); `repeated` tells whether any has several.
+
+    Keys are looked up by a condition: Spark takes it down to where a row has its key, before other tables are
+    joined and wide columns are built, as it does not with a join on a computed column. Only the rows of repeated
+    keys are dealt and sorted to choose one.
+    """
+    keyed = batch.withColumn("_key", plain_key(F.col(key)))
+
+    def of(some: DataFrame) -> DataFrame:
+        asked = "SELECT * FROM {keyed} WHERE _key IN (SELECT _key FROM {some})"
+        return batch.sparkSession.sql(asked, keyed=keyed, some=some.select("_key")).select(*batch.columns)
+
+    rows = of(keys.filter("_rows = 1"))
+    return rows.unionByName(one_row_per_key(of(keys.filter("_rows > 1")), key, partition)) if repeated else rows
+
+
 def append_new(
     batch: DataFrame, path: str, key: str, date_col: str, partition_col: str | None = None
 ) -> DataFrame:
@@ -84,7 +108,9 @@ def append_new(
 
     A key is stored once, whatever its day and whatever batch it comes in: keys are looked up in the
     table's key index, so no stored day is read, and a key repeated in the batch keeps one row. Running
-    the same batch twice adds nothing, also after a load that stopped half-way. Rows are
+    the same batch twice adds nothing, also after a load that stopped half-way. The batch is read twice,
+    first its keys and days alone, then the rows to be stored: it must give the same rows both times, so a
+    caller holds one that is costly or may differ. Rows are
     grouped by day before the write to keep the number of files low; a large day is split over
     several tasks by the rebalance. Returns the stored table.
     """
@@ -94,22 +120,26 @@ def append_new(
     stored = table_exists(spark, path)
     if stored:
         index.ready(spark.read.schema(schema).parquet(path))
-    # only rows to be stored are held
-    fresh = one_row_per_key(batch, key, partition, index if stored else None).persist(StorageLevel.MEMORY_AND_DISK)
+    # only keys are held
+    keys = unseen_keys(batch, key, partition, index if stored else None).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        mark, note = index.open(), ledger.note(fresh, partition)
-        fresh.hint("rebalance", partition).write.mode("append").partitionBy(partition).parquet(path)
-        index.close(mark, index.keys_of(fresh))
+        days = keys.groupBy("day").agg(F.max("_rows").alias("most")).collect()  # as many as the calendar has
+        mark = index.open()
+        note = ledger.note(spark.createDataFrame([(r.day,) for r in days], "day string"), "day")
+        if days or not stored:
+            fresh = rows_of_keys(batch, key, partition, keys, any(r.most > 1 for r in days))
+            fresh.hint("rebalance", partition).write.mode("append").partitionBy(partition).parquet(path)
+        index.close(mark, keys.select(stored_key("_key").alias("key"), "day") if days else None)
         ledger.end(note)
     finally:
-        fresh.unpersist()
+        keys.unpersist()
     return spark.read.schema(schema).parquet(path)
 
 
 def append_new_events(batch: DataFrame, path: str) -> DataFrame:
     """Append events by EVENT_ID; a batch without vectors gets a NULL EMBEDDING."""
     spark = batch.sparkSession
-    empty = spark.createDataFrame([], schemas.EVENTS_RAW)
+    empty = spark.createDataFrame([], schemas.EVENTS_RAW).limit(0)  # known as empty, the union goes from the plan
     full = empty.unionByName(batch, allowMissingColumns=True)
     append_new(full, path, "EVENT_ID", EVENT_PARTITION)
     return read_events(spark, path)

@@ -9,6 +9,7 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Callable
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from presswire.operators import quality
@@ -53,7 +54,11 @@ def stream_ingest_events(
         raw = feeds.type_event_columns(batch)
         if report is not None:
             report(quality.dq_report(raw), batch_id)
-        tables.append_new_events(extract_headlines(raw), table)
+        best = extract_headlines(raw).persist(StorageLevel.MEMORY_AND_DISK)  # an append reads its batch twice
+        try:
+            tables.append_new_events(best, table)
+        finally:
+            best.unpersist()
 
     return _start(_feed_stream(spark, in_dir, feeds.event_feed_schema(), files_per_batch), load, checkpoint, once)
 

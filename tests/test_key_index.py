@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 from presswire.session import work_path
 from presswire.sources import key_index, tables
@@ -82,3 +83,25 @@ def test_the_cut_into_batches_does_not_multiply_keys(spark, batches):
     for b in range(batches):
         stored = load(spark, path, rows[b::batches])
     assert sorted(r[0] for r in stored) == sorted(f"k{i}" for i in range(40))
+
+
+def test_wide_columns_of_known_rows_are_not_built(spark):
+    path = work_path(spark, "t")
+    load(spark, path, [("a", "20240103", 1)])
+    rows = spark.createDataFrame([("a", "20240103", "no number"), ("b", "20240104", "2"), ("c", "20240104", "3"),
+                                  ("c", "20240105", "4")], "EVENT_ID string, DATE string, n string")
+    batch = rows.select("EVENT_ID", "DATE", F.col("n").cast("int").alias("n"))  # fails if it is worked out for the first row
+    for _ in range(2):
+        stored = tables.append_new(batch, path, "EVENT_ID", "DATE").select("EVENT_ID", "DATE", "n").collect()
+        assert sorted(map(tuple, stored)) == [("a", "20240103", 1), ("b", "20240104", 2), ("c", "20240105", 4)]
+    keys = key_index.KeyIndex(spark, path, "EVENT_ID", "DATE").stored().collect()
+    assert sorted(map(tuple, keys)) == [("a", "20240103"), ("b", "20240104"), ("c", "20240105")]
+
+
+def test_rows_that_repeat_and_null_or_empty_keys_keep_one_row(spark):
+    rows = [(None, "20240101", 1), (None, "20240102", 2), ("", "20240101", 3), ("", None, 4), ("a", None, 5), ("a", None, 5)]
+    path = work_path(spark, "t")
+    kept = sorted([(None, "20240102", 2), ("", "20240101", 3), ("a", None, 5)], key=str)
+    assert load(spark, path, rows) == kept == load(spark, path, rows)
+    keys = key_index.KeyIndex(spark, path, "EVENT_ID", "DATE").stored().collect()
+    assert sorted(map(tuple, keys), key=str) == sorted([(k, d) for k, d, _ in kept], key=str)
