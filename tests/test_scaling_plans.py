@@ -38,6 +38,14 @@ def test_an_append_deals_wide_rows_once_and_sorts_after(spark):
     assert tables.append_new(more, path, "EVENT_ID", "DATE").count() == 4
 
 
+def test_an_append_picks_rows_before_it_widens_them(spark, sf_dir):
+    batch = R.vector_events(spark, sf_dir)
+    keys = tables.unseen_keys(batch, "EVENT_ID", "DATE")
+    text = plan(tables.rows_of_keys(batch, "EVENT_ID", "DATE", keys, False))
+    # deeper steps come later: known rows leave before the vectors are joined
+    assert text.index("LeftOuter") < text.index("LeftSemi")
+
+
 def test_patterns_that_look_at_a_character_first_match_as_before(spark):
     r = random.Random(3)
     parts = [" ", "  ", "\t", "A", "B", "Ab", "apos", "Apos", "a", "for", "was", "x1", "1 2", "-", ".", "É", "é", "\x1c"]
