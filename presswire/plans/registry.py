@@ -216,7 +216,8 @@ def refreshed_marts(spark: SparkSession, sf_dir: str) -> incremental.MartStore:
     """Marts kept up by refreshes between loads: mixed days, late days, changed rows of stored keys, a repeated load."""
     root = work_path(spark, "mart-store")
     store = incremental.MartStore(spark, f"{root}/marts", f"{root}/events", f"{root}/gkg")
-    events, emotion_rows = events_raw(spark, sf_dir, vectors=True, wide=True), gkg(spark, sf_dir)
+    # an append deals rows by key itself
+    events, emotion_rows = vector_events(spark, sf_dir), gkg(spark, sf_dir)
     number, tail = F.col("EVENT_ID").cast("bigint") % 3, F.substring_index("GKG_ID", "-", -1).cast("bigint") % 3
     first = [events.filter((F.col("DATE") >= OVERLAP_DAY) & (number > 0)),
              emotion_rows.filter((F.col("DATE") >= 20240110000000) & (tail > 0))]

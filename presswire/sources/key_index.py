@@ -5,8 +5,8 @@ has one row (key, day) per stored key in `_keys` below the table, one folder per
 joined into one, sorted by key, when they become many. A batch leaves its stored keys out by an
 anti join that reads nothing but the key column of the index.
 
-A load first leaves a mark, then writes its rows, then its keys, and takes the mark away. A mark
-that is still there tells the next load that rows may be stored whose keys are not: the index is
+A load writes its keys beside the index, out of sight of look-ups, reads them from there, leaves a mark, writes its
+rows, moves its keys into the index and takes the mark away. A mark that is still there tells the next load that rows may be stored whose keys are not: the index is
 then built anew from the table's key column, as it is for a table without an index.
 """
 
@@ -19,6 +19,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from presswire.session import filesystem
 
 FOLDER = "_keys"
+#: Keys of loads whose rows are not yet written; Spark's listings of the index leave the folder out.
+STAGED = "_staged"
 SCHEMA = "key string, day string, load string"
 #: Folders that are joined into one.
 MOST_LOADS = 48
@@ -72,6 +74,7 @@ class KeyIndex:
 
     def ready(self, table: DataFrame) -> None:
         """Build the index from the table's keys if it is missing or a load has not ended."""
+        self._delete(STAGED)  # of a load that stopped; there is one writer
         marks = self._names("open-")
         if marks or not self._names("load="):
             self._replace(self.keys_of(table))
@@ -95,10 +98,26 @@ class KeyIndex:
         fs.create(place).close()
         return name
 
-    def close(self, mark: str, keys: DataFrame | None) -> None:
-        """Add the keys of a load whose rows are written; None if it had none."""
-        if keys is not None or not self._names("load="):
-            self._write(self.spark.createDataFrame([], "key string, day string") if keys is None else keys)
+    def stage(self, keys: DataFrame) -> str:
+        """Write the keys of a load (`_key`, see `plain_key`, `day`, `_rows`) once, for its own use and for the index."""
+        name = uuid.uuid4().hex
+        keys.select(stored_key("_key").alias("key"), F.col("day").cast("string"), "_rows").write.parquet(
+            f"{self.folder}/{STAGED}/{name}")
+        return name
+
+    def staged(self, name: str) -> DataFrame:
+        """The keys of `stage`, with their columns."""
+        rows = self.spark.read.schema("key string, day string, _rows bigint").parquet(f"{self.folder}/{STAGED}/{name}")
+        return rows.select(plain_key(F.col("key")).alias("_key"), "day", "_rows")
+
+    def close(self, mark: str, name: str, empty: bool) -> None:
+        """Take the staged keys of a load whose rows are written into the index."""
+        if not empty or not self._names("load="):
+            old, fs = filesystem(self.spark, f"{self.folder}/{STAGED}/{name}")
+            new, _ = filesystem(self.spark, f"{self.folder}/load={name}")
+            if not fs.rename(old, new):
+                raise OSError(f"keys were not moved to {new}")
+        self._delete(STAGED)
         self._delete(mark)
 
     def forget(self, gone: Column) -> None:

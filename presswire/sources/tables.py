@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from presswire import schemas
@@ -12,7 +11,7 @@ from presswire.functions import dates
 from presswire.operators.cleaning import keep_first
 from presswire.session import filesystem, work_path
 from presswire.sources.day_ledger import DayLedger
-from presswire.sources.key_index import KeyIndex, plain_key, stored_key
+from presswire.sources.key_index import KeyIndex, plain_key
 
 EVENT_PARTITION = "DATE"
 GKG_PARTITION = "DATE_KEY"
@@ -120,19 +119,17 @@ def append_new(
     stored = table_exists(spark, path)
     if stored:
         index.ready(spark.read.schema(schema).parquet(path))
-    # only keys are held
-    keys = unseen_keys(batch, key, partition, index if stored else None).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        days = keys.groupBy("day").agg(F.max("_rows").alias("most")).collect()  # as many as the calendar has
-        mark = index.open()
-        note = ledger.note(spark.createDataFrame([(r.day,) for r in days], "day string"), "day")
-        if days or not stored:
-            fresh = rows_of_keys(batch, key, partition, keys, any(r.most > 1 for r in days))
-            fresh.hint("rebalance", partition).write.mode("append").partitionBy(partition).parquet(path)
-        index.close(mark, keys.select(stored_key("_key").alias("key"), "day") if days else None)
-        ledger.end(note)
-    finally:
-        keys.unpersist()
+    # written, not held: a stored part is as large as its rows, and a write to the table would make held keys anew
+    name = index.stage(unseen_keys(batch, key, partition, index if stored else None))
+    keys = index.staged(name)
+    days = keys.groupBy("day").agg(F.max("_rows").alias("most")).collect()  # as many as the calendar has
+    mark = index.open()
+    note = ledger.note(spark.createDataFrame([(r.day,) for r in days], "day string"), "day")
+    if days or not stored:
+        fresh = rows_of_keys(batch, key, partition, keys, any(r.most > 1 for r in days))
+        fresh.hint("rebalance", partition).write.mode("append").partitionBy(partition).parquet(path)
+    index.close(mark, name, empty=not days)
+    ledger.end(note)
     return spark.read.schema(schema).parquet(path)
 
 

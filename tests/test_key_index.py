@@ -105,3 +105,31 @@ def test_rows_that_repeat_and_null_or_empty_keys_keep_one_row(spark):
     assert load(spark, path, rows) == kept == load(spark, path, rows)
     keys = key_index.KeyIndex(spark, path, "EVENT_ID", "DATE").stored().collect()
     assert sorted(map(tuple, keys), key=str) == sorted([(k, d) for k, d, _ in kept], key=str)
+
+
+def test_an_append_reads_its_keys_once(spark):
+    path, seen = work_path(spark, "t"), spark.sparkContext.accumulator(0)
+
+    def count(frames):
+        for frame in frames:
+            seen.add(len(frame))
+            yield frame
+
+    load(spark, path, [("a", "20240103", 1)])
+    rows = [(f"k{i}", "20240104", i) for i in range(50)]
+    batch = spark.createDataFrame(rows, ROW).mapInPandas(count, ROW)
+    assert tables.append_new(batch, path, "EVENT_ID", "DATE").count() == 51
+    # once for the keys, once for the rows: a write to the table must not make the keys anew
+    assert seen.value == 100
+    index = key_index.KeyIndex(spark, path, "EVENT_ID", "DATE")
+    assert sorted(r.key for r in index.stored().collect()) == sorted(["a", *[r[0] for r in rows]])
+    assert key_index.STAGED not in os.listdir(folder(path))
+
+
+def test_keys_left_by_a_stopped_load_are_not_known(spark):
+    path = work_path(spark, "t")
+    index = key_index.KeyIndex(spark, path, "EVENT_ID", "DATE")
+    more = spark.createDataFrame([("a", "20240103", 1), (None, "20240103", 2)], ROW)
+    index.stage(tables.unseen_keys(more, "EVENT_ID", "DATE"))
+    assert load(spark, path, [("a", "20240104", 1), (None, "20240104", 2)]) == [("a", "20240104", 1), (None, "20240104", 2)]
+    assert key_index.STAGED not in os.listdir(folder(path))
