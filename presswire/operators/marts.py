@@ -62,14 +62,39 @@ def _reach_and_tone() -> list[Column]:
     ]
 
 
-def _first_and_last_day(first: str, last: str) -> list[Column]:
-    """Bounds of the eight-digit day keys, compared as numbers so that the aggregation can
-    hash instead of sort."""
+def _day_text(day: Column) -> Column:
+    """An eight-digit day key from its number."""
+    return F.lpad(day.cast("string"), 8, "0")
+
+
+def actor_cells(events: DataFrame) -> DataFrame:
+    """Counts, sums and days per (actor, country), nulls included; actors and countries are worked out from them.
+
+    The cube has one row per day of each pair, so days are a plain count. The bounds of the eight-digit day keys are
+    compared as numbers so that the aggregation can hash instead of sort.
+    """
     day = F.col("event_date_raw").try_cast("int")
-    return [
-        F.lpad(F.min(day).cast("string"), 8, "0").alias(first),
-        F.lpad(F.max(day).cast("string"), 8, "0").alias(last),
-    ]
+    added = [f"{kind}_{c}" for c in _AVERAGED for kind in ("sum", "n")]
+    return _cube_of(events).groupBy("actor_name", "actor_country_code").agg(
+        F.sum("events").alias("events"),
+        F.count("event_date_raw").alias("cell_days"),
+        F.min(day).alias("first_day"),
+        F.max(day).alias("last_day"),
+        F.max("max_articles").alias("max_articles"),
+        *[F.sum(c).alias(c) for c in (*added, *_CATEGORY_COLUMNS.values(), "below_zero", "from_zero")],
+    )
+
+
+def country_days(events: DataFrame) -> DataFrame:
+    """Number of active days per country."""
+    days = F.count_distinct("event_date_raw").alias("active_days")
+    return _cube_of(events).groupBy("actor_country_code").agg(days)
+
+
+def with_country_days(cells: DataFrame, events: DataFrame) -> DataFrame:
+    """Actor cells with the active days of their country, from which `dim_countries` is worked out."""
+    days = country_days(events).select(F.col("actor_country_code").alias("_country"), "active_days")
+    return cells.join(days, F.col("actor_country_code") == F.col("_country"), "left").drop("_country")
 
 
 def fct_daily_events(events: DataFrame, approx: bool = False) -> DataFrame:
@@ -100,24 +125,28 @@ def fct_daily_events(events: DataFrame, approx: bool = False) -> DataFrame:
 
 def _typical_sentiment() -> Column:
     """Most frequent of the five buckets; the alphabetically first one on a tie."""
-    ranked = [
-        F.struct(F.sum(_CATEGORY_COLUMNS[label]).alias("n"), F.lit(-i).alias("tie"), F.lit(label).alias("label"))
-        for i, label in enumerate(sorted(_CATEGORY_COLUMNS))
-    ]
-    return F.greatest(*ranked)["label"]
+    most = F.greatest(*_CATEGORY_COLUMNS.values())
+    first, *others = sorted(_CATEGORY_COLUMNS)
+    found = F.when(F.col(_CATEGORY_COLUMNS[first]) == most, first)
+    for label in others:
+        found = found.when(F.col(_CATEGORY_COLUMNS[label]) == most, label)
+    return found
 
 
 def actor_stats(events: DataFrame) -> DataFrame:
-    """Per (actor, country) activity, reach and sentiment profile.
-
-    The cube has one row per day of each pair, so active days are a plain count.
-    """
-    return _cube_of(events).filter(F.col("actor_name").isNotNull()).groupBy("actor_name", "actor_country_code").agg(
-        F.sum("events").alias("total_events"),
-        F.count("event_date_raw").alias("active_days"),
-        *_first_and_last_day("first_seen_date", "last_seen_date"),
-        *_reach_and_tone(),
-        F.max("max_articles").alias("max_articles_single_event"),
+    """Per (actor, country) activity, reach and sentiment profile; from staged events, their cube or its actor cells."""
+    cells = events if "cell_days" in events.columns else actor_cells(events)
+    averages = {"article_count": "avg_articles_per_event", "goldstein_scale": "avg_goldstein_scale", "avg_tone": "avg_tone"}
+    return cells.filter(F.col("actor_name").isNotNull()).select(
+        "actor_name",
+        "actor_country_code",
+        F.col("events").alias("total_events"),
+        F.col("cell_days").alias("active_days"),
+        _day_text(F.col("first_day")).alias("first_seen_date"),
+        _day_text(F.col("last_day")).alias("last_seen_date"),
+        F.col("sum_article_count").alias("total_articles"),
+        *[F.try_divide(F.col(f"sum_{c}"), F.col(f"n_{c}")).alias(name) for c, name in averages.items()],
+        F.col("max_articles").alias("max_articles_single_event"),
         _typical_sentiment().alias("typical_sentiment"),
     )
 
@@ -131,18 +160,26 @@ def dim_actors(events: DataFrame) -> DataFrame:
 
 
 def dim_countries(events: DataFrame) -> DataFrame:
-    """Country profiles with their rank by activity.
+    """Country profiles with their rank by activity; from staged events, their cube or its actor cells `with_country_days`.
 
-    Country codes are three letters, so the ranked table is small by its key domain.
+    Country codes are three letters, so the ranked table is small by its key domain. A cell is one actor of a country:
+    from cells, distinct actors are a plain count.
     """
+    if "cell_days" in events.columns:
+        rows, first, last = events, F.col("first_day"), F.col("last_day")
+        distinct = [F.count("actor_name").alias("unique_actors"), F.max("active_days").alias("active_days")]
+    else:
+        rows = _cube_of(events)
+        first = last = F.col("event_date_raw").try_cast("int")
+        distinct = [F.count_distinct("actor_name").alias("unique_actors"), F.count_distinct("event_date_raw").alias("active_days")]
     stats = (
-        _cube_of(events).filter(F.col("actor_country_code").isNotNull())
+        rows.filter(F.col("actor_country_code").isNotNull())
         .groupBy(F.col("actor_country_code").alias("country_code"))
         .agg(
             F.sum("events").alias("total_events"),
-            F.count_distinct("actor_name").alias("unique_actors"),
-            F.count_distinct("event_date_raw").alias("active_days"),
-            *_first_and_last_day("first_event_date", "last_event_date"),
+            *distinct,
+            _day_text(F.min(first)).alias("first_event_date"),
+            _day_text(F.max(last)).alias("last_event_date"),
             *_reach_and_tone(),
             F.sum("below_zero").alias("negative_events"),
             F.sum("from_zero").alias("positive_events"),

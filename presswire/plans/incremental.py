@@ -106,8 +106,12 @@ class MartStore:
         cube = self.cube()
         touched = cube if whole else tables.on_days(cube, EVENT_DAY, pending.days)
         self._replace_days("fct_daily_events", marts.fct_daily_events(touched), EVENT_DAY, gone)
-        marts.dim_actors(cube).write.mode("overwrite").parquet(f"{self.root}/dim_actors")
-        marts.dim_countries(cube).write.mode("overwrite").parquet(f"{self.root}/dim_countries")
+        # both dimensions come from cells that are stored once
+        marts.actor_cells(cube).write.mode("overwrite").parquet(f"{self.root}/actor_cells")
+        cells = self._stored("actor_cells", marts.actor_cells(cube))
+        marts.dim_actors(cells).write.mode("overwrite").parquet(f"{self.root}/dim_actors")
+        countries = marts.dim_countries(marts.with_country_days(cells, cube))
+        countries.write.mode("overwrite").parquet(f"{self.root}/dim_countries")
         self._done("events", ledger, pending)
         return None if whole else pending.days
 

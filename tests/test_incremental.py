@@ -119,3 +119,17 @@ def test_null_days_and_empty_tables(spark, sf_dir, store):
     tables.append_new_events(events.withColumn("DATE", nameless), store.events_path)
     assert None in store.refresh_events()
     same_as_full(store, emotion_marts={})
+
+
+def test_both_dimensions_come_from_stored_cells(spark, store, monkeypatch):
+    rows_of = [("1", "20240101", "A", "USA"), ("2", "20240101", "A", None), ("3", "20240102", None, "USA"),
+               ("4", "20240102", "A", "USA"), ("5", None, None, None), ("6", None, "B", "FRA"), ("7", "odd", "B", "USA")]
+    events = spark.createDataFrame(rows_of, "EVENT_ID string, DATE string, MAIN_ACTOR string, ACTOR_COUNTRY_CODE string")
+    measures = {"ARTICLE_COUNT": F.col("EVENT_ID").cast("double"), "IMPACT_SCORE": F.when(F.col("EVENT_ID") != "6", -1.0)}
+    tables.append_new_events(events.withColumns(measures), store.events_path)
+    given, build = [], marts.dim_countries
+    with monkeypatch.context() as watched:
+        watched.setattr(marts, "dim_countries", lambda df: given.append(df.columns) or build(df))
+        store.refresh_events()
+    assert "cell_days" in given[0]
+    same_as_full(store, emotion_marts={})
